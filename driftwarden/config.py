@@ -75,21 +75,21 @@ TABLES: dict[str, TableSpec] = {
 }
 
 
-def load_order(tables: dict[str, TableSpec] | None = None) -> list[str]:
-    """Table names with every parent before its children."""
+def load_levels(tables: dict[str, TableSpec] | None = None) -> list[list[str]]:
+    """Tables grouped so that every parent is in an earlier group than its children."""
     tables = TABLES if tables is None else tables
-    ordered: list[str] = []
-    waiting = list(tables)
-    while waiting:
-        ready = [
-            name for name in waiting
-            if all(p in ordered or p not in tables for p in tables[name].foreign_keys.values())
+    levels: list[list[str]] = []
+    placed: set[str] = set()
+    while len(placed) < len(tables):
+        level = [
+            name for name, spec in tables.items()
+            if name not in placed and all(p in placed or p not in tables for p in spec.foreign_keys.values())
         ]
-        if not ready:
-            raise ValueError(f"foreign keys form a cycle among {waiting}")
-        ordered += ready
-        waiting = [name for name in waiting if name not in ready]
-    return ordered
+        if not level:
+            raise ValueError(f"foreign keys form a cycle among {sorted(set(tables) - placed)}")
+        levels.append(level)
+        placed.update(level)
+    return levels
 
 
 def require_known_table(name: str, tables: dict[str, TableSpec] | None = None) -> TableSpec:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from driftwarden.config import TABLES, TableSpec, Transform, load_order
+from driftwarden.config import TABLES, TableSpec, Transform, load_levels
 from driftwarden.operators.load import project_to_target, require_unique, write_overwrite, write_upsert
 from driftwarden.operators.transforms import TRANSFORMS
 from driftwarden.sources.local import small_frame
@@ -66,17 +67,18 @@ class MigrationFailed(RuntimeError):
 def run_migration(spark: SparkSession, read_source: Callable[[str], DataFrame], work_dir: str,
                   current: Mapping[str, DataFrame] | None = None,
                   tables: Mapping[str, TableSpec] = TABLES,
-                  transforms: Mapping[str, Transform] = TRANSFORMS) -> list[TableRun]:
+                  transforms: Mapping[str, Transform] = TRANSFORMS, parallel_tables: int = 4) -> list[TableRun]:
     """Extract, transform and load every table, parents before children.
 
-    A table that fails at any step is recorded and does not stop the others. A failed upsert
-    falls back to replacing the table, except when the batch repeats a key, which no load can
-    accept. Each load writes a new version under ``work_dir/target``; publish it when it is done.
+    Tables without a dependency on each other run side by side, so small ones do not leave the
+    cluster idle. A table that fails at any step is recorded and does not stop the others. A failed
+    upsert falls back to replacing the table, except when the batch repeats a key, which no load
+    can accept. Each load writes a new version under ``work_dir/target``; publish it when it is done.
     """
     current = current or {}
-    runs = [TableRun(name) for name in load_order(dict(tables))]
-    for run in runs:
-        name, spec = run.table_name, tables[run.table_name]
+
+    def migrate_table(name: str) -> TableRun:
+        run, spec = TableRun(name), tables[name]
         try:
             source = read_source(name)
             run.rows_extracted = stage_extract(source, f"{work_dir}/staged/{name}")
@@ -89,7 +91,10 @@ def run_migration(spark: SparkSession, read_source: Callable[[str], DataFrame],
             _load(run, batch, current.get(name), spec.key, f"{work_dir}/target/{name}")
         except Exception as error:  # noqa: BLE001 - one table's failure must not stop the others
             run.status, run.error = "FAILED", f"{type(error).__name__}: {error}"[:500]
-    return runs
+        return run
+
+    with ThreadPoolExecutor(max_workers=parallel_tables) as pool:
+        return [run for level in load_levels(dict(tables)) for run in pool.map(migrate_table, level)]
 
 
 def _load(run: TableRun, batch: DataFrame, current: DataFrame | None, key: str, path: str) -> None:

@@ -17,12 +17,13 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.parquet.filterPushdown": "true",
+    # do not record a Python stack for every column expression; plans here have thousands
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
 def build_session(app_name: str = "driftwarden", master: str | None = None, **conf: str) -> SparkSession:
-    """Create (or reuse) a session; ``conf`` overrides use ``_`` free full keys via ``**{"spark.x": "y"}``."""
+    """Create (or reuse) a session; pass further settings as ``**{"spark.key": "value"}``."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)

@@ -6,8 +6,7 @@ after the migration transforms, so it shows the drift they cause.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from driftwarden.config import TablePair
 from driftwarden.operators.transforms import TRANSFORMS
@@ -38,43 +37,34 @@ def base_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(BASE_DDL[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _money(column: str) -> Column:
-    return F.col(column).cast("decimal(15,2)")
+# view -> (base table, select list)
+SOURCE_VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
+    "vendor": ("supplier", (
+        "s_suppkey AS vendor_id", "s_name AS vendor_name",
+        "CASE s_suppkey % 4 WHEN 0 THEN 'PLATINUM' WHEN 1 THEN 'GOLD' WHEN 2 THEN 'SILVER' ELSE 'BRONZE' END AS vendor_tier",
+        "if(s_suppkey % 5 = 0, 'N', 'Y') AS active_flag", "s_nationkey AS nation_key",
+        "CAST(s_acctbal AS DECIMAL(15,2)) AS credit_limit")),
+    "inventory": ("part", (
+        "p_partkey AS item_id", "p_brand AS location_id", "p_size AS reorder_point",
+        "CAST(CAST(p_retailprice AS DECIMAL(10,4)) + 0.1234 AS DECIMAL(10,4)) AS unit_cost",
+        "TIMESTAMP_NTZ '2024-01-10 08:00:00' + make_dt_interval(0, 0, CAST(p_partkey AS INT)) AS last_counted_ts")),
+    "inventory_transaction": ("orders", (
+        "o_orderkey AS txn_id", "o_custkey AS item_id", "o_orderpriority AS txn_type",
+        "CAST(o_totalprice AS DECIMAL(15,2)) AS txn_qty", "o_orderdate AS txn_ts",
+        "if(o_orderstatus = 'P', 'DEL', 'ACT') AS status_code")),
+    "supplier_contract": ("customer", (
+        "c_custkey AS contract_id", "c_nationkey AS vendor_id", "CAST(c_acctbal AS DECIMAL(15,2)) AS contract_value",
+        "if(c_custkey % 3 = 0, '', c_mktsegment) AS terms_notes", "if(c_custkey % 2 = 0, 'Y', 'N') AS auto_renew")),
+    "purchase_order": ("orders", (
+        "o_orderkey AS po_number", "o_custkey AS vendor_id", "o_orderdate AS order_date",
+        "CAST(o_totalprice AS DECIMAL(15,2)) AS total_amount", "o_orderstatus AS po_status")),
+}
 
 
 def source_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The legacy version of one table."""
-    col = F.col
-    if name == "vendor":
-        tier = (F.when(col("s_suppkey") % 4 == 0, "PLATINUM").when(col("s_suppkey") % 4 == 1, "GOLD")
-                .when(col("s_suppkey") % 4 == 2, "SILVER").otherwise("BRONZE"))
-        return base_table(spark, sf_dir, "supplier").select(
-            col("s_suppkey").alias("vendor_id"), col("s_name").alias("vendor_name"), tier.alias("vendor_tier"),
-            F.when(col("s_suppkey") % 5 == 0, "N").otherwise("Y").alias("active_flag"),
-            col("s_nationkey").alias("nation_key"), _money("s_acctbal").alias("credit_limit"))
-    if name == "inventory":
-        cost = (col("p_retailprice").cast("decimal(10,4)") + F.lit("0.1234").cast("decimal(10,4)")).cast("decimal(10,4)")
-        counted = F.lit("2024-01-10 08:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=col("p_partkey").cast("int"))
-        return base_table(spark, sf_dir, "part").select(
-            col("p_partkey").alias("item_id"), col("p_brand").alias("location_id"), col("p_size").alias("reorder_point"),
-            cost.alias("unit_cost"), counted.alias("last_counted_ts"))
-    if name == "inventory_transaction":
-        return base_table(spark, sf_dir, "orders").select(
-            col("o_orderkey").alias("txn_id"), col("o_custkey").alias("item_id"), col("o_orderpriority").alias("txn_type"),
-            _money("o_totalprice").alias("txn_qty"), col("o_orderdate").alias("txn_ts"),
-            F.when(col("o_orderstatus") == "P", "DEL").otherwise("ACT").alias("status_code"))
-    if name == "supplier_contract":
-        return base_table(spark, sf_dir, "customer").select(
-            col("c_custkey").alias("contract_id"), col("c_nationkey").alias("vendor_id"),
-            _money("c_acctbal").alias("contract_value"),
-            F.when(col("c_custkey") % 3 == 0, "").otherwise(col("c_mktsegment")).alias("terms_notes"),
-            F.when(col("c_custkey") % 2 == 0, "Y").otherwise("N").alias("auto_renew"))
-    if name == "purchase_order":
-        return base_table(spark, sf_dir, "orders").select(
-            col("o_orderkey").alias("po_number"), col("o_custkey").alias("vendor_id"),
-            col("o_orderdate").alias("order_date"), _money("o_totalprice").alias("total_amount"),
-            col("o_orderstatus").alias("po_status"))
-    raise ValueError(f"unknown table {name!r}")
+    base, columns = SOURCE_VIEWS[name]
+    return base_table(spark, sf_dir, base).selectExpr(*columns)
 
 
 def pair(spark: SparkSession, sf_dir: str, name: str) -> TablePair:
@@ -93,40 +83,32 @@ def swapped(p: TablePair) -> TablePair:
 
 def cdc_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event log: only vendor misses events, and some misses have no reason."""
-    col = F.col
-    table = (F.when(col("user_id") % 5 == 0, "vendor").when(col("user_id") % 5 == 1, "inventory")
-             .when(col("user_id") % 5 == 2, "inventory_transaction").when(col("user_id") % 5 == 3, "supplier_contract")
-             .otherwise("purchase_order"))
-    lost = (col("event_type") == "error") & (col("user_id") % 5 == 0)
-    reason = (F.when(lost & (col("value") < 10), "CDC_TRIGGER_SKIP")
-              .when(lost & (col("value") < 30), "TRIGGER_DISABLED_WINDOW"))
-    return base_table(spark, sf_dir, "events").select(
-        "event_id", table.alias("table_name"),
-        F.when(col("event_type") == "signup", "INSERT").otherwise("UPDATE").alias("operation"),
-        col("ts").alias("event_ts"), col("user_id").alias("primary_key"), (~lost).alias("captured"),
-        reason.alias("gap_reason"), col("props").alias("after"))
+    lost = "(event_type = 'error' AND user_id % 5 = 0)"
+    return base_table(spark, sf_dir, "events").selectExpr(
+        "event_id",
+        """CASE user_id % 5 WHEN 0 THEN 'vendor' WHEN 1 THEN 'inventory' WHEN 2 THEN 'inventory_transaction'
+             WHEN 3 THEN 'supplier_contract' ELSE 'purchase_order' END AS table_name""",
+        "if(event_type = 'signup', 'INSERT', 'UPDATE') AS operation", "ts AS event_ts", "user_id AS primary_key",
+        f"NOT {lost} AS captured",
+        f"CASE WHEN {lost} AND value < 10 THEN 'CDC_TRIGGER_SKIP' WHEN {lost} AND value < 30 THEN 'TRIGGER_DISABLED_WINDOW' END"
+        " AS gap_reason",
+        "props AS after")
 
 
 def task_logs(spark: SparkSession, sf_dir: str, dag_id: str = "nightly_migration") -> DataFrame:
     """One task log per event: its text holds a state, a duration and counts in varying spellings."""
-    col = F.col
-    text = F.concat(
-        F.lit("[info] task started\nDuration: "), col("value").cast("decimal(12,2)").cast("string"), F.lit(" s\n"),
-        F.when(col("event_type") == "purchase", F.concat(F.lit("rows_upserted => "), col("user_id").cast("string"), F.lit("\n")))
-        .otherwise(""),
-        F.when(col("event_type") != "signup", F.concat(F.lit("Total rows extracted: "), col("event_id").cast("string"), F.lit("\n")))
-        .otherwise(""),
-        F.when(col("user_id") % 2 == 0, F.concat(
-            F.lit("Partitions used 8\nshuffle write bytes = "), (col("event_id") * 7).cast("string"), F.lit("\n"))).otherwise(""),
-        F.when(col("user_id") % 4 == 0, "failed tasks 3\n").otherwise(""),
-        F.when(col("event_type") == "error", F.concat(
-            F.lit("ERROR first attempt failed\n[info] retry\nERROR attempt "), col("event_id").cast("string"),
-            F.lit(" gave up\n"))).otherwise(""),
-        F.when(col("event_type") == "view", "State set to SKIPPED\n").when(col("event_type") == "error", "State set to FAILED\n")
-        .otherwise("State set to SUCCESS\n"))
-    task = (F.when(col("user_id") % 4 == 0, "extract_from_source").when(col("user_id") % 4 == 1, "transform_data")
-            .when(col("user_id") % 4 == 2, "load_to_target").otherwise("run_reconciliation"))
-    return base_table(spark, sf_dir, "events").select(
-        F.lit(dag_id).alias("dag_id"), task.alias("task_id"), F.date_format("ts", "yyyyMMdd").alias("run_id"),
-        F.concat(F.lpad(col("event_id").cast("string"), 12, "0"), F.lit(".log")).alias("file_name"),
-        col("ts").alias("modified_at"), text.alias("log_text"))
+    lines = (
+        "'[info] task started'", "concat('Duration: ', CAST(value AS DECIMAL(12,2)), ' s')",
+        "if(event_type = 'purchase', concat('rows_upserted => ', user_id), NULL)",
+        "if(event_type <> 'signup', concat('Total rows extracted: ', event_id), NULL)",
+        "if(user_id % 2 = 0, concat('Partitions used 8\\nshuffle write bytes = ', event_id * 7), NULL)",
+        "if(user_id % 4 = 0, 'failed tasks 3', NULL)",
+        """if(event_type = 'error', concat('ERROR first attempt failed\\n[info] retry\\nERROR attempt ', event_id, ' gave up'),
+             NULL)""",
+        "concat('State set to ', CASE event_type WHEN 'view' THEN 'SKIPPED' WHEN 'error' THEN 'FAILED' ELSE 'SUCCESS' END, '\\n')")
+    return base_table(spark, sf_dir, "events").selectExpr(
+        f"'{dag_id}' AS dag_id",
+        """CASE user_id % 4 WHEN 0 THEN 'extract_from_source' WHEN 1 THEN 'transform_data' WHEN 2 THEN 'load_to_target'
+             ELSE 'run_reconciliation' END AS task_id""",
+        "date_format(ts, 'yyyyMMdd') AS run_id", "concat(lpad(CAST(event_id AS STRING), 12, '0'), '.log') AS file_name",
+        "ts AS modified_at", f"concat_ws('\\n', {', '.join(lines)}) AS log_text")
