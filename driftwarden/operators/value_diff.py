@@ -187,17 +187,19 @@ def first_n_by_key(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(key).limit(n)
 
 
-def ts_offset_profile(pair: TablePair, column: str, unique_keys: bool = False) -> DataFrame:
+def ts_offset_profile(pair: TablePair, columns: Sequence[str], unique_keys: bool = False) -> DataFrame:
     """How far target timestamps lie from the source, in seconds, and each offset's share.
 
     One offset for nearly all rows is a clock or zone error; many offsets are stale rows.
     """
-    both = align(pair, [column], unique_keys).filter(
-        F.col("s")[column].isNotNull() & F.col("t")[column].isNotNull())
-    offsets = both.groupBy(
-        F.timestamp_diff("SECOND", F.col("s")[column], F.col("t")[column]).alias("offset_seconds"),
-    ).agg(F.count(F.lit(1)).alias("row_count")).withColumn("column_name", F.lit(column))
-    total = offsets.groupBy("column_name").agg(F.sum("row_count").alias("total"))  # one row
-    return offsets.join(F.broadcast(total), "column_name").select(
+    offsets = F.array(*[
+        F.struct(F.lit(c).alias("column_name"),
+                 F.timestamp_diff("SECOND", F.col("s")[c], F.col("t")[c]).alias("offset_seconds")) for c in columns])
+    counts = (
+        align(pair, list(columns), unique_keys).select(F.inline(offsets)).filter(F.col("offset_seconds").isNotNull())
+        .groupBy("column_name", "offset_seconds").agg(F.count(F.lit(1)).alias("row_count"))
+    )
+    totals = counts.groupBy("column_name").agg(F.sum("row_count").alias("total"))  # one row per listed column
+    return counts.join(F.broadcast(totals), "column_name").select(
         F.lit(pair.name).alias("table_name"), "column_name", "offset_seconds", "row_count",
         F.bround(F.col("row_count") / F.col("total"), 4).alias("share"))

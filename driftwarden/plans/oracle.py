@@ -594,13 +594,17 @@ FROM column_pairs WHERE change IN ('TYPE_MISMATCH', 'MISSING')"""
     # value comparison
     sql["sample_diff_missing_column"] = """SELECT 'vendor' AS table_name, CAST(vendor_id AS VARCHAR) AS pk,
   'vendor_tier' AS column_name, vendor_tier AS source_value, CAST(NULL AS VARCHAR) AS target_value,
-  'MISSING_COLUMN' AS diff_type, (SELECT count(vendor_tier) FROM src_vendor) AS total_affected
-FROM src_vendor ORDER BY vendor_id LIMIT 10"""
+  'MISSING_COLUMN' AS diff_type FROM src_vendor ORDER BY vendor_id LIMIT 10"""
     sql["sample_diff_extra_column"] = """SELECT 'inventory_transaction' AS table_name, CAST(txn_id AS VARCHAR) AS pk,
   'is_deleted' AS column_name, CAST(NULL AS VARCHAR) AS source_value, CAST(is_deleted AS VARCHAR) AS target_value,
-  'EXTRA_COLUMN' AS diff_type, (SELECT least(10, count(*)) FROM tgt_inventory_transaction) AS total_affected
-FROM tgt_inventory_transaction ORDER BY txn_id LIMIT 10"""
+  'EXTRA_COLUMN' AS diff_type FROM tgt_inventory_transaction ORDER BY txn_id LIMIT 10"""
     sql["sample_diff_values"] = _samples(None)
+    sampled = " OR ".join(f"(table_name = '{t}' AND column_name = '{c}')" for t, c in _SAMPLED)
+    sql["sample_diff_totals"] = f"""SELECT table_name, column_name,
+  count(*) FILTER (no_target OR source_value IS DISTINCT FROM target_value) AS affected_rows
+FROM diffs WHERE {sampled} GROUP BY table_name, column_name
+UNION ALL SELECT 'vendor', 'vendor_tier', count(vendor_tier) FROM src_vendor
+UNION ALL SELECT 'inventory_transaction', 'is_deleted', least(10, count(*)) FROM tgt_inventory_transaction"""
     sql["sample_diff_window"] = _samples(50)
     sql["count_affected"] = """SELECT table_name, column_name,
   count(*) FILTER (no_target OR source_value IS DISTINCT FROM target_value) AS affected_rows
@@ -617,7 +621,8 @@ WHERE source_value IS DISTINCT FROM target_value GROUP BY ALL"""
 INTERSECT SELECT txn_id FROM tgt_inventory_transaction"""
     sql["first_n_by_key"] = "SELECT * FROM src_inventory_transaction ORDER BY txn_id LIMIT 10"
     sql["ts_offset_profile"] = _union([
-        _offsets("inventory", "last_counted_ts"), _offsets("inventory_transaction", "txn_ts")])
+        _offsets("inventory", "last_counted_ts"), _offsets("inventory_transaction", "txn_ts"),
+        _offsets("purchase_order", "order_date")])
 
     # counts and fingerprints
     sql["row_recon"] = "SELECT * FROM recon"

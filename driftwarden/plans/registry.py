@@ -363,16 +363,12 @@ def schema_diff_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def sample_diff_missing_column(spark: SparkSession, sf: str) -> DataFrame:
-    p = dv.pair(spark, sf, "vendor")
-    total = value_diff.sampled_total(p, "vendor_tier").select("table_name", F.col("affected_rows").alias("total_affected"))
-    return value_diff.sample_diff(p, "vendor_tier").join(F.broadcast(total), "table_name")  # one-row total
+    return value_diff.sample_diff(dv.pair(spark, sf, "vendor"), "vendor_tier")
 
 
 @query
 def sample_diff_extra_column(spark: SparkSession, sf: str) -> DataFrame:
-    p = dv.pair(spark, sf, "inventory_transaction")
-    total = value_diff.sampled_total(p, "is_deleted").select("table_name", F.col("affected_rows").alias("total_affected"))
-    return value_diff.sample_diff(p, "is_deleted").join(F.broadcast(total), "table_name")  # one-row total
+    return value_diff.sample_diff(dv.pair(spark, sf, "inventory_transaction"), "is_deleted")
 
 
 SAMPLED = (("vendor", "active_flag"), ("inventory", "unit_cost"), ("inventory", "last_counted_ts"),
@@ -384,6 +380,12 @@ def sample_diff_values(spark: SparkSession, sf: str) -> DataFrame:
     return union_all([value_diff.sample_diff(dv.pair(spark, sf, table), column) for table, column in SAMPLED])
 
 
+@query
+def sample_diff_totals(spark: SparkSession, sf: str) -> DataFrame:
+    one_sided = (("vendor", "vendor_tier"), ("inventory_transaction", "is_deleted"))
+    return union_all([value_diff.sampled_total(dv.pair(spark, sf, table), column) for table, column in SAMPLED + one_sided])
+
+
 @query
 def sample_diff_window(spark: SparkSession, sf: str) -> DataFrame:
     return union_all([
@@ -431,8 +433,9 @@ def first_n_by_key(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def ts_offset_profile(spark: SparkSession, sf: str) -> DataFrame:
     return union_all([
-        value_diff.ts_offset_profile(dv.pair(spark, sf, table), column)
-        for table, column in (("inventory", "last_counted_ts"), ("inventory_transaction", "txn_ts"))])
+        value_diff.ts_offset_profile(dv.pair(spark, sf, table), [column])
+        for table, column in (("inventory", "last_counted_ts"), ("inventory_transaction", "txn_ts"),
+                              ("purchase_order", "order_date"))])
 
 
 # ---- counts and fingerprints

@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def scan_task_logs(spark: SparkSession, base: str, dag: str = "*", task: str = "*", run: str = "*",
-                   suffix: str = ".log") -> DataFrame:
-    """One row per log file with its whole text. A log file is one task attempt, so it fits a row."""
-    files = spark.read.text(f"{base.rstrip('/')}/{dag}/{task}/{run}/*{suffix}", wholetext=True)
+def scan_task_logs(spark: SparkSession, base: str, dag: str | None = None, task: str | None = None,
+                   run: str | None = None, suffix: str = ".log") -> DataFrame:
+    """One row per log file with its whole text. A log file is one task attempt, so it fits a row.
+
+    Given names narrow the listed folder as far as they lead without a gap, and filter below it.
+    Folders are listed, not globbed, because run names often hold colons.
+    """
+    wanted = (("dag_id", dag), ("task_id", task), ("run_id", run))
+    folder = base.rstrip("/")
+    for _, name in wanted:
+        if name is None:
+            break
+        folder += f"/{name}"
+    files = (
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}")
+        .text(folder, wholetext=True)
+    )
     parts = F.split(F.col("_metadata.file_path"), "/")
-    return files.select(
-        *[F.url_decode(F.element_at(parts, i)).alias(name)
-          for name, i in (("dag_id", -4), ("task_id", -3), ("run_id", -2), ("file_name", -1))],
-        F.col("_metadata.file_modification_time").alias("modified_at"),
-        F.col("value").alias("log_text"))
+
+    def part(position: int) -> Column:  # the path is percent-encoded but keeps a plus as it is
+        return F.url_decode(F.replace(F.element_at(parts, position), F.lit("+"), F.lit("%2B")))
+
+    logs = files.select(
+        part(-4).alias("dag_id"), part(-3).alias("task_id"), part(-2).alias("run_id"), part(-1).alias("file_name"),
+        F.col("_metadata.file_modification_time").alias("modified_at"), F.col("value").alias("log_text"))
+    for column, name in wanted:
+        if name is not None:
+            logs = logs.filter(F.col(column) == name)
+    return logs

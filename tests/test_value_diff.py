@@ -129,9 +129,9 @@ def test_bucket_fingerprint_localises_a_value_change(spark):
 
 
 def test_offset_profile_separates_clock_drift_from_stale_rows(spark, rows):
-    zone = value_diff.ts_offset_profile(seeds.pair(spark, "inventory"), "last_counted_ts")
+    zone = value_diff.ts_offset_profile(seeds.pair(spark, "inventory"), ["last_counted_ts"])
     assert rows(zone, "offset_seconds", "row_count", "share") == [(18000, 20, 1.0)]
-    stale = value_diff.ts_offset_profile(seeds.pair(spark, "vendor"), "updated_ts")
+    stale = value_diff.ts_offset_profile(seeds.pair(spark, "vendor"), ["updated_ts"])
     assert rows(stale, "offset_seconds", "row_count") == [(-40 * 86400, 9), (0, 11)]
 
 
