@@ -112,29 +112,16 @@ def count_affected(pair: TablePair, columns: Sequence[str] | None = None, unique
     return totals.select(F.lit(pair.name).alias("table_name"), _cells(columns, "affected_rows"))
 
 
-def sampled_total(pair: TablePair, column: str, limit: int = 10) -> DataFrame:
-    """``affected_rows`` of a column that may exist on one side only.
-
-    Missing in the target: rows with a value. Missing in the source: the sampled rows.
-    """
-    if column in pair.source.columns and column in pair.target.columns:
-        return count_affected(pair, [column])
-    if column in pair.source.columns:
-        total = pair.source.agg(F.count(column).alias("affected_rows"))
-    else:
-        total = pair.target.select(pair.key).limit(limit).agg(F.count(F.lit(1)).alias("affected_rows"))
-    return total.select(F.lit(pair.name).alias("table_name"), F.lit(column).alias("column_name"), "affected_rows")
-
-
-def diff_type_summary(pair: TablePair, columns: Sequence[str] | None = None, unique_keys: bool = False) -> DataFrame:
-    """Number of differing rows per column and kind, all columns from one alignment.
+def _label_counts(pair: TablePair, columns: Sequence[str], unique_keys: bool) -> DataFrame:
+    """Rows per column and kind of difference, all columns from one alignment.
 
     Rows with the same combination of kinds are counted first (a handful of combinations per
-    task), so only that small result is unfolded into one row per column.
+    task), so only that small result is unfolded into one row per column. ``MISSING_ROW`` is a
+    lost row whose value was NULL, which is no difference in value.
     """
-    columns = list(columns or pair.shared_columns())
+    no_target = F.col("t").isNull()
     kinds = align(pair, columns, unique_keys).filter(F.col("s").isNotNull()).select(
-        *[_label(pair, c).alias(c) for c in columns])
+        *[F.coalesce(_label(pair, c), F.when(no_target, "MISSING_ROW")).alias(c) for c in columns])
     combinations = kinds.groupBy(*columns).agg(F.count(F.lit(1)).alias("rows_"))
     return (
         combinations.select("rows_", _cells(columns, "diff_type"))
@@ -144,6 +131,36 @@ def diff_type_summary(pair: TablePair, columns: Sequence[str] | None = None, uni
     )
 
 
+def diff_type_summary(pair: TablePair, columns: Sequence[str] | None = None, unique_keys: bool = False) -> DataFrame:
+    """Number of differing values per column and kind over the whole table."""
+    counts = _label_counts(pair, list(columns or pair.shared_columns()), unique_keys)
+    return counts.filter(F.col("diff_type") != "MISSING_ROW")
+
+
+def sampled_totals(pair: TablePair, columns: Sequence[str], limit: int = 10, unique_keys: bool = False) -> DataFrame:
+    """Affected rows and prevailing kind per column, for columns that may exist on one side only.
+
+    Missing in the target: rows with a value. Missing in the source: the sampled rows. All
+    shared columns take one alignment, all missing ones one scan.
+    """
+    shared = [c for c in columns if c in pair.source.columns and c in pair.target.columns]
+    missing = [c for c in columns if c not in pair.target.columns]
+    extra = [c for c in columns if c not in pair.source.columns]
+    name = F.lit(pair.name).alias("table_name")
+    parts = []
+    if shared:
+        parts.append(_label_counts(pair, shared, unique_keys))
+    if missing:
+        held = pair.source.agg(*[F.count(c).alias(c) for c in missing])
+        parts.append(held.select(name, _cells(missing, "row_count"), F.lit("MISSING_COLUMN").alias("diff_type")))
+    if extra:
+        sampled = pair.target.select(pair.key).limit(limit).agg(*[F.count(F.lit(1)).alias(c) for c in extra])
+        parts.append(sampled.select(name, _cells(extra, "row_count"), F.lit("EXTRA_COLUMN").alias("diff_type")))
+    return reduce(DataFrame.unionByName, parts).groupBy("table_name", "column_name").agg(
+        F.sum("row_count").alias("affected_rows"),
+        F.max_by("diff_type", F.struct("row_count", "diff_type")).alias("diff_type"))
+
+
 def row_status(pair: TablePair, columns: Sequence[str] | None = None, unique_keys: bool = False) -> DataFrame:
     """Every key with MATCH, CHANGED, SOURCE_ONLY or TARGET_ONLY."""
     columns = list(columns or pair.shared_columns())

@@ -406,20 +406,24 @@ FROM (SELECT date_diff('second', s.{column}, t.{column}) AS offset_seconds, coun
   FROM src_{table} s JOIN tgt_{table} t ON s.{key} = t.{key} GROUP BY 1)"""
 
 
-def _sampled_totals() -> str:
-    """Affected rows of the first sampled column per table."""
+def _first_drift(all_columns: bool) -> str:
+    """Extent and prevailing kind of the first drifted column per table, in sampling order."""
     parts = []
     for table in TABLES:
-        key = KEYS[table]
         mismatched = sorted(c for c, s, t in COLUMNS[table] if s and t and s.split("(")[0] != t.split("(")[0])
         missing = sorted(c for c, s, t in COLUMNS[table] if not t)
-        for i, column in enumerate(mismatched + missing):
-            total = (
-                f"(SELECT count(*) FROM src_{table} s LEFT JOIN tgt_{table} t ON s.{key} = t.{key} WHERE t.{key} IS NULL "
-                f"OR CAST(s.{column} AS VARCHAR) IS DISTINCT FROM CAST(t.{column} AS VARCHAR))"
-                if column in mismatched else f"(SELECT count({column}) FROM src_{table})")
-            parts.append(f"SELECT '{table}' AS table_name, {i} AS step, {total} AS n")
-    return f"SELECT table_name, arg_min(n, step) AS sample_affected FROM ({_union(parts)}) WHERE n > 0 GROUP BY table_name"
+        rest = sorted(set(_shared(table)) - set(mismatched)) if all_columns else []
+        for step, column in enumerate(mismatched + missing + rest):
+            if column in missing:
+                parts.append(f"SELECT '{table}' AS table_name, {step} AS step, 'MISSING_COLUMN' AS diff_type, "
+                             f"count({column}) AS n FROM src_{table}")
+            else:
+                parts.append(f"SELECT '{table}' AS table_name, {step} AS step, diff_type, count(*) AS n FROM diffs WHERE table_name = "
+                             f"'{table}' AND column_name = '{column}' AND (no_target OR source_value IS DISTINCT FROM target_value) "
+                             "GROUP BY diff_type")
+    return f"""SELECT table_name, arg_min(n, step) AS sample_affected, arg_min(diff_type, step) AS diff_type FROM (
+  SELECT table_name, step, sum(n) AS n, arg_max(diff_type, n) AS diff_type FROM ({_union(parts)}) GROUP BY table_name, step)
+WHERE n > 0 GROUP BY table_name"""
 
 
 def _latest(run: str | None) -> str:
@@ -476,7 +480,8 @@ def _ctes() -> dict[str, str]:
         "score": _SCORE,
         "finding_score": _FINDING_SCORE,
         "history": _HISTORY,
-        "sampled": _sampled_totals(),
+        "sampled": _first_drift(False),
+        "sampled_all": _first_drift(True),
     }
 
 
@@ -600,11 +605,11 @@ FROM column_pairs WHERE change IN ('TYPE_MISMATCH', 'MISSING')"""
   'EXTRA_COLUMN' AS diff_type FROM tgt_inventory_transaction ORDER BY txn_id LIMIT 10"""
     sql["sample_diff_values"] = _samples(None)
     sampled = " OR ".join(f"(table_name = '{t}' AND column_name = '{c}')" for t, c in _SAMPLED)
-    sql["sample_diff_totals"] = f"""SELECT table_name, column_name,
-  count(*) FILTER (no_target OR source_value IS DISTINCT FROM target_value) AS affected_rows
-FROM diffs WHERE {sampled} GROUP BY table_name, column_name
-UNION ALL SELECT 'vendor', 'vendor_tier', count(vendor_tier) FROM src_vendor
-UNION ALL SELECT 'inventory_transaction', 'is_deleted', least(10, count(*)) FROM tgt_inventory_transaction"""
+    sql["sample_diff_totals"] = f"""SELECT table_name, column_name, CAST(sum(n) AS BIGINT) AS affected_rows, arg_max(diff_type, n) AS diff_type
+FROM (SELECT table_name, column_name, diff_type, count(*) AS n FROM diffs
+  WHERE ({sampled}) AND (no_target OR source_value IS DISTINCT FROM target_value) GROUP BY ALL) GROUP BY table_name, column_name
+UNION ALL SELECT 'vendor', 'vendor_tier', count(vendor_tier), 'MISSING_COLUMN' FROM src_vendor
+UNION ALL SELECT 'inventory_transaction', 'is_deleted', least(10, count(*)), 'EXTRA_COLUMN' FROM tgt_inventory_transaction"""
     sql["sample_diff_window"] = _samples(50)
     sql["count_affected"] = """SELECT table_name, column_name,
   count(*) FILTER (no_target OR source_value IS DISTINCT FROM target_value) AS affected_rows
@@ -686,6 +691,14 @@ UNION ALL SELECT 'supplier_contract', 'TYPE_COERCION_BOOL', (SELECT count(*) FRO
 UNION ALL SELECT 'purchase_order', 'HEALTHY', 0"""
     sql["root_causes"] = "SELECT table_name, root_cause, confidence, priority, affected_rows, recommended_fix FROM findings"
     sql["root_causes_inferred"] = "SELECT * FROM inferred"
+    sql["root_causes_from_values"] = f"""SELECT k.table_name, k.rule_key, r.root_cause, {_affected('0', 'sample_affected')} AS affected_rows
+FROM (SELECT e.*, s.sample_affected, CASE WHEN missing_columns > 0 THEN 'MISSING_COLUMN' WHEN flag_mismatches > 0 THEN 'TYPE_COERCION_BOOL'
+    WHEN gap_rate > 0 THEN 'CDC_TRIGGER_SKIP'
+    WHEN diff_type IN ('FLOAT_ROUNDING', 'TZ_DRIFT', 'NULL_EMPTY', 'TYPE_COERCION_BOOL') THEN diff_type
+    WHEN delta > 0 THEN 'SOFT_DELETE' WHEN schema_severity IN ('CRITICAL', 'WARNING') THEN 'MISSING_COLUMN'
+    WHEN row_status = 'MISMATCH' THEN 'SOFT_DELETE'
+    WHEN type_mismatches = 0 AND gap_rate = 0 AND delta = 0 AND missed = 0 AND diff_type IS NULL THEN 'HEALTHY' ELSE 'UNKNOWN' END AS rule_key
+  FROM evidence e LEFT JOIN sampled_all s USING (table_name)) k JOIN rules r USING (rule_key)"""
     sql["affected_rows"] = f"""SELECT p.table_name, p.rule_key, r.root_cause, {_affected('0', 's.sample_affected')} AS affected_rows
 FROM all_problems p JOIN rules r USING (rule_key) JOIN evidence e USING (table_name) LEFT JOIN sampled s USING (table_name)"""
     sql["coverage_completion"] = """SELECT table_name, rule_key, root_cause, affected_rows FROM findings WHERE priority = 'P1'

@@ -81,27 +81,35 @@ class Reconciliation:
     def findings(self) -> DataFrame:
         return root_cause.root_causes(self.evidence)
 
-    def sampled_evidence(self) -> DataFrame:
-        """Evidence with the size and kind of the first drifted column among those worth sampling.
+    def sampled_evidence(self, all_columns: bool = False) -> DataFrame:
+        """Evidence with the extent and kind of the first drifted column of each table.
 
-        Columns are known from the schemas alone, so the plan holds exactly one comparison per
-        table with drifted columns.
+        Columns and their order are known from the schemas alone, so the plan holds exactly one
+        comparison per table. ``all_columns`` also compares columns whose type did not change,
+        which finds drift that the schema does not show, such as shifted clocks.
         """
-        by_pair = {p.name: p for p in self.pairs}
-        order: dict[str, list[str]] = {name: sampling_columns(pair) for name, pair in by_pair.items()}
-        totals = [
-            value_diff.sampled_total(by_pair[name], column).withColumn("step", F.lit(i))
-            for name, columns in order.items() for i, column in enumerate(columns)]
+        totals = []
+        for pair in self.pairs:
+            columns = sampling_columns(pair, all_columns)
+            if columns:
+                order = F.array(*[F.lit(c) for c in columns])
+                totals.append(value_diff.sampled_totals(pair, columns).withColumn(
+                    "step", F.array_position(order, F.col("column_name"))))
         if not totals:
-            return self.evidence.withColumn("sample_affected", F.lit(None).cast("bigint"))
-        per_table = reduce(DataFrame.unionByName, totals).filter("affected_rows > 0").groupBy("table_name").agg(
-            F.min_by("affected_rows", "step").alias("sample_affected"))
+            return self.evidence.selectExpr(
+                "*", "CAST(NULL AS BIGINT) AS sample_affected", "CAST(NULL AS STRING) AS diff_type")
+        first = reduce(DataFrame.unionByName, totals).filter("affected_rows > 0").groupBy("table_name").agg(
+            F.min_by(F.struct("affected_rows", "diff_type"), "step").alias("first"))
+        per_table = first.select(
+            "table_name", F.col("first.affected_rows").alias("sample_affected"), "first.diff_type")
         return self.evidence.join(F.broadcast(per_table), "table_name", "left")  # one row per table
 
 
-def sampling_columns(pair: TablePair) -> list[str]:
-    """Columns of a pair to compare by value: changed types, then columns the target lacks, by name."""
+def sampling_columns(pair: TablePair, all_columns: bool = False) -> list[str]:
+    """Columns of a pair to compare by value: changed types, columns the target lacks, then the rest if wanted."""
     source = {f.name: raw_type(f.dataType) for f in pair.source.schema}
     target = {f.name: raw_type(f.dataType) for f in pair.target.schema}
     changed = sorted(c for c in source if c in target and source[c] != target[c])
-    return changed + sorted(c for c in source if c not in target)
+    missing = sorted(c for c in source if c not in target)
+    rest = sorted(set(pair.shared_columns()) - set(changed)) if all_columns else []
+    return changed + missing + rest

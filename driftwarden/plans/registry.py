@@ -383,7 +383,11 @@ def sample_diff_values(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def sample_diff_totals(spark: SparkSession, sf: str) -> DataFrame:
     one_sided = (("vendor", "vendor_tier"), ("inventory_transaction", "is_deleted"))
-    return union_all([value_diff.sampled_total(dv.pair(spark, sf, table), column) for table, column in SAMPLED + one_sided])
+    columns: dict[str, list[str]] = {}
+    for table, column in SAMPLED + one_sided:
+        columns.setdefault(table, []).append(column)
+    totals = [value_diff.sampled_totals(dv.pair(spark, sf, table), listed) for table, listed in columns.items()]
+    return union_all(totals)
 
 
 @query
@@ -600,6 +604,12 @@ def root_causes_inferred(spark: SparkSession, sf: str) -> DataFrame:
         "table_name", "rule_key", "root_cause", "confidence", "priority", "affected_rows")
 
 
+@query
+def root_causes_from_values(spark: SparkSession, sf: str) -> DataFrame:
+    evidence = recon_run(spark, sf).sampled_evidence(all_columns=True)
+    return root_cause.root_causes_inferred(evidence).select("table_name", "rule_key", "root_cause", "affected_rows")
+
+
 @query
 def affected_rows(spark: SparkSession, sf: str) -> DataFrame:
     problems = root_cause.derived_mismatches(recon_run(spark, sf).sampled_evidence())

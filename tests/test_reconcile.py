@@ -177,7 +177,17 @@ def test_sampled_affected_rows(run, rows):
     assert ("inventory_transaction", "MISSING_COLUMN", 25) in got and ("inventory_transaction", "SOFT_DELETE", 6) in got
 
 
+def test_clock_drift_is_found_when_all_columns_are_compared(spark):
+    p = seeds.pair(spark, "purchase_order")
+    shifted = TablePair(p.name, p.key, p.source, p.target.withColumn("created_ts", F.col("created_ts") + F.expr("INTERVAL 5 HOURS")))
+    run = Reconciliation(spark, [shifted], _event_columns(seeds.raw_events(spark)))
+    assert root_cause.root_causes_inferred(run.sampled_evidence()).first().root_cause == "HEALTHY"
+    found = root_cause.root_causes_inferred(run.sampled_evidence(all_columns=True)).first()
+    assert (found.root_cause, found.affected_rows) == ("TZ_MISMATCH", 15)
+
+
 def test_sampling_columns(spark):
+    assert sampling_columns(seeds.pair(spark, "inventory"), all_columns=True)[:2] == ["unit_cost", "last_counted_ts"]
     assert sampling_columns(seeds.pair(spark, "vendor")) == ["active_flag", "vendor_tier"]
     assert sampling_columns(seeds.pair(spark, "purchase_order")) == []
 

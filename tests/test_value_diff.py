@@ -25,16 +25,23 @@ def test_sample_diff_on_seeds(spark, table, column, samples, label, affected):
     p = seeds.pair(spark, table)
     got = value_diff.sample_diff(p, column).collect()
     assert len(got) == samples and {r.diff_type for r in got} == {label}
-    assert value_diff.sampled_total(p, column).first().affected_rows == affected
+    assert value_diff.sampled_totals(p, [column]).first().affected_rows == affected
 
 
 def test_lost_rows_count_as_affected(spark):
     p = seeds.pair(spark, "inventory_transaction")
-    assert value_diff.sampled_total(p, "txn_ts").first().affected_rows == 25
+    assert value_diff.sampled_totals(p, ["txn_ts"]).first().affected_rows == 25
     labels = {r.diff_type: r.row_count for r in value_diff.diff_type_summary(p, ["txn_ts"]).collect()}
     assert labels == {"TZ_DRIFT": 19, "MISSING_VALUE": 6}
 
 
+def test_lost_row_with_null_value_is_affected_but_no_value_diff(spark):
+    p = make_pair(spark, [(1, None, 1.0), (2, "a", 1.0)], [(2, "a", 1.0)])
+    assert [tuple(r) for r in value_diff.sampled_totals(p, ["a"]).collect()] == [("t", "a", 1, "MISSING_ROW")]
+    assert value_diff.diff_type_summary(p, ["a"]).count() == 0
+    assert value_diff.count_affected(p, ["a"]).first().affected_rows == 1
+
+
 def test_samples_are_ordered_by_key_text(spark):
     p = make_pair(spark, [(i, "x", 1.0) for i in (2, 10, 100, 9)], [(i, "y", 1.0) for i in (2, 10, 100, 9)])
     assert [r.pk for r in value_diff.sample_diff(p, "a", limit=3).collect()] == ["10", "100", "2"]
