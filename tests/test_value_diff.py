@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftwarden.config import TablePair
 from driftwarden.operators import checks, row_recon, value_diff
+from driftwarden.session import shuffle_partitions
 from tests import seeds
 
 DDL = "k BIGINT, a STRING, b DOUBLE"
@@ -135,6 +136,23 @@ def test_bucket_fingerprint_localises_a_value_change(spark):
     assert row_recon.bucket_fingerprint(p, 32, ["a"]).count() == 1
 
 
+def test_narrowed_pair_gives_the_same_differences(spark, rows):
+    base = [(i, "a", 1.0) for i in range(2000)] + [(None, "n", 1.0)]
+    target = [(i, "z" if i in (5, 900) else "a", 1.0) for i in range(2000) if i != 44] + [(None, "m", 1.0), (7, "a", 1.0)]
+    p = make_pair(spark, base, target)
+    cut = row_recon.narrow_to_changed(p, buckets=512)
+    assert 0 < cut.source.count() < 60
+    assert rows(value_diff.value_diffs(cut)) == rows(value_diff.value_diffs(p))
+    assert rows(value_diff.diff_type_summary(cut)) == rows(value_diff.diff_type_summary(p))
+    same = row_recon.narrow_to_changed(TablePair("t", "k", p.source, p.source), buckets=512)
+    assert same.source.count() == 0 and same.target.count() == 0
+
+
+def test_shuffle_partitions_follow_the_input():
+    assert [shuffle_partitions(n) for n in (0, 1 << 30, 100 << 40, 1 << 60)] == [8, 8, 100_000, 100_000]
+    assert shuffle_partitions(1 << 40) == 4096
+
+
 def test_offset_profile_separates_clock_drift_from_stale_rows(spark, rows):
     zone = value_diff.ts_offset_profile(seeds.pair(spark, "inventory"), ["last_counted_ts"])
     assert rows(zone, "offset_seconds", "row_count", "share") == [(18000, 20, 1.0)]
