@@ -30,13 +30,16 @@ def filter_events(events: DataFrame, as_of: dt.datetime | None = None,
                   hours_back: int = DEFAULT_LOOKBACK_HOURS, table: str | None = None) -> DataFrame:
     """Events of the look-back window (inclusive), and those whose time is unknown.
 
-    ``as_of=None`` takes the whole log.
+    ``as_of`` is UTC (or carries its zone); ``None`` takes the whole log.
     """
     if table is not None:
         events = events.filter(F.col("table_name") == table)
     if as_of is None:
         return events
-    cutoff = F.lit(as_of - dt.timedelta(hours=hours_back)).cast("timestamp_ntz")
+    if as_of.tzinfo is not None:
+        as_of = as_of.astimezone(dt.timezone.utc).replace(tzinfo=None)
+    # through text, so that neither the session's nor the driver's zone shifts it
+    cutoff = F.lit(str(as_of - dt.timedelta(hours=hours_back))).cast("timestamp_ntz")
     return events.filter((F.col("event_ts") >= cutoff) | F.col("event_ts").isNull())
 
 

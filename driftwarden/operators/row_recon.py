@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,26 +10,33 @@ from pyspark.sql import functions as F
 
 from driftwarden.config import TablePair
 from driftwarden.functions.conversion import canonical_text, percent_of
-from driftwarden.functions.fingerprint import fast_fingerprint, md5_prefix, portable_fingerprint, row_text
+from driftwarden.functions.fingerprint import digest, fast_fingerprint, md5_prefix, portable_fingerprint, row_text
 from driftwarden.sources.local import table_list
 
 
-def tagged_union(pairs: Sequence[TablePair], text_of: dict[str, Sequence[str]] | None = None) -> DataFrame:
-    """One row per table row: table, side and a text.
+def _union_of_sides(pairs: Sequence[TablePair], value_of: Callable[[TablePair], Column], name: str) -> DataFrame:
+    """(table, side, value) of every row of every table.
 
-    The text is the key by default, or the text of the listed columns. All tables go through
-    one aggregate afterwards, so their scans run side by side in one stage.
+    All tables go through one aggregate afterwards, so their scans run side by side in one stage.
     """
-    def rows(pair: TablePair, is_source: bool) -> DataFrame:
-        df = pair.source if is_source else pair.target
-        if text_of is None:
-            text = canonical_text(F.col(pair.key))
-        else:
-            text = row_text([F.col(c) for c in text_of[pair.name]])
-        return df.select(
-            F.lit(pair.name).alias("table_name"), F.lit(is_source).alias("is_source"), text.alias("text"))
+    return reduce(DataFrame.unionByName, [
+        df.select(F.lit(p.name).alias("table_name"), F.lit(is_source).alias("is_source"), value_of(p).alias(name))
+        for p in pairs for df, is_source in ((p.source, True), (p.target, False))])
+
+
+def _comparable(pair: TablePair, column: str) -> Column:
+    """The value itself if both sides have one type, else its text."""
+    same = pair.source.schema[column].dataType == pair.target.schema[column].dataType
+    return F.col(column) if same else canonical_text(F.col(column))
+
+
+def _key_digest(pair: TablePair) -> Column:
+    return F.when(F.col(pair.key).isNotNull(), digest([_comparable(pair, pair.key)]))
+
 
-    return reduce(DataFrame.unionByName, [rows(p, side) for p in pairs for side in (True, False)])
+def _row_digest(pair: TablePair, columns: Sequence[str] | None = None) -> Column:
+    listed = [pair.key, *(pair.shared_columns() if columns is None else columns)]
+    return digest([_comparable(pair, c) for c in listed])
 
 
 def row_recon(pairs: Sequence[TablePair], checksum_scope: str = "key") -> DataFrame:
@@ -38,13 +45,13 @@ def row_recon(pairs: Sequence[TablePair], checksum_scope: str = "key") -> DataFr
     The checksum covers the keys, and then only key columns are read. ``checksum_scope="row"``
     covers the shared columns as well, so that a changed value is a mismatch too.
     """
-    columns = {p.name: [p.key, *p.shared_columns()] for p in pairs} if checksum_scope == "row" else None
+    value_of = {"key": _key_digest, "row": _row_digest}[checksum_scope]
     on_source = F.col("is_source")
-    sides = tagged_union(pairs, columns).groupBy("table_name").agg(
+    sides = _union_of_sides(pairs, value_of, "digest").groupBy("table_name").agg(
         F.count_if(on_source).alias("source_count"),
         F.count_if(~on_source).alias("target_count"),
-        fast_fingerprint(F.col("text"), on_source).alias("source_print"),
-        fast_fingerprint(F.col("text"), ~on_source).alias("target_print"))
+        fast_fingerprint(F.col("digest"), on_source).alias("source_print"),
+        fast_fingerprint(F.col("digest"), ~on_source).alias("target_print"))
     return _with_status(_all_tables(pairs, sides), F.col("source_print") == F.col("target_print"))
 
 
@@ -73,7 +80,8 @@ def key_checksum_exact(pairs: Sequence[TablePair]) -> DataFrame:
     source key and -1 for a target key decides the same question on every executor: the sides
     agree when every key sums to zero.
     """
-    signed = tagged_union(pairs).filter(F.col("text").isNotNull()).groupBy("table_name", "text").agg(
+    keys = _union_of_sides(pairs, lambda p: canonical_text(F.col(p.key)), "text")
+    signed = keys.filter(F.col("text").isNotNull()).groupBy("table_name", "text").agg(
         F.sum(F.when(F.col("is_source"), 1).otherwise(-1)).alias("surplus"))
     per_table = signed.groupBy("table_name").agg(F.count_if(F.col("surplus") != 0).alias("differing_keys"))
     names = table_list(per_table.sparkSession, [p.name for p in pairs]).select("table_name")
@@ -85,13 +93,13 @@ def key_checksum_exact(pairs: Sequence[TablePair]) -> DataFrame:
 
 def key_fingerprint(pairs: Sequence[TablePair]) -> DataFrame:
     """Count and portable fingerprint of the keys, per table and side."""
-    return _portable(tagged_union(pairs))
+    return _portable(_union_of_sides(pairs, lambda p: canonical_text(F.col(p.key)), "text"))
 
 
-def row_fingerprint(pairs: Sequence[TablePair], columns: dict[str, Sequence[str]] | None = None) -> DataFrame:
+def row_fingerprint(pairs: Sequence[TablePair]) -> DataFrame:
     """Count and portable fingerprint of whole rows (the shared columns), per table and side."""
-    columns = columns or {p.name: [p.key, *p.shared_columns()] for p in pairs}
-    return _portable(tagged_union(pairs, columns))
+    return _portable(_union_of_sides(
+        pairs, lambda p: row_text([F.col(c) for c in (p.key, *p.shared_columns())]), "text"))
 
 
 def _portable(rows: DataFrame) -> DataFrame:
@@ -101,10 +109,9 @@ def _portable(rows: DataFrame) -> DataFrame:
              "row_count", "fingerprint")
 
 
-def _bucket_of(key: str, buckets: int, portable: bool) -> Column:
-    text = canonical_text(F.col(key))
-    digest = md5_prefix(text) if portable else F.when(text.isNotNull(), F.xxhash64(text))
-    return F.coalesce(F.pmod(digest, F.lit(buckets)), F.lit(0))
+def _bucket_of(pair: TablePair, buckets: int, portable: bool) -> Column:
+    number = md5_prefix(canonical_text(F.col(pair.key))) if portable else _key_digest(pair)
+    return F.coalesce(F.pmod(number, F.lit(buckets)), F.lit(0))
 
 
 def bucket_fingerprint(pair: TablePair, buckets: int, columns: Sequence[str] = (), portable: bool = True) -> DataFrame:
@@ -115,16 +122,16 @@ def bucket_fingerprint(pair: TablePair, buckets: int, columns: Sequence[str] = (
     """
     def side(df: DataFrame, is_source: bool) -> DataFrame:
         return df.select(
-            F.lit(is_source).alias("is_source"), _bucket_of(pair.key, buckets, portable).alias("bucket"),
-            row_text([F.col(c) for c in (pair.key, *columns)]).alias("text"))
+            F.lit(is_source).alias("is_source"), _bucket_of(pair, buckets, portable).alias("bucket"),
+            _row_digest(pair, columns).alias("digest"))
 
     on_source = F.col("is_source")
     both = side(pair.source, True).unionByName(side(pair.target, False))
     return both.groupBy("bucket").agg(
         F.count_if(on_source).alias("source_count"),
         F.count_if(~on_source).alias("target_count"),
-        fast_fingerprint(F.col("text"), on_source).alias("s"),
-        fast_fingerprint(F.col("text"), ~on_source).alias("t"),
+        fast_fingerprint(F.col("digest"), on_source).alias("s"),
+        fast_fingerprint(F.col("digest"), ~on_source).alias("t"),
     ).filter(F.col("s") != F.col("t")).select("bucket", "source_count", "target_count")
 
 
@@ -140,7 +147,7 @@ def narrow_to_changed(pair: TablePair, columns: Sequence[str] | None = None, buc
         bucket_fingerprint(pair, buckets, columns, portable=False).select(F.col("bucket").alias("_bucket")))
 
     def cut(df: DataFrame) -> DataFrame:
-        in_bucket = df.withColumn("_bucket", _bucket_of(pair.key, buckets, portable=False))
+        in_bucket = df.withColumn("_bucket", _bucket_of(pair, buckets, portable=False))
         return in_bucket.join(unequal, "_bucket", "left_semi").drop("_bucket")
 
     return TablePair(pair.name, pair.key, cut(pair.source), cut(pair.target))

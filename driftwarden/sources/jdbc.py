@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,3 +52,14 @@ def write_jdbc(df: DataFrame, endpoint: JdbcEndpoint, table: str, mode: str = "a
     if mode == "overwrite":
         writer = writer.option("truncate", "true")
     writer.save()
+
+
+def merge_statement(table: str, staging_table: str, key: str, columns: Sequence[str]) -> str:
+    """The upsert of a staged batch as one standard MERGE, for the database or a catalog that supports it."""
+    assignments = ", ".join(f"{c} = s.{c}" for c in columns if c != key)
+    values = ", ".join(f"s.{c}" for c in columns)
+    return (
+        f"MERGE INTO {table} t USING {staging_table} s ON t.{key} = s.{key} "
+        f"WHEN MATCHED THEN UPDATE SET {assignments} "
+        f"WHEN NOT MATCHED THEN INSERT ({', '.join(columns)}) VALUES ({values})"
+    )

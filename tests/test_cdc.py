@@ -27,6 +27,17 @@ def test_window_is_inclusive_and_keeps_unknown_times(spark):
     assert cdc.filter_events(df, table="b").count() == 0
 
 
+def test_window_does_not_depend_on_the_session_zone(spark):
+    df = events(spark, ("a", dt.datetime(2024, 1, 24), True, None), ("a", dt.datetime(2024, 1, 23, 23, 59), True, None))
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert cdc.filter_events(df, AS_OF).count() == 1
+        aware = dt.datetime(2024, 1, 31, 5, 30, tzinfo=dt.timezone(dt.timedelta(hours=5, minutes=30)))
+        assert cdc.filter_events(df, aware).count() == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_missing_flags_and_reasons(spark):
     df = events(spark, ("a", None, None, None), ("a", None, False, None), ("a", None, False, "X"), ("other", None, False, "X"))
     gap = {r.table_name: (r.total_events, r.captured, r.missed, r.gap_rate) for r in cdc.cdc_gap(df, ["a", "b"]).collect()}

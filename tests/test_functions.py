@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from driftwarden.functions import conversion as cv
 from driftwarden.functions import labels
-from driftwarden.functions.fingerprint import portable_fingerprint, row_text
+from driftwarden.functions.fingerprint import digest, portable_fingerprint, row_text
 from driftwarden.functions.log_text import parse_task_log
 from driftwarden.sources.catalog import format_type, raw_type
 
@@ -122,6 +122,11 @@ def test_row_text_tells_null_empty_and_n_apart(spark):
     assert df.select(row_text([F.col("a")])).distinct().count() == 3
 
 
+def test_digest_tells_null_positions_apart(spark):
+    df = spark.createDataFrame([(None, "a"), ("a", None), ("a", ""), ("", "a"), (None, None), ("", "")], "x STRING, y STRING")
+    assert df.select(digest([F.col("x"), F.col("y")])).distinct().count() == 6
+
+
 def test_fingerprint_ignores_order_and_partitioning_but_not_repeats(spark):
     keys = spark.range(1000).select(F.col("id").cast("string").alias("k"))
     print_of = lambda df: df.agg(portable_fingerprint(F.col("k"))).first()[0]

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +140,17 @@ def test_jdbc_options(spark):
         jdbc.read_jdbc(spark, endpoint, "vendor", partition_column="id")
 
 
+def test_merge_statement_does_what_the_upsert_does(spark, rows):
+    current, staged = [(1, "old"), (2, "old")], [(2, "new"), (3, "new")]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE cur (k INTEGER, v VARCHAR); CREATE TABLE stg (k INTEGER, v VARCHAR)")
+    con.executemany("INSERT INTO cur VALUES (?, ?)", current)
+    con.executemany("INSERT INTO stg VALUES (?, ?)", staged)
+    con.sql(jdbc.merge_statement("cur", "stg", "k", ["k", "v"]))
+    merged = load.load_upsert(spark.createDataFrame(current, "k INT, v STRING"), spark.createDataFrame(staged, "k INT, v STRING"), "k")
+    assert sorted(con.sql("SELECT * FROM cur").fetchall()) == rows(merged)
+
+
 def test_soft_delete_filter_reaches_the_scan(spark, tmp_path):
     path = str(tmp_path / "txn")
     seeds.source(spark, "inventory_transaction").write.parquet(path)
