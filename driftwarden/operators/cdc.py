@@ -87,16 +87,20 @@ def ranked_patterns(patterns: DataFrame, k: int | None = None) -> DataFrame:
 def cdc_pattern_detail(events: DataFrame) -> DataFrame:
     """Per table and reason: missed events, first and last time, and the columns they touched.
 
-    Events with the same set of changed columns are counted first; only the distinct sets, of
-    which a table has few, are gathered per reason.
+    Events with the same set of changed columns are counted first, then the sets are unfolded
+    to single columns. What is gathered per reason is at most the column list of its table.
     """
-    by_columns = events.filter(~captured_flag()).groupBy(
+    by_set = events.filter(~captured_flag()).groupBy(
         "table_name", gap_reason().alias("reason"), F.json_object_keys("after").alias("changed"),
     ).agg(F.count(F.lit(1)).alias("n"), F.min("event_ts").alias("first"), F.max("event_ts").alias("last"))
-    columns = F.array_sort(F.array_distinct(F.flatten(F.collect_set("changed"))))
-    return by_columns.groupBy("table_name", "reason").agg(
+    unfolded = by_set.select(
+        "table_name", "reason", "n", "first", "last", F.posexplode_outer("changed").alias("pos", "column_name"))
+    once = F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("n"))  # a set counts with its first column only
+    by_column = unfolded.groupBy("table_name", "reason", "column_name").agg(
+        F.sum(once).alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+    return by_column.groupBy("table_name", "reason").agg(
         F.sum("n").alias("event_count"), F.min("first").alias("first_occurrence"),
-        F.max("last").alias("last_occurrence"), columns.alias("affected_columns"))
+        F.max("last").alias("last_occurrence"), F.array_sort(F.collect_list("column_name")).alias("affected_columns"))
 
 
 def cdc_summary(gaps: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from driftwarden.operators import (
 )
 from driftwarden.plans import migrate
 from driftwarden.plans.reconcile import Reconciliation
-from driftwarden.session import materialize, scratch_path
+from driftwarden.session import scratch_path
 from driftwarden.sources import cdc_log, drift_views as dv, run_store, staging
 from driftwarden.sources.catalog import column_catalog, column_profile, observed_catalog
 from driftwarden.sources.local import small_frame

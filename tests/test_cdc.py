@@ -110,6 +110,15 @@ def test_run_history_appends_and_trends(spark, tmp_path):
     assert [(r.run_id, r.score_change) for r in trend] == [("r1", None), ("r2", 30)]
 
 
+def test_pattern_detail_counts_each_event_once(spark):
+    data = [("a", '{"x":1,"y":2}'), ("a", '{"y":1}'), ("a", "{}"), ("a", None), ("a", '{"x":1,"y":2}')]
+    df = spark.createDataFrame([(t, dt.datetime(2024, 1, i + 1), False, None, after) for i, (t, after) in enumerate(data)],
+                               "table_name STRING, event_ts TIMESTAMP_NTZ, captured BOOLEAN, gap_reason STRING, after STRING")
+    got = cdc.cdc_pattern_detail(df).collect()
+    assert [(r.reason, r.event_count, r.affected_columns, r.first_occurrence.day, r.last_occurrence.day) for r in got] == [
+        ("UNKNOWN", 5, ["x", "y"], 1, 5)]
+
+
 @pytest.mark.parametrize("k", [1, 2])
 def test_top_reasons(spark, k):
     patterns = spark.createDataFrame([("a", "x", 5), ("a", "y", 9), ("a", "z", 5), ("b", "x", 1)], "table_name STRING, reason STRING, event_count BIGINT")
