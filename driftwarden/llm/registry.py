@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftwarden.llm import simhash
+from driftwarden.llm import quality, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +19,16 @@ def op1_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of all documents, the base rules, and the verdict by adaptive thresholds."""
+    return quality.quality_verdicts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_components": op1_simhash_components,
+    "op2_quality_rules": op2_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": quality.ORACLE_SQL,
+}
