@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftwarden.llm import mixing, quality, simhash
+from driftwarden.llm import mixing, quality, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +30,18 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(rows).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op7_shard_by_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near equal bytes, equal texts side by side."""
+    rows = sharding.measured(table(spark, sf_dir, "documents"))
+    return sharding.assign(rows, 24).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_components": op1_simhash_components,
     "op2_quality_rules": op2_quality_rules,
     "op3_mix_sources": op3_mix_sources,
+    "op7_shard_by_splitters": op7_shard_by_splitters,
 }
 
 ORACLE_SQL: dict[str, str] = {
