@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftwarden.llm import mixing, quality, sharding, simhash
+from driftwarden.llm import mixing, packing, quality, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,12 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(rows).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, tokenized, cut and packed into sequences of 2048 tokens."""
+    return packing.packed_pieces(table(spark, sf_dir, "documents"), with_ids=False).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op7_shard_by_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes, equal texts side by side."""
     rows = sharding.measured(table(spark, sf_dir, "documents"))
@@ -41,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_components": op1_simhash_components,
     "op2_quality_rules": op2_quality_rules,
     "op3_mix_sources": op3_mix_sources,
+    "op6_pack_sequences": op6_pack_sequences,
     "op7_shard_by_splitters": op7_shard_by_splitters,
 }
 
