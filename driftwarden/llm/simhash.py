@@ -74,8 +74,8 @@ def fingerprints(docs: DataFrame, shingle_words: int = 4, lanes: int = 1) -> Dat
 
 
 def blocks_for(rows: int, radius: int) -> int:
-    """Fewest blocks whose keys keep the expected rows of a key below about eight."""
-    for blocks in range(radius + 1, BITS // 4):
+    """Fewest blocks, two beyond the radius at least, whose keys keep the expected rows of a key below about eight."""
+    for blocks in range(radius + 2, BITS // 4):
         if rows / 2 ** (BITS * (blocks - radius) / blocks) < 8:
             return blocks
     return BITS // 4
