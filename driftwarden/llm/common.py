@@ -16,9 +16,13 @@ BROADCAST_ROWS = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, a written table, marked for broadcast if it has been counted and has few rows."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, array: str | None = None) -> DataFrame:
+    """``df``, a written table, marked for broadcast if it has been counted and has few rows.
+
+    Where rows hold an array, ten times as many elements may be broadcast in all.
+    """
+    n, elements = df.agg(F.count("*"), F.sum(F.size(array)) if array else F.lit(0)).first()
+    return F.broadcast(df) if n <= rows and (elements or 0) <= 10 * rows else df
 
 
 def text_hash(text: str = "text") -> Column:
