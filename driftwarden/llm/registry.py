@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftwarden.llm import mixing, packing, quality, sharding, simhash, substring
+from driftwarden.llm import mixing, packing, quality, sharding, simhash, substring, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,12 @@ def op7_shard_by_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url; hosts of campaign pages are the list behind the cascade."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge_urls(pages, url_filter.tracking_hosts(pages)).drop("url")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the 50-word passages known from a smaller doc_id."""
     return substring.dedup_digests(table(spark, sf_dir, "documents"))
@@ -54,10 +60,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
     "op6_pack_sequences": op6_pack_sequences,
     "op7_shard_by_splitters": op7_shard_by_splitters,
+    "op8_filter_urls": op8_filter_urls,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality.ORACLE_SQL,
+    "op8_filter_urls": url_filter.ORACLE_SQL,
     "op9_substring_dedup": substring.ORACLE_SQL,
 }
