@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftwarden.llm import mixing, packing, quality, sharding, simhash, substring, url_filter
+from driftwarden.llm import mixing, neighbours, packing, quality, sharding, simhash, substring, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth vector."""
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(rows.select("vec_id", F.col("embedding").alias("vector")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_components": op1_simhash_components,
     "op2_quality_rules": op2_quality_rules,
@@ -62,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_shard_by_splitters": op7_shard_by_splitters,
     "op8_filter_urls": op8_filter_urls,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {
