@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftwarden.llm import mixing, neighbours, packing, quality, sharding, simhash, substring, url_filter
+from driftwarden.llm import mixing, neighbours, packing, quality, sharding, simhash, substring, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(rows).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from the labels outside the held-out fifth."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, tokenized, cut and packed into sequences of 2048 tokens."""
     return packing.packed_pieces(table(spark, sf_dir, "documents"), with_ids=False).select(
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_components": op1_simhash_components,
     "op2_quality_rules": op2_quality_rules,
     "op3_mix_sources": op3_mix_sources,
+    "op4_toxicity": op4_toxicity,
     "op6_pack_sequences": op6_pack_sequences,
     "op7_shard_by_splitters": op7_shard_by_splitters,
     "op8_filter_urls": op8_filter_urls,

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from driftwarden.llm.common import materialize, small_side, text_hash
+from driftwarden.llm.common import materialize, text_hash
 
 WINDOW, ANCHOR_WORDS = 50, 8
 #: Words indexed by a shard on average.
@@ -214,7 +214,7 @@ def _segment_words(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
         F.col("doc_id").alias("id__"), text_hash().alias("key__"), F.col("text").cast("binary").alias("t"))
     # rows alike in doc_id and text repeat their segments, which changes no result
-    rows = rows.join(small_side(materialize(lists, "wanted"), array="wanted"), ["id__", "key__"]).select("wanted", "t")
+    rows = rows.join(lists, ["id__", "key__"]).select("wanted", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,11 +274,13 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, shard_words: int = SH
     nor give repeats; rows alike in doc_id and text have the same ranges; repeats inside one doc_id do not count.
     """
     every = materialize(_occurrences(docs, window), "segments")
-    twice = every.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
+    # written before they are joined, so that a join has plain shuffles below and a hot anchor can be split
+    twice = materialize(every.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where(
+        "a < b").select("anchor"), "anchors-of-several")
     hits = materialize(every.join(twice, "anchor"), "repeated-anchors")
     segs = materialize(hits.groupBy("anchor", "seg").agg(
         F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_key", "first")).alias("rep"), F.first("n").alias("n")), "distinct-segments")
-    several = segs.groupBy("anchor").agg(F.count("*").alias("segs")).where("segs > 1")
+    several = materialize(segs.groupBy("anchor").agg(F.count("*").alias("segs")).where("segs > 1"), "varied-anchors")
     todo = materialize(segs.join(several, "anchor"), "segments-to-compare")
     found = repeated_segments(todo, docs, window, shard_words, anchor_segments).withColumnsRenamed({"anchor": "a__", "seg": "s__"})
     found = found.groupBy("a__", "s__").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
@@ -300,7 +302,7 @@ def kept_words(words: list[bytes], ranges: list[int] | None) -> list[bytes]:
 
 
 def _with_ranges(docs: DataFrame, window: int) -> DataFrame:
-    ranges = small_side(repeated_ranges(docs, window), array="ranges").withColumnsRenamed({"doc_id": "id__", "text_key": "key__"})
+    ranges = repeated_ranges(docs, window).withColumnsRenamed({"doc_id": "id__", "text_key": "key__"})
     return docs.join(ranges, (F.col("doc_id") == F.col("id__")) & (text_hash() == F.col("key__")), "left")
 
 
