@@ -8,12 +8,13 @@ can pack, and the padding lost per group is at most a few bins.
 
 from __future__ import annotations
 
+import base64
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, functions as F
 
 from driftwarden.llm.common import materialize, text_hash
@@ -22,60 +23,48 @@ CAPACITY = 2048
 END_ID = 1
 #: Pieces of a group on average.
 GROUP_PIECES = 4096
-#: Tokenized word pieces remembered by a task; the memory is emptied when it is full.
-REMEMBERED = 100_000
 SEED = 31
 
-#: The pattern by which the byte-level BPE vocabulary splits text before merging.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The public vocabulary, and the same one as a table of ranks.
+VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
-def default_tokenizer() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
-def encoder(path: str) -> Callable[[str], bytes]:
-    """A function from text to its ids as little-endian 32-bit integers.
+def encoder(vocabulary: str | None = None) -> Callable[[str], bytes]:
+    """A function from text to its ids as little-endian 32-bit integers: those of ``vocabulary``, a file of the tokenizers library.
 
-    The tokenizer never merges across the pieces of its splitting pattern, so each different piece is tokenized once and
-    remembered. A text that holds a special token's string is given to the tokenizer as a whole.
+    The default vocabulary also exists as a table of ranks, with which the ids of ordinary text are found in a fifth of
+    the time; a text that holds the string of a special token is left to the tokenizer.
     """
+    import public_tokenizers
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    tokenizer = Tokenizer.from_file(vocabulary or public_tokenizers.path(VOCABULARY))
 
     def whole(text: str) -> bytes:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    class Memory(dict):
-        def __missing__(self, piece: str) -> bytes:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            ids = self[piece] = whole(piece)
-            return ids
+    if vocabulary:
+        return whole
+    import tiktoken
 
-    memory, split = Memory(), regex.compile(PIECES).findall
+    with open(public_tokenizers.path(RANKS), "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
     def encode(text: str) -> bytes:
-        if any(s in text for s in special):
-            return whole(text)
-        return b"".join(map(memory.__getitem__, split(text)))
+        return whole(text) if any(s in text for s in special) else array("I", fast(text)).tobytes()
 
     return encode
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def cut_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """``(doc_id, text_key, start, length, doc_tokens, ids)``: the pieces of every document, ids little-endian 32-bit.
 
     Pieces are consecutive, all but the last ``capacity`` long. A NULL text is empty: one piece, the closing id.
     """
-    path = tokenizer or default_tokenizer()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, width = encoder(path), np.array([END_ID], "<u4").tobytes(), 4 * capacity
+        encode, end, width = encoder(vocabulary), END_ID.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             doc_ids, keys, texts = batch.columns
             for at in range(0, batch.num_rows, 256):
@@ -147,12 +136,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     return dealt.groupBy("group__").applyInPandas(run, schema)
 
 
-def packed_pieces(docs: DataFrame, with_ids: bool = True, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def packed_pieces(docs: DataFrame, with_ids: bool = True, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Every piece of ``docs`` with its place; ``ids_crc32`` always, the ids themselves if wanted.
 
     Without ids only the pieces' numbers are shuffled. Repeated rows give repeated pieces; an empty table gives none.
     """
-    pieces = cut_pieces(docs, tokenizer, capacity).withColumn("ids_crc32", F.crc32("ids"))
+    pieces = cut_pieces(docs, vocabulary, capacity).withColumn("ids_crc32", F.crc32("ids"))
     return pack(materialize(pieces if with_ids else pieces.drop("ids"), "pieces"), capacity)
 
 
