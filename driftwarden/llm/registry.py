@@ -49,9 +49,9 @@ def op7_shard_by_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rule and verdict of every page's url; hosts of campaign pages are the list behind the cascade."""
+    """Rule and verdict of every page's url; addresses of campaign pages are the list behind the cascade."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.judge_urls(pages, url_filter.tracking_hosts(pages)).drop("url")
+    return url_filter.judge_urls(pages, url_filter.campaign_addresses(pages)).drop("url")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

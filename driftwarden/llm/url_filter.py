@@ -130,28 +130,29 @@ def with_membership(rows: DataFrame, key: str, cascade: tuple[DataFrame, int, in
     return joined.withColumn(name, F.coalesce(_listed(key, F.col("levels__"), depth), F.lit(False))).drop("segment__", "levels__")
 
 
+def address() -> Column:
+    """Key of a page: host and path, without parameters and anchors."""
+    return F.concat("host", "path")
+
+
 def judge_urls(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
-    """``pages`` with ``host, path, rule, verdict``: the longest rule's verdict, else block if the host is ``listed (key)``.
+    """``pages`` with ``host, path, rule, verdict``: the longest rule's verdict, else block if the address is ``listed (key)``.
 
-    The key universe is every host of the pages. Urls without a host fit no rule and are on no list unless the empty host is.
+    The key universe is every address of the pages. Urls without a host fit no rule and have the empty address.
     """
-    parsed = with_host_path(pages)
-    cascade = build_cascade(listed, parsed.select(F.col("host").alias("key")))
-    rows = with_membership(parsed, "host", cascade, "listed__").withColumn("rule__", longest_rule(F.col("host"), F.col("path"), rules))
+    parsed = with_host_path(pages).withColumn("address__", address())
+    cascade = build_cascade(listed, parsed.select(F.col("address__").alias("key")))
+    rows = with_membership(parsed, "address__", cascade, "listed__").withColumn(
+        "rule__", longest_rule(F.col("host"), F.col("path"), rules))
     return rows.withColumns({
         "rule": F.col("rule__.rule"),
-        "verdict": F.coalesce("rule__.verdict", F.when(F.col("listed__"), F.lit("block")).otherwise(F.lit("allow")))}).drop("rule__", "listed__")
-
-
-#: The list of the registered query: hosts of which at least this percentage of pages carries a tracking parameter.
-TRACKED_PERCENT = 30
+        "verdict": F.coalesce("rule__.verdict", F.when(F.col("listed__"), F.lit("block")).otherwise(F.lit("allow")))}).drop(
+        "rule__", "listed__", "address__")
 
 
-def tracking_hosts(pages: DataFrame, percent: int = TRACKED_PERCENT) -> DataFrame:
-    """``(key)``: hosts whose pages are largely linked with ``utm_`` parameters, as campaign pages are."""
-    tracked = F.coalesce(F.contains(F.col("url"), F.lit("utm_")), F.lit(False)).cast("long")
-    hosts = with_host_path(pages).groupBy(F.col("host").alias("key")).agg(F.sum(tracked).alias("t"), F.count("*").alias("n"))
-    return hosts.where(f"key <> '' AND 100 * t >= {percent} * n").select("key")
+def campaign_addresses(pages: DataFrame) -> DataFrame:
+    """``(key)``: addresses that some page links with a campaign parameter; the list of the registered query."""
+    return with_host_path(pages.where(F.contains(F.col("url"), F.lit("utm_")))).select(address().alias("key")).distinct()
 
 
 ORACLE_SQL = r"""
@@ -160,15 +161,13 @@ WITH u AS (
 h AS (
   SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-l AS (
-  SELECT host FROM h GROUP BY host
-  HAVING host <> '' AND 100 * count(*) FILTER (contains(url, 'utm_')) >= 30 * count(*)),
+l AS (SELECT host || path AS address FROM h WHERE contains(url, 'utm_')),
 r(rule, name, start, verdict) AS (VALUES ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
   ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
 f AS (
   SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
   FROM h JOIN r ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY page_id)
 SELECT h.page_id, h.host, h.path, f.rule,
-       coalesce(f.verdict, CASE WHEN h.host IN (SELECT host FROM l) THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(f.verdict, CASE WHEN h.host || h.path IN (SELECT address FROM l) THEN 'block' ELSE 'allow' END) AS verdict
 FROM h LEFT JOIN f USING (page_id)
 """
