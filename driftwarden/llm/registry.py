@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftwarden.llm import mixing, neighbours, packing, quality, sharding, simhash, substring, toxicity, url_filter
+from driftwarden.llm import chat, mixing, neighbours, packing, quality, sharding, simhash, substring, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of all conversations as repaired and rendered."""
+    return chat.repaired(table(spark, sf_dir, "conversations"))
+
+
 def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, tokenized, cut and packed into sequences of 2048 tokens."""
     return packing.packed_pieces(table(spark, sf_dir, "documents"), with_ids=False).select(
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_mix_sources": op3_mix_sources,
     "op4_toxicity": op4_toxicity,
+    "op5_chat_format": op5_chat_format,
     "op6_pack_sequences": op6_pack_sequences,
     "op7_shard_by_splitters": op7_shard_by_splitters,
     "op8_filter_urls": op8_filter_urls,
