@@ -158,8 +158,8 @@ def learn_lexicon(train: DataFrame) -> tuple[list[str], list[str]]:
     tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]{3,40}"), F.lit(0)))
     words = train.select(F.explode(tokens).alias("word"), "toxic").groupBy("word").agg(
         F.count("*").alias("n"), F.sum("toxic").alias("bad"))
+    words = materialize(words, "toxicity-words")
     precision = (F.col("bad") - F.sqrt(F.col("bad") * (F.col("n") - F.col("bad")) / F.col("n"))) / (F.col("n") + 1.0)
-    words = words.where("bad > 0").withColumn("p", precision)
     stems = words.select(F.explode(F.array(*[F.when(F.length("word") >= k, F.substring("word", 1, k)) for k in STEM_LENGTHS])).alias("stem"), "n", "bad").where(
         "stem IS NOT NULL").groupBy("stem").agg(F.count("*").alias("words"), F.sum("n").alias("n"), F.sum("bad").alias("bad")).where(
         f"words >= {STEM_WORDS} AND n >= {STEM_DOCS} AND bad >= {STEM_PRECISION} * n")
@@ -168,7 +168,7 @@ def learn_lexicon(train: DataFrame) -> tuple[list[str], list[str]]:
     for stem in best_stems:
         if not stem.startswith(tuple(kept)):
             kept.append(stem)
-    terms = words.where((F.col("n") >= LEAST_DOCS) & (F.col("p") >= LEAST_PRECISION)).orderBy(F.desc("p"), "word").limit(MOST_TERMS)
+    terms = words.withColumn("p", precision).where((F.col("n") >= LEAST_DOCS) & (F.col("p") >= LEAST_PRECISION)).orderBy(F.desc("p"), "word").limit(MOST_TERMS)
     return sorted(r.word for r in terms.collect()), sorted(kept)
 
 
