@@ -19,7 +19,7 @@ LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 
 #: Adaptive rules: integer measure, whether low values fail too, and the least spread (its resolution).
 RATES = {
-    "word_length": ("word_chars * 1000 div n_words", True, 60),
+    "word_length": ("word_chars * 1000 div n_words", True, 150),
     "symbols": ("n_symbols * 1000 div n_words", False, 5),
     "dup_lines": ("n_dup_lines * 1000 div n_words", False, 10),
     "repeats": ("n_repeat_words * 1000 div n_words", False, 50),
@@ -178,7 +178,7 @@ v AS (
 k AS (
   SELECT lang, source, rate, least_spread, 64 * s + (x >> s) AS bucket FROM (
     SELECT lang, source, u.rate, u.x, u.least_spread, greatest(length(bin(u.x)) - 7, 0) AS s FROM v,
-      unnest([{'rate': 1, 'x': a1, 'least_spread': 60}, {'rate': 2, 'x': a2, 'least_spread': 5},
+      unnest([{'rate': 1, 'x': a1, 'least_spread': 150}, {'rate': 2, 'x': a2, 'least_spread': 5},
               {'rate': 3, 'x': a3, 'least_spread': 10}, {'rate': 4, 'x': a4, 'least_spread': 50}]) t(u) WHERE NOT base_failed)),
 l AS (
   SELECT 0 AS level, lang, source, rate, least_spread, bucket FROM k UNION ALL

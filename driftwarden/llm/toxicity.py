@@ -6,7 +6,7 @@
    one edit (two for long tokens) without trying them one by one. A stem matches by the exact beginning of a token.
 3. Each match is judged by its window: inside quotation marks or next to words of reporting it counts as quoted, next to
    words of address as aimed at someone.
-4. A logistic regression over the counts of exact, stem, misspelled, quoted and aimed matches gives the score.
+4. A logistic regression over the counts of plain, stem, misspelled, quoted and aimed matches gives the score.
 """
 
 from __future__ import annotations
@@ -38,7 +38,8 @@ ADDRESS = frozenset("you your you're du dich dir dein ihr euch tu toi vous votre
 OPEN, CLOSE = "«“„‘‹", "»”’›"
 
 TOKEN = re.compile(r"[^\W_]+|[\"«»“”„‹›]")
-FEATURES = ("exact", "stem", "misspelled", "quoted", "aimed", "any", "share")
+#: ``plain`` counts all matches that are not quoted, so a kind too rare to have a weight of its own weighs like the others.
+FEATURES = ("plain", "stem", "misspelled", "quoted", "aimed", "any", "share")
 
 
 def is_held_out() -> Column:
@@ -141,16 +142,16 @@ def features(text: str | None, matcher: Matcher) -> list[float]:
             open_ = (not open_) if t == '"' else True if t in OPEN else False if t in CLOSE else open_
             if open_:
                 inside.add(i)
-    count = dict.fromkeys(FEATURES, 0)
+    count = dict.fromkeys((*FEATURES, "exact"), 0)
     for i in hits:
         window = tokens[max(0, i - CONTEXT):i] + tokens[i + 1:i + 1 + CONTEXT]
         if i in inside or not REPORTING.isdisjoint(window):
             count["quoted"] += 1
         else:
+            count["plain"] += 1
             count[matcher[tokens[i]]] += 1
             count["aimed"] += not ADDRESS.isdisjoint(window)
-    plain = count["exact"] + count["stem"] + count["misspelled"]
-    return [*(float(np.log1p(count[k])) for k in FEATURES[:5]), float(count["exact"] + count["stem"] > 0), min(1.0, 20.0 * plain / len(tokens))]
+    return [*(float(np.log1p(count[k])) for k in FEATURES[:5]), float(count["plain"] > 0), min(1.0, 20.0 * count["plain"] / len(tokens))]
 
 
 def learn_lexicon(train: DataFrame) -> tuple[list[str], list[str]]:
