@@ -21,9 +21,14 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """``df`` as the side of a join with whole texts that is never broadcast: it grows with them."""
+    return df.hint("merge")
+
+
 def text_hash(text: str = "text") -> Column:
     """64-bit hash of a text; NULL differs from the empty text."""
     return F.xxhash64(F.col(text), F.col(text).isNull())
 
 
-__all__ = ["BLANK", "BROADCAST_ROWS", "LOWER", "UPPER", "WORD", "materialize", "small_side", "text_hash"]
+__all__ = ["BLANK", "BROADCAST_ROWS", "LOWER", "UPPER", "WORD", "by_shuffle", "materialize", "small_side", "text_hash"]

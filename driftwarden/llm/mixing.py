@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from driftwarden.llm.common import WORD, materialize, small_side, text_hash
+from driftwarden.llm.common import WORD, by_shuffle, materialize, small_side, text_hash
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
@@ -112,7 +112,7 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     copies = mix(measured(docs), cut=False, **params).withColumns(same).groupBy(
         "id__", "source__", F.col("text_key").alias("key__")).agg(
         F.count("*").alias("rows__"), F.sum(F.expr("taken div nullif(size, 0)")).alias("taken__")).where("taken__ > 0")
-    keyed = docs.withColumns(same | {"key__": text_hash()}).join(copies, ["id__", "source__", "key__"])
+    keyed = docs.withColumns(same | {"key__": text_hash()}).join(by_shuffle(copies), ["id__", "source__", "key__"])
     alike = Window.partitionBy("id__", "source__", "key__").orderBy(F.lit(1))
     times = F.expr("int(taken__ div rows__) + int(rn__ <= taken__ % rows__)")
     return keyed.withColumn("rn__", F.row_number().over(alike)).withColumn(

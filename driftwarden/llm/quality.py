@@ -61,8 +61,8 @@ def measure(docs: DataFrame) -> DataFrame:
     return d.drop("words__", "lines__", "grams__", "repeats__", "order__", "starts__")
 
 
-def base_failed(m: str = "measures__") -> Column:
-    return F.expr(f"{m}.n_words < {LEAST_WORDS} OR 100 * {m}.n_repeat_words > {MOST_REPEATED_PERCENT} * {m}.n_words")
+def base_failed(least_words: str = str(LEAST_WORDS), most_repeated: str = str(MOST_REPEATED_PERCENT)) -> Column:
+    return F.expr(f"measures__.n_words < {least_words} OR 100 * measures__.n_repeat_words > {most_repeated} * measures__.n_words")
 
 
 def _rate(name: str) -> str:
@@ -111,7 +111,7 @@ def fences(sketch: DataFrame) -> DataFrame:
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
-    """``(lang, source, <rate>_low, <rate>_high ...)``, one row per group that has a document past the base rules.
+    """``(lang, source, <rate>_low, <rate>_high ..., least_words, most_repeated)``, one row per group that has a document past the base rules.
 
     A group of fewer than ``LEAST_ROWS`` documents takes its language's fences, a small language the corpus' fences.
     """
@@ -124,36 +124,49 @@ def thresholds(measured: DataFrame) -> DataFrame:
         F.col("rows1") >= LEAST_ROWS, F.col(f"{c}1")).otherwise(F.col(f"{c}2"))
     return every.select("lang", "source", "rate", chosen("low").alias("low"), chosen("high").alias("high")).groupBy(
         "lang", "source").agg(*[F.max(F.when(F.col("rate") == n, F.col(side))).alias(f"{n}_{side}")
-                                for n in RATES for side in ("low", "high")])
+                                for n in RATES for side in ("low", "high")]).withColumns(
+        {"least_words": F.lit(LEAST_WORDS), "most_repeated": F.lit(MOST_REPEATED_PERCENT)})
 
 
-def judge(measured: DataFrame) -> DataFrame:
-    """``measured`` (a written table) with ``base_failed__`` and ``kept__``.
+def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
+    """``measured`` with ``base_failed__`` and ``kept__`` by the ``limits`` of ``thresholds``.
 
     NULL languages and sources are groups of their own; an empty table gives no rows. The thresholds are broadcast if
     counted small, else joined by group.
     """
-    limits = small_side(materialize(thresholds(measured), "thresholds").withColumnsRenamed(
-        {"lang": "lang__", "source": "source__"}))
+    limits = small_side(limits).withColumnsRenamed({"lang": "lang__", "source": "source__"})
     inside = [F.expr(f"{_rate(n)} <= {n}_high" + f" AND {_rate(n)} >= {n}_low" * RATES[n][1]) for n in RATES]
-    kept = ~base_failed()
+    # the base rules come from the joined row too: as constants they would be pushed down and evaluated apart from the
+    # measures that they share with the other rules
+    failed = base_failed(f"coalesce(least_words, {LEAST_WORDS})", f"coalesce(most_repeated, {MOST_REPEATED_PERCENT})")
+    kept = ~failed
     for rule in inside:
         kept = kept & F.coalesce(rule, F.lit(True))
     names = [f"{n}_{side}" for n in RATES for side in ("low", "high")]
     return measured.join(limits, F.expr("lang <=> lang__ AND source <=> source__"), "left").withColumns(
-        {"base_failed__": base_failed(), "kept__": kept}).drop("lang__", "source__", *names)
+        {"base_failed__": failed, "kept__": kept}).drop("lang__", "source__", "least_words", "most_repeated", *names)
+
+
+def _measures(docs: DataFrame) -> DataFrame:
+    """What the rules need to know of each row, without its text, as a written table."""
+    return materialize(measure(docs.select("doc_id", "text", "lang", "source")).drop("text"), "measures")
 
 
 def quality_verdicts(docs: DataFrame) -> DataFrame:
     """Measures and verdict of every row. NULL and empty texts measure zero and fail the base rules; repeated rows stay."""
-    judged = judge(materialize(measure(docs.select("doc_id", "text", "lang", "source")).drop("text"), "measures"))
+    measured = _measures(docs)
+    judged = judge(measured, materialize(thresholds(measured), "thresholds"))
     return judged.select("doc_id", "lang", "source", "measures__.*", F.col("base_failed__").alias("base_failed"),
                          F.col("kept__").alias("kept"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with its columns. Texts are measured once, beside the written rows."""
-    return judge(materialize(measure(docs), "measured-docs")).where("kept__").select(*docs.columns)
+    """The rows of ``docs`` that are kept, with its columns.
+
+    Texts are measured twice, for the thresholds and for the verdicts: that costs less than to write or shuffle them.
+    """
+    limits = materialize(thresholds(_measures(docs)), "thresholds")
+    return judge(measure(docs), limits).where("kept__").select(*docs.columns)
 
 
 ORACLE_SQL = r"""

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from driftwarden.llm.common import materialize, text_hash
+from driftwarden.llm.common import by_shuffle, materialize, text_hash
 from driftwarden.llm.components import connected_components
 
 BITS = 64
@@ -208,9 +208,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, lanes: int = 1, max
     fps = materialize(fingerprints(docs, shingle_words, lanes), "fingerprints")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
     stars = connected_components(links(nodes, nodes.count(), lanes, max_bits, blocks, agree))
-    rooted = nodes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = materialize(nodes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    # written, so that the join has plain shuffles below and a large group can be split
+    groups = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "groups")
     return fps.join(rooted.select("fp", "root").join(groups, "root"), "fp").select(
         "doc_id", "text_key", "fp", "root", "component_id")
 
@@ -237,5 +238,5 @@ def keep_one(docs: DataFrame, **params) -> DataFrame:
         F.coalesce("doc_id", none).alias("id__"), F.col("text_key").alias("key__"))
     one = Window.partitionBy("id__", "key__").orderBy(F.lit(1))
     keyed = docs.withColumns({"id__": F.coalesce("doc_id", none), "key__": text_hash()})
-    return keyed.join(kept, ["id__", "key__"]).withColumn("rn__", F.row_number().over(one)).where("rn__ = 1").drop(
+    return keyed.join(by_shuffle(kept), ["id__", "key__"]).withColumn("rn__", F.row_number().over(one)).where("rn__ = 1").drop(
         "id__", "key__", "rn__")

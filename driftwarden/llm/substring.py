@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from driftwarden.llm.common import materialize, text_hash
+from driftwarden.llm.common import by_shuffle, materialize, text_hash
 
 WINDOW, ANCHOR_WORDS = 50, 8
 #: Words indexed by a shard on average.
@@ -214,7 +214,7 @@ def _segment_words(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
         F.col("doc_id").alias("id__"), text_hash().alias("key__"), F.col("text").cast("binary").alias("t"))
     # rows alike in doc_id and text repeat their segments, which changes no result
-    rows = rows.join(lists, ["id__", "key__"]).select("wanted", "t")
+    rows = rows.join(by_shuffle(lists), ["id__", "key__"]).select("wanted", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,7 +283,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, shard_words: int = SH
     several = materialize(segs.groupBy("anchor").agg(F.count("*").alias("segs")).where("segs > 1"), "varied-anchors")
     todo = materialize(segs.join(several, "anchor"), "segments-to-compare")
     found = repeated_segments(todo, docs, window, shard_words, anchor_segments).withColumnsRenamed({"anchor": "a__", "seg": "s__"})
-    found = found.groupBy("a__", "s__").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    found = materialize(found.groupBy("a__", "s__").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "known-ranges")
     placed = hits.join(segs.select("anchor", "seg", "least"), ["anchor", "seg"])
     whole = placed.where("doc_id > least").select("doc_id", "text_key", F.array("first", F.expr(f"first + n + {window - 1}")).alias("ranges"))
     part = placed.where("doc_id = least").join(found, F.expr("anchor = a__ AND seg = s__")).select(
@@ -303,7 +303,7 @@ def kept_words(words: list[bytes], ranges: list[int] | None) -> list[bytes]:
 
 def _with_ranges(docs: DataFrame, window: int) -> DataFrame:
     ranges = repeated_ranges(docs, window).withColumnsRenamed({"doc_id": "id__", "text_key": "key__"})
-    return docs.join(ranges, (F.col("doc_id") == F.col("id__")) & (text_hash() == F.col("key__")), "left")
+    return docs.join(by_shuffle(ranges), (F.col("doc_id") == F.col("id__")) & (text_hash() == F.col("key__")), "left")
 
 
 def dedup_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
