@@ -15,7 +15,6 @@ ROWS_UPSERTED = r"(?d)rows_upserted.*?(\d+)"
 PARTITIONS = r"(?id)partitions.*?(\d+)"
 SHUFFLE_BYTES = r"(?id)shuffle.*?bytes.*?(\d+)"
 FAILED_TASKS = r"(?id)failed tasks.*?(\d+)"
-ERROR_CHARS = 500
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -27,13 +26,13 @@ def _number(text: Column, pattern: str) -> Column:
     return _found(text, pattern).try_cast("bigint")
 
 
-def last_match(text: Column, pattern: str, max_chars: int) -> Column:
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.substring(F.try_element_at(hits, F.lit(-1)), 1, max_chars)
+def last_match(text: Column, pattern: str, max_chars: int | None = None) -> Column:
+    hit = F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lit(-1))
+    return hit if max_chars is None else F.substring(hit, 1, max_chars)
 
 
-def parse_task_log(text: Column) -> dict[str, Column]:
-    """Named metric columns for a log text."""
+def parse_task_log(text: Column, error_chars: int | None = None) -> dict[str, Column]:
+    """Named metric columns for a log text. ``error_chars`` cuts the error line, for reports with little room."""
     zero = F.lit(0).cast("bigint")
     failed = text.contains(FAILED_MARKS[0]) | text.contains(FAILED_MARKS[1])
     partitions = _number(text, PARTITIONS)
@@ -46,7 +45,7 @@ def parse_task_log(text: Column) -> dict[str, Column]:
         "duration_seconds": F.coalesce(_found(text, DURATION).try_cast("double").cast("bigint"), zero),
         "records_processed": F.coalesce(_number(text, ROWS_UPSERTED), _number(text, ROWS_EXTRACTED), zero),
         "records_failed": zero,
-        "error_message": F.when(failed, last_match(text, ERROR_LINE, ERROR_CHARS)),
+        "error_message": F.when(failed, last_match(text, ERROR_LINE, error_chars)),
         "partitions": partitions,
         "shuffled_bytes": spark_metric(SHUFFLE_BYTES),
         "failed_tasks": spark_metric(FAILED_TASKS),

@@ -113,7 +113,16 @@ def cdc_summary(gaps: DataFrame) -> DataFrame:
 
 
 def cdc_gap_windowed(events: DataFrame, width: str = "1 hour") -> DataFrame:
-    """The gap figures per table and event-time window."""
+    """The gap figures per table and event-time window; events without a readable time have a row with a NULL window."""
+    undated = events.filter(F.col("event_ts").isNull()).groupBy("table_name").agg(*_gap_counts())
+    dated = cdc_gap_dated_windows(events, width)
+    none = {c: F.lit(None).cast(dated.schema[c].dataType) for c in ("window_start", "window_end")}
+    return dated.unionByName(undated.withColumns(
+        none | {"gap_rate": percent_of(F.col("missed"), F.col("total_events"))}))
+
+
+def cdc_gap_dated_windows(events: DataFrame, width: str = "1 hour") -> DataFrame:
+    """The gap figures per table and event-time window, of the events that have a time."""
     per_window = events.groupBy("table_name", F.window("event_ts", width).alias("w")).agg(*_gap_counts())
     return per_window.select(
         "table_name", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
@@ -125,12 +134,17 @@ def cdc_gap_by_run_day(events: DataFrame, lookback_days: int = DEFAULT_LOOKBACK_
 
     A run at midnight covers the ``lookback_days`` days before it, and there is one run after
     every day with events. Events are counted per day first, so each one is read once and only
-    day counts are repeated for the runs that include them.
+    day counts are repeated for the runs that include them. Events without a readable time count in every run of
+    their table, as the look-back keeps them (with a NULL ``as_of`` if it has none).
     """
     day = F.col("event_ts").cast("date").alias("day")
     per_day = events.filter(F.col("event_ts").isNotNull()).groupBy("table_name", day).agg(*_gap_counts())
     age = F.explode(F.sequence(F.lit(1), F.lit(lookback_days))).alias("age")
     seen_by = per_day.select("*", age).withColumn("as_of", F.date_add("day", F.col("age")).cast("timestamp_ntz"))
+    undated = events.filter(F.col("event_ts").isNull()).groupBy("table_name").agg(*_gap_counts())
+    always = undated.join(seen_by.select("table_name", "as_of").distinct(), "table_name", "left").select(
+        "table_name", "total_events", "captured", "missed", F.lit(None).cast("int").alias("age"), "as_of")
+    seen_by = seen_by.drop("day").unionByName(always)
     return seen_by.groupBy("as_of", "table_name").agg(
         *[F.sum(c).alias(c) for c in ("total_events", "captured", "missed")],
         F.max(F.col("age") == 1).alias("follows_activity"),

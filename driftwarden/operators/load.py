@@ -46,20 +46,23 @@ def _not_staged(current: DataFrame, staged: DataFrame, key: str) -> DataFrame:
 
 
 def write_upsert(current: DataFrame, staged: DataFrame, key: str, path: str) -> dict[str, int]:
-    """Write the upserted table as a new version and report row counts, all in one pass."""
+    """Write the upserted table as a new version and report row counts, all in one pass.
+
+    ``path`` belongs to one run: writing it again replaces what an earlier try has left there. It must not hold ``current``.
+    """
     loaded, total = Observation(), Observation()
     rows = F.count(F.lit(1)).alias("rows")
     batch = staged.select(current.columns).observe(loaded, rows)
     result = _not_staged(current, staged, key).unionByName(batch).observe(total, rows)
-    result.write.mode("errorifexists").parquet(path)
+    result.write.mode("overwrite").parquet(path)
     return {"rows_staged": loaded.get["rows"], "rows_upserted": loaded.get["rows"],
             "target_total": total.get["rows"]}
 
 
 def write_overwrite(staged: DataFrame, path: str) -> dict[str, int | str]:
-    """Write the batch as the whole new version of a table."""
+    """Write the batch as the whole new version of a table; like ``write_upsert``, replaces an earlier try of the run."""
     loaded = Observation()
-    staged.observe(loaded, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(path)
+    staged.observe(loaded, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
     return {"rows_loaded": loaded.get["rows"], "method": "overwrite"}
 
 

@@ -22,63 +22,103 @@ def _keyed(pair: TablePair) -> tuple[DataFrame, DataFrame]:
     return source, target
 
 
-def align(pair: TablePair, columns: Sequence[str], unique_keys: bool = False) -> DataFrame:
-    """One row per key: (key, s, t), the listed columns of either side as structs, NULL where absent.
+# names of the aligned columns, chosen not to meet a table's own
+S, T, S_ROWS, T_ROWS = "source__", "target__", "source_rows__", "target_rows__"
+#: Kinds of rows that cannot be paired by key: the key is repeated on a side, or NULL.
+DUPLICATE_KEY, NULL_KEY = "DUPLICATE_KEY", "NULL_KEY"
 
-    Both sides go through one aggregate on the key instead of a join. Repeated keys therefore
-    combine before the shuffle and keep one representative (the greatest row); they can neither
-    multiply nor pile up in one task. ``unique_keys=True`` is for tables known to have no
-    duplicates: it joins, which needs no shuffle for tables bucketed by the key.
+
+def _name(column: str) -> str:
+    """A column name as it is, dots and all."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def _value(side: str, column: str) -> Column:
+    return F.col(side).getField(column)
+
+
+def key_counts(pair: TablePair) -> DataFrame:
+    """Rows of each side per key, NULL included. Narrow and fixed-width: a hash aggregate that combines hot keys before the shuffle."""
+    source, target = _keyed(pair)
+    sides = [df.select(F.col(_name(pair.key)), *[F.lit(n).cast("bigint").alias(c) for c, n in zip((S_ROWS, T_ROWS), ns)])
+             for df, ns in ((source, (1, 0)), (target, (0, 1)))]
+    return sides[0].unionByName(sides[1]).groupBy(_name(pair.key)).agg(
+        F.sum(S_ROWS).alias(S_ROWS), F.sum(T_ROWS).alias(T_ROWS))
+
+
+def align(pair: TablePair, columns: Sequence[str]) -> DataFrame:
+    """One row per key: the key, the listed columns of either side as structs (NULL where absent), and both row counts.
+
+    Keys that are repeated on a side, and the NULL key, cannot say which rows belong together. They have one row with
+    their counts and neither struct, so nothing is thrown away or multiplied; all other rows are joined on the key.
     """
     source, target = _keyed(pair)
+    key = _name(pair.key)
+    odd = key_counts(pair).where(F.col(key).isNull() | (F.col(S_ROWS) > 1) | (F.col(T_ROWS) > 1))
+    repeated = odd.where(F.col(key).isNotNull()).select(key)
 
     def packed(df: DataFrame, name: str) -> DataFrame:
         # the key is part of the struct, so that it is not NULL even for an all-NULL row
-        return df.select(pair.key, F.struct(pair.key, *columns).alias(name))
+        fields = [F.col(_name(c)) for c in dict.fromkeys((pair.key, *columns)) if c in df.columns]
+        rows = df.where(F.col(key).isNotNull()).select(F.col(key), F.struct(*fields).alias(name))
+        return rows.join(repeated, pair.key, "left_anti")
+
+    paired = packed(source, S).join(packed(target, T), pair.key, "full_outer").select(
+        F.col(key), S, T, *[F.col(side).isNotNull().cast("bigint").alias(n) for side, n in ((S, S_ROWS), (T, T_ROWS))])
+    none = [F.lit(None).cast(paired.schema[side].dataType).alias(side) for side in (S, T)]
+    return paired.unionByName(odd.select(F.col(key), *none, S_ROWS, T_ROWS))
+
 
-    s, t = packed(source, "s"), packed(target, "t")
-    if unique_keys:
-        return s.join(t, pair.key, "full_outer")
-    both = s.unionByName(t, allowMissingColumns=True)
-    return both.groupBy(pair.key).agg(F.max("s").alias("s"), F.max("t").alias("t"))
+def _unpaired(pair: TablePair) -> Column:
+    """Why a row of ``align`` has no pair of values, else NULL."""
+    neither = F.col(S).isNull() & F.col(T).isNull()
+    return F.when(neither & F.col(_name(pair.key)).isNull(), NULL_KEY).when(neither, DUPLICATE_KEY)
 
 
 def _differs(pair: TablePair, column: str) -> Column:
     return values_differ(
-        F.col("s")[column], F.col("t")[column],
-        pair.source.schema[column].dataType, pair.target.schema[column].dataType)
+        _value(S, column), _value(T, column), pair.source.schema[column].dataType, pair.target.schema[column].dataType)
 
 
 def _label(pair: TablePair, column: str) -> Column:
     """Kind of difference, NULL where the values are equal."""
     kind = classify_diff(
-        column, F.col("s")[column], F.col("t")[column],
-        pair.source.schema[column].dataType, pair.target.schema[column].dataType)
+        column, _value(S, column), _value(T, column), pair.source.schema[column].dataType, pair.target.schema[column].dataType)
     return F.when(_differs(pair, column), kind)
 
 
 def _cells(columns: Sequence[str], value_name: str) -> Column:
     return F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias(value_name)) for c in columns]))
+        F.struct(F.lit(c).alias("column_name"), F.col(_name(c)).alias(value_name)) for c in columns]))
 
 
-def value_diffs(pair: TablePair, columns: Sequence[str] | None = None, unique_keys: bool = False) -> DataFrame:
-    """Every differing value: key text, column, both texts and the kind. The source side drives."""
+def value_diffs(pair: TablePair, columns: Sequence[str] | None = None) -> DataFrame:
+    """Every differing value: key text, column, both texts and the kind. The source side drives.
+
+    A repeated or NULL key is one row on the key column, with the rows of both sides as its values.
+    """
     columns = list(columns or pair.shared_columns())
-    cells = F.array(*[
-        F.struct(
-            F.lit(c).alias("column_name"), F.col("s")[c].cast("string").alias("source_value"),
-            F.col("t")[c].cast("string").alias("target_value"), _label(pair, c).alias("diff_type"))
-        for c in columns])
+    cells = [F.struct(
+        F.lit(c).alias("column_name"), _value(S, c).cast("string").alias("source_value"),
+        _value(T, c).cast("string").alias("target_value"), _label(pair, c).alias("diff_type")) for c in columns]
+    whole = F.struct(F.lit(pair.key).alias("column_name"), F.col(S_ROWS).cast("string").alias("source_value"),
+                     F.col(T_ROWS).cast("string").alias("target_value"), _unpaired(pair).alias("diff_type"))
+    listed = F.when(_unpaired(pair).isNotNull(), F.array(whole)).otherwise(F.array(*cells))
     return (
-        align(pair, columns, unique_keys).filter(F.col("s").isNotNull())
-        .select(F.lit(pair.name).alias("table_name"), canonical_text(F.col(pair.key)).alias("pk"), F.inline(cells))
+        align(pair, columns).filter(F.col(S_ROWS) > 0)
+        .select(F.lit(pair.name).alias("table_name"), canonical_text(F.col(_name(pair.key))).alias("pk"), F.inline(listed))
         .filter(F.col("diff_type").isNotNull())
     )
 
 
-def sample_diff(pair: TablePair, column: str, limit: int = 10, window_rows: int | None = None,
-                unique_keys: bool = False) -> DataFrame:
+def _window(pair: TablePair, columns: Sequence[str], window_rows: int) -> TablePair:
+    """Both sides cut to their first rows by key."""
+    names = [_name(c) for c in dict.fromkeys((pair.key, *columns))]
+    cut = [df.select(*names).orderBy(_name(pair.key)).limit(window_rows) for df in (pair.source, pair.target)]
+    return TablePair(pair.name, pair.key, *cut)
+
+
+def sample_diff(pair: TablePair, column: str, limit: int = 10, window_rows: int | None = None) -> DataFrame:
     """The first ``limit`` differing rows of a column, by key text.
 
     A column that only one side has yields the first rows by key with the other value NULL.
@@ -90,58 +130,72 @@ def sample_diff(pair: TablePair, column: str, limit: int = 10, window_rows: int
         raise ValueError(f"{pair.name} has no column {column!r} on either side")
     if source_only or target_only:
         side = pair.source if source_only else pair.target
-        value, absent = canonical_text(F.col(column)), F.lit(None).cast("string")
-        rows = side.orderBy(pair.key).limit(limit)
+        value, absent = canonical_text(F.col(_name(column))), F.lit(None).cast("string")
+        rows = side.orderBy(_name(pair.key)).limit(limit)
         return rows.select(
-            F.lit(pair.name).alias("table_name"), canonical_text(F.col(pair.key)).alias("pk"),
+            F.lit(pair.name).alias("table_name"), canonical_text(F.col(_name(pair.key))).alias("pk"),
             F.lit(column).alias("column_name"),
             (value if source_only else absent).alias("source_value"),
             (absent if source_only else value).alias("target_value"),
             F.lit("MISSING_COLUMN" if source_only else "EXTRA_COLUMN").alias("diff_type"))
     if window_rows is not None:
-        cut = [df.select(pair.key, column).orderBy(pair.key).limit(window_rows) for df in (pair.source, pair.target)]
-        pair = TablePair(pair.name, pair.key, *cut)
-    return value_diffs(pair, [column], unique_keys).orderBy("pk").limit(limit)
+        pair = _window(pair, [column], window_rows)
+    return value_diffs(pair, [column]).orderBy("pk").limit(limit)
+
 
+def count_affected(pair: TablePair, columns: Sequence[str] | None = None, window_rows: int | None = None) -> DataFrame:
+    """Per column: shared keys whose values differ, source keys without a target row, and rows without a usable key.
 
-def count_affected(pair: TablePair, columns: Sequence[str] | None = None, unique_keys: bool = False) -> DataFrame:
-    """Per column: shared keys whose values differ plus source keys without a target row."""
+    ``window_rows`` counts within the first rows of each side by key, as ``sample_diff`` compares them.
+    """
     columns = list(columns or pair.shared_columns())
-    affected = [F.count_if(F.col("t").isNull() | _differs(pair, c)).alias(c) for c in columns]
-    totals = align(pair, columns, unique_keys).filter(F.col("s").isNotNull()).agg(*affected)
-    return totals.select(F.lit(pair.name).alias("table_name"), _cells(columns, "affected_rows"))
+    pair = pair if window_rows is None else _window(pair, columns, window_rows)
+    unpaired = _unpaired(pair).isNotNull()
+    affected = [F.sum(F.when(unpaired, F.col(S_ROWS)).when(F.col(T).isNull() | _differs(pair, c), 1).otherwise(0)).alias(c)
+                for c in columns]
+    totals = align(pair, columns).filter(F.col(S_ROWS) > 0).agg(*affected)
+    zeros = totals.select(*[F.coalesce(F.col(_name(c)), F.lit(0)).cast("bigint").alias(c) for c in columns])
+    return zeros.select(F.lit(pair.name).alias("table_name"), _cells(columns, "affected_rows"))
+
 
+#: All kinds of difference that ``_label_counts`` tells apart.
+KINDS = ("NULL_EMPTY", "MISSING_VALUE", "TYPE_COERCION_BOOL", "FLOAT_ROUNDING", "TZ_DRIFT", "VALUE_MISMATCH", "MISSING_ROW",
+         DUPLICATE_KEY, NULL_KEY)
+#: Columns counted by one aggregate; wider tables are counted in groups.
+COLUMNS_AT_ONCE = 50
 
-def _label_counts(pair: TablePair, columns: Sequence[str], unique_keys: bool) -> DataFrame:
-    """Rows per column and kind of difference, all columns from one alignment.
 
-    Rows with the same combination of kinds are counted first (a handful of combinations per
-    task), so only that small result is unfolded into one row per column. ``MISSING_ROW`` is a
-    lost row whose value was NULL, which is no difference in value.
+def _label_counts(pair: TablePair, columns: Sequence[str]) -> DataFrame:
+    """Rows per column and kind of difference: one counter for each, so rows are neither multiplied nor grouped again.
+
+    ``MISSING_ROW`` is a lost row whose value was NULL, which is no difference in value. Rows whose key is repeated or
+    NULL count under that kind in every column.
     """
-    no_target = F.col("t").isNull()
-    kinds = align(pair, columns, unique_keys).filter(F.col("s").isNotNull()).select(
-        *[F.coalesce(_label(pair, c), F.when(no_target, "MISSING_ROW")).alias(c) for c in columns])
-    combinations = kinds.groupBy(*columns).agg(F.count(F.lit(1)).alias("rows_"))
-    return (
-        combinations.select("rows_", _cells(columns, "diff_type"))
-        .filter(F.col("diff_type").isNotNull())
-        .groupBy("column_name", "diff_type").agg(F.sum("rows_").alias("row_count"))
-        .select(F.lit(pair.name).alias("table_name"), "column_name", "diff_type", "row_count")
-    )
+    def counted(group: Sequence[str]) -> DataFrame:
+        kinds = align(pair, group).filter(F.col(S_ROWS) > 0).select(S_ROWS, *[
+            F.coalesce(_unpaired(pair), _label(pair, c), F.when(F.col(T).isNull(), "MISSING_ROW")).alias(f"c{i}")
+            for i, c in enumerate(group)])
+        row = kinds.agg(*[F.sum(F.when(F.col(f"c{i}") == k, F.col(S_ROWS))).alias(f"c{i}_{k}")
+                          for i in range(len(group)) for k in KINDS])
+        return row.select(F.lit(pair.name).alias("table_name"), F.inline(F.array(*[
+            F.struct(F.lit(c).alias("column_name"), F.lit(k).alias("diff_type"), F.col(f"c{i}_{k}").alias("row_count"))
+            for i, c in enumerate(group) for k in KINDS]))).filter(F.col("row_count").isNotNull())
+
+    return reduce(DataFrame.unionByName, [
+        counted(columns[i:i + COLUMNS_AT_ONCE]) for i in range(0, len(columns), COLUMNS_AT_ONCE)])
 
 
-def diff_type_summary(pair: TablePair, columns: Sequence[str] | None = None, unique_keys: bool = False) -> DataFrame:
+def diff_type_summary(pair: TablePair, columns: Sequence[str] | None = None) -> DataFrame:
     """Number of differing values per column and kind over the whole table."""
-    counts = _label_counts(pair, list(columns or pair.shared_columns()), unique_keys)
+    counts = _label_counts(pair, list(columns or pair.shared_columns()))
     return counts.filter(F.col("diff_type") != "MISSING_ROW")
 
 
-def sampled_totals(pair: TablePair, columns: Sequence[str], limit: int = 10, unique_keys: bool = False) -> DataFrame:
+def sampled_totals(pair: TablePair, columns: Sequence[str], window_rows: int | None = None) -> DataFrame:
     """Affected rows and prevailing kind per column, for columns that may exist on one side only.
 
-    Missing in the target: rows with a value. Missing in the source: the sampled rows. All
-    shared columns take one alignment, all missing ones one scan.
+    A column that one side lacks affects all rows in which the other has a value. All shared columns take one
+    alignment, all one-sided ones of a side one scan. ``window_rows`` counts shared columns as in ``count_affected``.
     """
     shared = [c for c in columns if c in pair.source.columns and c in pair.target.columns]
     missing = [c for c in columns if c not in pair.target.columns]
@@ -149,36 +203,44 @@ def sampled_totals(pair: TablePair, columns: Sequence[str], limit: int = 10, uni
     name = F.lit(pair.name).alias("table_name")
     parts = []
     if shared:
-        parts.append(_label_counts(pair, shared, unique_keys))
-    if missing:
-        held = pair.source.agg(*[F.count(c).alias(c) for c in missing])
-        parts.append(held.select(name, _cells(missing, "row_count"), F.lit("MISSING_COLUMN").alias("diff_type")))
-    if extra:
-        sampled = pair.target.select(pair.key).limit(limit).agg(*[F.count(F.lit(1)).alias(c) for c in extra])
-        parts.append(sampled.select(name, _cells(extra, "row_count"), F.lit("EXTRA_COLUMN").alias("diff_type")))
+        parts.append(_label_counts(pair if window_rows is None else _window(pair, shared, window_rows), shared))
+    for side, one_sided, kind in ((pair.source, missing, "MISSING_COLUMN"), (pair.target, extra, "EXTRA_COLUMN")):
+        if one_sided:
+            held = side.agg(*[F.count(F.col(_name(c))).alias(c) for c in one_sided])
+            parts.append(held.select(name, _cells(one_sided, "row_count"), F.lit(kind).alias("diff_type")))
     return reduce(DataFrame.unionByName, parts).groupBy("table_name", "column_name").agg(
         F.sum("row_count").alias("affected_rows"),
         F.max_by("diff_type", F.struct("row_count", "diff_type")).alias("diff_type"))
 
 
-def row_status(pair: TablePair, columns: Sequence[str] | None = None, unique_keys: bool = False) -> DataFrame:
-    """Every key with MATCH, CHANGED, SOURCE_ONLY or TARGET_ONLY."""
+def row_status(pair: TablePair, columns: Sequence[str] | None = None) -> DataFrame:
+    """Every key with MATCH, CHANGED, SOURCE_ONLY, TARGET_ONLY, DUPLICATE_KEY or NULL_KEY."""
+    return _status(pair, columns).select(_name(pair.key), "row_status")
+
+
+def _status(pair: TablePair, columns: Sequence[str] | None) -> DataFrame:
     columns = list(columns or pair.shared_columns())
     changed = reduce(lambda a, b: a | b, [_differs(pair, c) for c in columns], F.lit(False))
     status = (
-        F.when(F.col("t").isNull(), "SOURCE_ONLY").when(F.col("s").isNull(), "TARGET_ONLY")
+        F.when(F.col(T).isNull(), "SOURCE_ONLY").when(F.col(S).isNull(), "TARGET_ONLY")
         .when(changed, "CHANGED").otherwise("MATCH")
     )
-    return align(pair, columns, unique_keys).select(pair.key, status.alias("row_status"))
+    return align(pair, columns).withColumn("row_status", F.coalesce(_unpaired(pair), status))
 
 
-def row_status_counts(pair: TablePair, columns: Sequence[str] | None = None, unique_keys: bool = False) -> DataFrame:
+def row_status_counts(pair: TablePair, columns: Sequence[str] | None = None) -> DataFrame:
     return (
-        row_status(pair, columns, unique_keys).groupBy("row_status").agg(F.count(F.lit(1)).alias("row_count"))
+        row_status(pair, columns).groupBy("row_status").agg(F.count(F.lit(1)).alias("row_count"))
         .select(F.lit(pair.name).alias("table_name"), "row_status", "row_count")
     )
 
 
+def row_status_rows(pair: TablePair, columns: Sequence[str] | None = None) -> DataFrame:
+    """Keys and rows of either side per status; shows what repeated keys hide."""
+    return _status(pair, columns).groupBy("row_status").agg(
+        F.count(F.lit(1)).alias("key_count"), F.sum(S_ROWS).alias("source_rows"), F.sum(T_ROWS).alias("target_rows"))
+
+
 def missing_keys(pair: TablePair) -> DataFrame:
     """Source rows whose key the target lacks: the rows to backfill."""
     source, target = _keyed(pair)
@@ -204,16 +266,16 @@ def first_n_by_key(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(key).limit(n)
 
 
-def ts_offset_profile(pair: TablePair, columns: Sequence[str], unique_keys: bool = False) -> DataFrame:
+def ts_offset_profile(pair: TablePair, columns: Sequence[str]) -> DataFrame:
     """How far target timestamps lie from the source, in seconds, and each offset's share.
 
     One offset for nearly all rows is a clock or zone error; many offsets are stale rows.
     """
     offsets = F.array(*[
         F.struct(F.lit(c).alias("column_name"),
-                 F.timestamp_diff("SECOND", F.col("s")[c], F.col("t")[c]).alias("offset_seconds")) for c in columns])
+                 F.timestamp_diff("SECOND", _value(S, c), _value(T, c)).alias("offset_seconds")) for c in columns])
     counts = (
-        align(pair, list(columns), unique_keys).select(F.inline(offsets)).filter(F.col("offset_seconds").isNotNull())
+        align(pair, list(columns)).select(F.inline(offsets)).filter(F.col("offset_seconds").isNotNull())
         .groupBy("column_name", "offset_seconds").agg(F.count(F.lit(1)).alias("row_count"))
     )
     totals = counts.groupBy("column_name").agg(F.sum("row_count").alias("total"))  # one row per listed column

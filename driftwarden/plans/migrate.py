@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,15 +69,19 @@ class MigrationFailed(RuntimeError):
 def run_migration(spark: SparkSession, read_source: Callable[[str], DataFrame], work_dir: str,
                   current: Mapping[str, DataFrame] | None = None,
                   tables: Mapping[str, TableSpec] = TABLES,
-                  transforms: Mapping[str, Transform] = TRANSFORMS, parallel_tables: int = 4) -> list[TableRun]:
+                  transforms: Mapping[str, Transform] = TRANSFORMS, parallel_tables: int = 4,
+                  run_id: str | None = None) -> list[TableRun]:
     """Extract, transform and load every table, parents before children.
 
     Tables without a dependency on each other run side by side, so small ones do not leave the
-    cluster idle. A table that fails at any step is recorded and does not stop the others. A failed
-    upsert falls back to replacing the table, except when the batch repeats a key, which no load
-    can accept. Each load writes a new version under ``work_dir/target``; publish it when it is done.
+    cluster idle. A table that fails at any step is recorded and does not stop the others. A batch that cannot be upserted
+    because its columns do not fit the current table replaces it, with status REPLACED; any other error (a lost executor, a
+    full disk, a repeated key) fails the table and leaves its last version alone. Each load writes a new version under
+    ``work_dir/runs/<run_id>``; publish it when it is done. A run repeated under its ``run_id`` replaces its own files and
+    upserts again; without one, every call is a run of its own.
     """
     current = current or {}
+    work_dir = f"{work_dir}/runs/{run_id or uuid.uuid4().hex}"
 
     def migrate_table(name: str) -> TableRun:
         run, spec = TableRun(name), tables[name]
@@ -90,7 +96,7 @@ def run_migration(spark: SparkSession, read_source: Callable[[str], DataFrame],
             require_unique(batch, spec.key)
             _load(run, batch, current.get(name), spec.key, f"{work_dir}/target/{name}")
         except Exception as error:  # noqa: BLE001 - one table's failure must not stop the others
-            run.status, run.error = "FAILED", f"{type(error).__name__}: {error}"[:500]
+            run.status, run.error = "FAILED", f"{type(error).__name__}: {error}"
         return run
 
     with ThreadPoolExecutor(max_workers=parallel_tables) as pool:
@@ -104,8 +110,10 @@ def _load(run: TableRun, batch: DataFrame, current: DataFrame | None, key: str,
             run.rows_loaded, run.target_total = done["rows_upserted"], done["target_total"]
             run.method, run.target_path = "upsert", f"{path}/upsert"
             return
-        except Exception as error:  # noqa: BLE001 - the fallback replaces the table
-            run.error = f"upsert: {type(error).__name__}: {error}"[:500]
+        except AnalysisException as error:  # raised before anything is read or written
+            if not set(current.columns) - set(batch.columns):
+                raise
+            run.status, run.error = "REPLACED", f"upsert: {type(error).__name__}: {error}"
     done = write_overwrite(batch, f"{path}/overwrite")
     run.rows_loaded = run.target_total = done["rows_loaded"]
     run.method, run.target_path = done["method"], f"{path}/overwrite"

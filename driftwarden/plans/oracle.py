@@ -128,7 +128,7 @@ SELECT dag_id, task_id, run_id, file_name,
     TRY_CAST(nullif(regexp_extract(log_text, 'Total rows extracted:\s*(\d+)', 1), '') AS BIGINT), 0) AS records_processed,
   CAST(0 AS BIGINT) AS records_failed,
   CASE WHEN contains(log_text, 'State set to FAILED') OR contains(log_text, 'ERROR')
-    THEN substr(list_extract(regexp_extract_all(log_text, '(?m)ERROR.*?$'), -1), 1, 500) END AS error_message,
+    THEN list_extract(regexp_extract_all(log_text, '(?m)ERROR.*?$'), -1) END AS error_message,
   parts AS partitions,
   CASE WHEN parts IS NOT NULL THEN
     coalesce(TRY_CAST(nullif(regexp_extract(log_text, '(?i)shuffle.*?bytes.*?(\d+)', 1), '') AS BIGINT), 0) END AS shuffled_bytes,
@@ -510,8 +510,9 @@ GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1"""
   CAST(primary_key AS VARCHAR) AS primary_key, after, captured, gap_reason FROM cdc_events"""
     sql["cdc_summary_override"] = f"""SELECT * FROM gaps WHERE table_name <> 'vendor'
 UNION ALL SELECT * FROM ({_gaps('cdc_events')}) WHERE table_name = 'vendor'"""
-    sql["task_log_scan"] = """SELECT * EXCLUDE (file_name) FROM parsed_logs QUALIFY row_number() OVER
-  (PARTITION BY dag_id, task_id, run_id ORDER BY file_name DESC) = 1"""
+    sql["task_log_scan"] = "SELECT * EXCLUDE (file_name) FROM parsed_logs"
+    sql["cdc_corrupt_events"] = """SELECT table_name, count(*) FILTER (event_id % 100 <> 0) AS whole_events,
+  count(*) FILTER (event_id % 100 = 0) AS corrupt_lines FROM cdc_events GROUP BY table_name"""
     sql["report_json"] = """SELECT e.table_name, e.source_count, e.missed, e.schema_severity, count(i.issue_type) AS issue_count,
   coalesce(string_agg(i.detail, '; ' ORDER BY i.step), '') AS details
 FROM evidence e LEFT JOIN issues i USING (table_name) GROUP BY ALL"""
@@ -609,7 +610,7 @@ FROM column_pairs WHERE change IN ('TYPE_MISMATCH', 'MISSING')"""
 FROM (SELECT table_name, column_name, diff_type, count(*) AS n FROM diffs
   WHERE ({sampled}) AND (no_target OR source_value IS DISTINCT FROM target_value) GROUP BY ALL) GROUP BY table_name, column_name
 UNION ALL SELECT 'vendor', 'vendor_tier', count(vendor_tier), 'MISSING_COLUMN' FROM src_vendor
-UNION ALL SELECT 'inventory_transaction', 'is_deleted', least(10, count(*)), 'EXTRA_COLUMN' FROM tgt_inventory_transaction"""
+UNION ALL SELECT 'inventory_transaction', 'is_deleted', count(is_deleted), 'EXTRA_COLUMN' FROM tgt_inventory_transaction"""
     sql["sample_diff_window"] = _samples(50)
     sql["count_affected"] = """SELECT table_name, column_name,
   count(*) FILTER (no_target OR source_value IS DISTINCT FROM target_value) AS affected_rows
@@ -620,6 +621,12 @@ WHERE source_value IS DISTINCT FROM target_value GROUP BY ALL"""
     sql["row_status_counts"] = _union(
         [_row_status("src", "tgt", t, "forward") for t in TABLES]
         + [_row_status("tgt", "src", "inventory_transaction", "swapped")])
+    sql["row_status_duplicates"] = """WITH s AS (SELECT l_orderkey, count(*) AS n, max(l_quantity) AS q FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1),
+t AS (SELECT l_orderkey, count(*) AS n, max(l_quantity) AS q FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 5 <> 0 GROUP BY 1)
+SELECT CASE WHEN s.n > 1 OR t.n > 1 THEN 'DUPLICATE_KEY' WHEN t.n IS NULL THEN 'SOURCE_ONLY' WHEN s.n IS NULL THEN 'TARGET_ONLY'
+  WHEN s.q IS DISTINCT FROM t.q THEN 'CHANGED' ELSE 'MATCH' END AS row_status, count(*) AS key_count,
+  CAST(sum(coalesce(s.n, 0)) AS BIGINT) AS source_rows, CAST(sum(coalesce(t.n, 0)) AS BIGINT) AS target_rows
+FROM s FULL JOIN t USING (l_orderkey) GROUP BY 1"""
     lost = "SELECT * FROM src_inventory_transaction WHERE txn_id NOT IN (SELECT txn_id FROM tgt_inventory_transaction)"
     sql["missing_keys"] = lost
     sql["extra_keys"] = lost
@@ -664,6 +671,8 @@ GROUP BY e.table_name, e.reason"""
   FROM ({_gaps('cdc_events')}))"""
     sql["cdc_gap_windowed"] = _GAP_WINDOWS
     sql["cdc_gap_stream"] = _GAP_WINDOWS
+    sql["cdc_gap_windowed_undated"] = _GAP_WINDOWS.replace(
+        "FROM cdc_events", "FROM (SELECT table_name, captured, CASE WHEN event_id % 17 <> 0 THEN event_ts END AS event_ts FROM cdc_events)")
 
     # evidence, issues and score
     sql["evidence"] = "SELECT * EXCLUDE (table_ordinal, flag_mismatches) FROM evidence"
@@ -739,7 +748,8 @@ FROM evidence
 UNION ALL SELECT table_name, 'cdc_gap', CASE WHEN missed = 0 THEN 'healthy' ELSE 'critical' END FROM evidence
 UNION ALL SELECT table_name, 'root_cause:' || root_cause, CASE WHEN root_cause = 'HEALTHY' THEN 'healthy' WHEN priority = 'P1' THEN 'critical'
   WHEN priority = 'P2' THEN 'warning' ELSE 'info' END FROM findings
-UNION ALL SELECT 'inventory', 'sample_diff:' || c, 'warning' FROM (VALUES ('unit_cost'), ('last_counted_ts')) v(c)
+UNION ALL SELECT t, 'sample_diff:' || c, 'warning' FROM (VALUES ('vendor', 'active_flag'), ('inventory', 'unit_cost'), ('inventory', 'last_counted_ts'),
+  ('inventory_transaction', 'txn_ts'), ('supplier_contract', 'terms_notes')) v(t, c)
 UNION ALL SELECT NULL, 'task_log:' || t, 'info' FROM (VALUES """ + ", ".join(f"('{t}')" for t in cfg.RUN_TASKS) + ") v(t)"
 
     # task logs

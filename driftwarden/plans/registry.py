@@ -53,9 +53,10 @@ def recon_run(spark: SparkSession, sf: str) -> Reconciliation:
     return Reconciliation(spark, dv.all_pairs(spark, sf), dv.cdc_events(spark, sf), AS_OF)
 
 
-def observed_changes(spark: SparkSession, sf: str) -> DataFrame:
+def observed_changes(spark: SparkSession, sf: str, *changes: str) -> DataFrame:
+    """Column changes; only columns with one of ``changes`` (all, if none is given) are counted, the others come from the schemas."""
     pairs = dv.all_pairs(spark, sf)
-    return schema_diff.column_changes(observed_catalog(column_catalog(spark, pairs), column_profile(pairs)))
+    return schema_diff.column_changes(observed_catalog(column_catalog(spark, pairs), column_profile(pairs, changes)))
 
 
 # ---- sources, sinks and loads
@@ -124,6 +125,20 @@ def cdc_events_scan(spark: SparkSession, sf: str) -> DataFrame:
     return cdc_log.read_cdc_events(spark, path).drop("updated_by", "before")
 
 
+@query
+def cdc_corrupt_events(spark: SparkSession, sf: str) -> DataFrame:
+    """A log of which every hundredth line is cut in half: what can be read and what is damaged."""
+    path = scratch_path(spark, "events")
+    events = dv.cdc_events(spark, sf)
+    line = F.to_json(F.struct(F.col("table_name"), F.col("event_id").cast("string").alias("event_id"), "operation"))
+    cut = F.when(F.col("event_id") % 100 == 0, F.expr("left(line, length(line) - 2)")).otherwise(F.col("line"))
+    events.withColumn("line", line).select(cut.alias("value")).write.text(path)
+    whole = cdc_log.read_cdc_events(spark, path, skip_corrupt=True).groupBy("table_name").agg(F.count(F.lit(1)).alias("whole_events"))
+    named = F.regexp_extract("line", '"table_name":"([^"]*)"', 1).alias("table_name")
+    corrupt = cdc_log.read_corrupt_lines(spark, path).groupBy(named).agg(F.count(F.lit(1)).alias("corrupt_lines"))
+    return whole.join(corrupt, "table_name", "full_outer").fillna(0)
+
+
 @query
 def cdc_summary_override(spark: SparkSession, sf: str) -> DataFrame:
     events = dv.cdc_events(spark, sf)
@@ -137,9 +152,8 @@ def cdc_summary_override(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def task_log_scan(spark: SparkSession, sf: str) -> DataFrame:
     base = scratch_path(spark, "task-logs")
-    latest = dv.task_logs(spark, sf).groupBy("dag_id", "task_id", "run_id").agg(
-        F.max_by("log_text", "file_name").alias("log_text"))
-    latest.write.partitionBy("dag_id", "task_id", "run_id").text(base)
+    logs = dv.task_logs(spark, sf).select("dag_id", "task_id", "run_id", "log_text")
+    logs.write.option("maxRecordsPerFile", 1).partitionBy("dag_id", "task_id", "run_id").text(base)  # a file per log
     logs = scan_task_logs(spark, base, suffix=".txt")
     folder_value = {c: F.element_at(F.split(c, "="), -1) for c in ("dag_id", "task_id", "run_id")}
     return task_runs.task_metrics(logs.withColumns(folder_value)).drop("file_name")
@@ -306,46 +320,46 @@ def column_catalog_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def schema_missing_columns(spark: SparkSession, sf: str) -> DataFrame:
-    return schema_diff.missing_columns(observed_changes(spark, sf)).select(
+    return schema_diff.missing_columns(observed_changes(spark, sf, "MISSING")).select(
         "table_name", "column_name", F.col("source_data_type").alias("data_type"),
         F.col("source_row_count").alias("row_count"), F.col("source_non_null_count").alias("non_null_count"))
 
 
 @query
 def schema_extra_columns(spark: SparkSession, sf: str) -> DataFrame:
-    return schema_diff.extra_columns(observed_changes(spark, sf)).select(
+    return schema_diff.extra_columns(observed_changes(spark, sf, "EXTRA")).select(
         "table_name", "column_name", F.col("target_data_type").alias("data_type"),
         F.col("target_row_count").alias("row_count"), F.col("target_non_null_count").alias("non_null_count"))
 
 
 @query
 def schema_type_mismatches(spark: SparkSession, sf: str) -> DataFrame:
-    return schema_diff.type_mismatches(observed_changes(spark, sf)).select(
+    return schema_diff.type_mismatches(observed_changes(spark, sf, "TYPE_MISMATCH")).select(
         "table_name", "column_name", F.col("source_data_type").alias("source_type"),
         F.col("target_data_type").alias("target_type"), "source_non_null_count", "target_non_null_count")
 
 
 @query
 def mismatch_type_of(spark: SparkSession, sf: str) -> DataFrame:
-    return schema_diff.type_mismatches(observed_changes(spark, sf)).select(
+    return schema_diff.type_mismatches(observed_changes(spark, sf, "TYPE_MISMATCH")).select(
         "table_name", "column_name", "mismatch_type", F.col("source_row_count").alias("affected_rows"))
 
 
 @query
 def schema_common_columns(spark: SparkSession, sf: str) -> DataFrame:
-    return schema_diff.common_columns(observed_changes(spark, sf)).select(
+    return schema_diff.common_columns(observed_changes(spark, sf, "SAME", "TYPE_MISMATCH")).select(
         "table_name", "column_name", "source_non_null_count", "target_non_null_count")
 
 
 @query
 def schema_nullability_changes(spark: SparkSession, sf: str) -> DataFrame:
-    return schema_diff.nullability_changes(observed_changes(spark, sf)).select(
+    return schema_diff.nullability_changes(observed_changes(spark, sf, "SAME", "TYPE_MISMATCH")).select(
         "table_name", "column_name", "source_nullable", "target_nullable")
 
 
 @query
 def columns_to_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return schema_diff.columns_to_sample(observed_changes(spark, sf)).select(
+    return schema_diff.columns_to_sample(observed_changes(spark, sf, "TYPE_MISMATCH", "MISSING")).select(
         "table_name", "column_name", "step", "source_non_null_count")
 
 
@@ -354,7 +368,7 @@ def schema_diff_summary(spark: SparkSession, sf: str) -> DataFrame:
     def names(lists: str) -> Column:
         return F.array_join(F.transform(lists, lambda c: c["column_name"]), ",").alias(lists)
 
-    return schema_diff.schema_diff(observed_changes(spark, sf)).select(
+    return schema_diff.schema_diff(observed_changes(spark, sf, "MISSING")).select(
         "table_name", "source_column_count", "target_column_count", names("missing_columns"),
         names("type_mismatches"), names("extra_columns"), "missing_values", "schema_severity")
 
@@ -419,6 +433,14 @@ def row_status_counts(spark: SparkSession, sf: str) -> DataFrame:
         value_diff.row_status_counts(p).withColumn("direction", F.lit(direction)) for p, direction in pairs])
 
 
+@query
+def row_status_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items by order: orders with several items cannot be paired, and one target side has lost rows."""
+    items = dv.base_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    source, target = items.where("l_linenumber <= 2"), items.where("l_linenumber = 1 AND l_orderkey % 5 <> 0")
+    return value_diff.row_status_rows(cfg.TablePair("lineitem", "l_orderkey", source, target), ["l_quantity"])
+
+
 @query
 def missing_keys(spark: SparkSession, sf: str) -> DataFrame:
     return value_diff.missing_keys(dv.pair(spark, sf, "inventory_transaction"))
@@ -528,6 +550,13 @@ def cdc_gap_windowed(spark: SparkSession, sf: str) -> DataFrame:
     return cdc.cdc_gap_windowed(dv.cdc_events(spark, sf))
 
 
+@query
+def cdc_gap_windowed_undated(spark: SparkSession, sf: str) -> DataFrame:
+    """A log in which every 17th event has no readable time."""
+    time = F.when(F.col("event_id") % 17 != 0, F.col("event_ts"))
+    return cdc.cdc_gap_windowed(dv.cdc_events(spark, sf).withColumn("event_ts", time))
+
+
 @query
 def cdc_gap_stream(spark: SparkSession, sf: str) -> DataFrame:
     staged, out, state = (scratch_path(spark, p) for p in ("stream-in", "stream-out", "stream-state"))
@@ -654,7 +683,7 @@ def recommended_fixes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def report_schema(spark: SparkSession, sf: str) -> DataFrame:
-    return report.report_schema(observed_changes(spark, sf))
+    return report.report_schema(observed_changes(spark, sf, "MISSING", "EXTRA", "TYPE_MISMATCH"))
 
 
 @query
@@ -691,7 +720,10 @@ def table_status_from_findings(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def result_severity(spark: SparkSession, sf: str) -> DataFrame:
     run = recon_run(spark, sf).persisted()
-    samples = value_diff.sampled_totals(dv.pair(spark, sf, "inventory"), ["unit_cost", "last_counted_ts"])
+    columns = {}
+    for table, column in SAMPLED:
+        columns.setdefault(table, []).append(column)
+    samples = union_all([value_diff.sampled_totals(dv.pair(spark, sf, table), listed) for table, listed in columns.items()])
     status = task_runs.task_status(dv.task_logs(spark, sf), MIGRATION, cfg.RUN_TASKS)
     return report.result_severity(run.evidence, run.findings, samples, status)
 

@@ -21,13 +21,13 @@ SESSION_CONF = {
 }
 
 
-def shuffle_partitions(input_bytes: int, partition_bytes: int = 256 << 20, most: int = 100_000) -> int:
+def shuffle_partitions(input_bytes: int, partition_bytes: int = 256 << 20) -> int:
     """Partitions so that each holds about ``partition_bytes`` when all input is shuffled once.
 
     Adaptive execution merges small partitions but splits large ones only in skewed joins, so a
     session must start from enough of them for its data.
     """
-    return max(8, min(most, -(-input_bytes // partition_bytes)))
+    return max(8, -(-input_bytes // partition_bytes))
 
 
 def build_session(app_name: str = "driftwarden", master: str | None = None, input_bytes: int | None = None,

@@ -61,27 +61,47 @@ def column_catalog(spark: SparkSession, pairs: Sequence[TablePair]) -> DataFrame
     return small_frame(spark, rows, CATALOG_DDL)
 
 
-def column_profile(pairs: Sequence[TablePair]) -> DataFrame:
-    """Row count and non-null count of every column, all columns of a table in one scan."""
-    def profile(name: str, side: str, df: DataFrame) -> DataFrame:
-        counts = df.agg(F.count(F.lit(1)).alias("row_count"), *[F.count(c).alias(c) for c in df.columns])
+def change_of(pair: TablePair, column: str) -> str:
+    """How a column differs between the two schemas: MISSING, EXTRA, TYPE_MISMATCH or SAME."""
+    if column not in pair.target.columns:
+        return "MISSING"
+    if column not in pair.source.columns:
+        return "EXTRA"
+    types = {raw_type(df.schema[column].dataType) for df in (pair.source, pair.target)}
+    return "SAME" if len(types) == 1 else "TYPE_MISMATCH"
+
+
+def column_profile(pairs: Sequence[TablePair], changes: Sequence[str] = ()) -> DataFrame:
+    """Row count and non-null count of columns, those of a table in one scan.
+
+    With ``changes``, only columns that the schemas show to have one of them are read, and sides without any not at all.
+    """
+    def profile(name: str, side: str, df: DataFrame, columns: Sequence[str]) -> DataFrame:
+        counts = df.agg(F.count(F.lit(1)).alias("row_count"), *[F.count(F.col(f"`{c}`")).alias(c) for c in columns])
         cells = F.array(*[
-            F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("non_null_count")) for c in df.columns])
+            F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("non_null_count")) for c in columns])
         return counts.select(
             F.lit(name).alias("table_name"), F.lit(side).alias("side"), "row_count", F.inline(cells))
 
-    return reduce(DataFrame.unionByName, [
-        profile(p.name, side, df) for p in pairs for side, df in (("source", p.source), ("target", p.target))])
+    frames = []
+    for p in pairs:
+        for side, df in (("source", p.source), ("target", p.target)):
+            columns = [c for c in df.columns if not changes or change_of(p, c) in changes]
+            if columns:
+                frames.append(profile(p.name, side, df, columns))
+    if not frames:
+        return pairs[0].source.sparkSession.createDataFrame(
+            [], "table_name STRING, side STRING, row_count BIGINT, column_name STRING, non_null_count BIGINT")
+    return reduce(DataFrame.unionByName, frames)
 
 
 def observed_catalog(catalog: DataFrame, profile: DataFrame) -> DataFrame:
     """The catalog with what the data shows: counts, and whether a NULL really occurs.
 
     ``nullable`` of the result is the observed flag; files and views often declare every column
-    nullable, which would hide a column that has started to receive NULLs. The catalog is
-    bounded by the number of columns, hence the broadcast.
+    nullable, which would hide a column that has started to receive NULLs. Columns without a
+    profile keep the declared flag. Both sides have a row per column, hence the broadcast.
     """
-    return (
-        profile.join(F.broadcast(catalog.drop("nullable")), ["table_name", "side", "column_name"])
-        .withColumn("nullable", F.col("non_null_count") < F.col("row_count"))
-    )
+    observed = F.col("non_null_count") < F.col("row_count")
+    return catalog.join(F.broadcast(profile), ["table_name", "side", "column_name"], "left").withColumn(
+        "nullable", F.coalesce(observed, F.col("nullable")))

@@ -124,3 +124,19 @@ def test_top_reasons(spark, k):
     patterns = spark.createDataFrame([("a", "x", 5), ("a", "y", 9), ("a", "z", 5), ("b", "x", 1)], "table_name STRING, reason STRING, event_count BIGINT")
     got = [(r.table_name, r.reason) for r in cdc.ranked_patterns(patterns, k).orderBy("table_name", "pattern_no").collect()]
     assert got == {1: [("a", "y"), ("b", "x")], 2: [("a", "y"), ("a", "x"), ("b", "x")]}[k]
+
+
+def test_damaged_lines_fail_the_read_unless_left_out(spark, tmp_path):
+    good = '{"event_id": "1", "table_name": "vendor", "timestamp": "2024-01-01T00:00:00Z"}'
+    (tmp_path / "log.json").write_text(good + "\n" + good[:30] + "\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        cdc_log.read_cdc_events(spark, str(tmp_path)).collect()
+    assert [r.table_name for r in cdc_log.read_cdc_events(spark, str(tmp_path), skip_corrupt=True).collect()] == ["vendor"]
+    assert [r.line for r in cdc_log.read_corrupt_lines(spark, str(tmp_path)).collect()] == [good[:30]]
+
+
+def test_undated_events_are_in_every_form(spark):
+    events = spark.createDataFrame([("a", dt.datetime(2024, 1, 1, 5), False), ("a", None, False)], "table_name STRING, event_ts TIMESTAMP_NTZ, captured BOOLEAN")
+    windows = {r.window_start: r.missed for r in cdc.cdc_gap_windowed(events).collect()}
+    assert windows == {None: 1, dt.datetime(2024, 1, 1, 5): 1}
+    assert {r.missed for r in cdc.cdc_gap_by_run_day(events).collect()} == {2}

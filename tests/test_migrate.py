@@ -96,10 +96,31 @@ def test_one_failed_table_does_not_stop_the_others(spark, tmp_path):
 def test_failed_upsert_falls_back_to_replacing(spark, tmp_path):
     current = {"vendor": spark.createDataFrame([("x",)], "unrelated STRING")}
     vendor = run(spark, tmp_path, current=current)["vendor"]
-    assert (vendor.status, vendor.method, vendor.target_total) == ("SUCCESS", "overwrite", 20)
+    assert (vendor.status, vendor.method, vendor.target_total) == ("REPLACED", "overwrite", 20)
     assert vendor.error.startswith("upsert:")
 
 
+def test_a_repeated_run_upserts_again(spark, tmp_path):
+    """The same batch twice under one run id: target-only rows stay, and nothing is left of the first try."""
+    vendor = TRANSFORMS["vendor"](seeds.source(spark, "vendor"))
+    kept = vendor.limit(1).withColumn("vendor_id", F.lit("KEPT")).select(vendor.columns)
+    totals = []
+    for _ in range(2):
+        runs = {r.table_name: r for r in migrate.run_migration(
+            spark, lambda name: seeds.source(spark, name), str(tmp_path), {"vendor": kept}, run_id="r1")}
+        assert (runs["vendor"].status, runs["vendor"].method) == ("SUCCESS", "upsert")
+        totals.append((runs["vendor"].target_total, spark.read.parquet(runs["vendor"].target_path).count()))
+    assert totals == [(21, 21), (21, 21)]
+
+
+def test_other_errors_of_an_upsert_fail_the_table(spark, tmp_path):
+    """An error while rows are read is not taken as a reason to replace the table."""
+    vendor = TRANSFORMS["vendor"](seeds.source(spark, "vendor"))
+    broken = vendor.withColumns({"vendor_id": F.lit("KEPT"), "vendor_name": F.expr("raise_error(concat('lost ', vendor_name))").cast("string")}).select(vendor.columns)
+    got = run(spark, tmp_path, current={"vendor": broken})["vendor"]
+    assert got.status == "FAILED" and got.method is None
+
+
 def test_repeated_key_fails_the_table(spark, tmp_path):
     def read(name):
         df = seeds.source(spark, name)

@@ -43,3 +43,18 @@ def test_restart_adds_nothing_twice(spark, tmp_path):
     stream(spark, tmp_path, batches, watermark="1 hour")
     again = stream(spark, tmp_path, [[("b", at(1), True)]], watermark="1 hour")
     assert {r.table_name: r.total_events for r in again.collect()} == {"a": 1, "b": 1}
+
+
+def test_windows_do_not_depend_on_the_session_zone(spark, tmp_path, rows):
+    """Half-hour zones, and hours that daylight saving skips or repeats."""
+    events = [("a", dt.datetime(2024, 3, 10, 2, 10), True), ("a", dt.datetime(2024, 3, 10, 3, 10), False),
+              ("a", dt.datetime(2024, 11, 3, 5, 30), True), ("a", dt.datetime(2024, 11, 3, 6, 30), False), ("b", at(10, 10), False)]
+    expected = rows(cdc_gap_windowed(spark.createDataFrame(events, DDL)), *gap_stream.RESULT)
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for i, zone in enumerate(("Asia/Kolkata", "America/New_York", "UTC")):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = stream(spark, tmp_path / str(i), [events], watermark="300 days")
+            assert rows(got, *gap_stream.RESULT) == expected, zone
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
