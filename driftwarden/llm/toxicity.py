@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ STEM_LENGTHS, STEM_WORDS, STEM_DOCS, STEM_PRECISION = (4, 5, 6, 7), 5, 20, 0.9
 ONE_EDIT, TWO_EDITS, LONGEST = 5, 9, 40
 #: Tokens around a match that are its context.
 CONTEXT = 6
-REMEMBERED = 500_000
+REMEMBERED, MOST_STATES = 500_000, 50_000
 
 #: Words of reporting and of address in the four languages of the corpus.
 REPORTING = frozenset("said says wrote quote quoted called word term sagte schrieb zitat wort nannte dit écrit citation mot appelé "
@@ -46,90 +47,110 @@ def is_held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
-class Trie:
-    """Terms and stems as nested dictionaries; ``""`` marks the end of a term, ``"*"`` that of a stem."""
+class LexiconAutomaton:
+    """The trie of the terms intersected with Levenshtein automata: accepts what lies within ``edits`` of some term.
 
-    def __init__(self, terms: list[str], stems: list[str]) -> None:
-        self.root: dict = {}
-        for entries, mark in ((terms, ""), (stems, "*")):
-            for entry in entries:
-                node = self.root
-                for char in entry:
-                    node = node.setdefault(char, {})
-                node[mark] = True
-
-    def exact(self, token: str) -> str | None:
-        node = self.root
-        for char in token:
-            node = node.get(char)
-            if node is None:
-                return None
-            if "*" in node:
-                return "stem"
-        return "exact" if "" in node else None
-
-
-class LevenshteinAutomaton:
-    """Words within ``edits`` of ``word``: a state holds the positions reached and the edits spent on each."""
-
-    def __init__(self, word: str, edits: int) -> None:
-        self.word, self.edits = word, edits
-
-    def start(self) -> dict[int, int]:
-        return {i: i for i in range(min(self.edits, len(self.word)) + 1)}
+    A state maps trie nodes to the fewest edits with which they are reached. States and their transitions are made when
+    a token first needs them and then shared by all tokens, so a token costs a table lookup per character, up to the
+    character after which no term is left.
+    """
 
-    def step(self, state: dict[int, int], char: str) -> dict[int, int]:
+    def __init__(self, terms: tuple[str, ...], edits: int) -> None:
+        self.edits, self.alphabet = edits, frozenset("".join(terms))
+        self.children: list[dict[str, int]] = [{}]
+        ends = set()
+        for term in terms:
+            node = 0
+            for char in term:
+                if char not in self.children[node]:
+                    self.children[node][char] = len(self.children)
+                    self.children.append({})
+                node = self.children[node][char]
+            ends.add(node)
+        self.ends = ends
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[frozenset, int] = {}
+        self.states: list[dict[int, int]] = []
+        self.accepting: list[bool] = []
+        self.steps: list[dict[str, int]] = []
+        self.start = self._state({0: 0})
+
+    def _state(self, nodes: dict[int, int]) -> int:
+        """Number of a state, completed by the terms' characters that the token may lack; -1 without a node."""
+        todo = list(nodes)
+        for node in todo:
+            spent = nodes[node] + 1
+            if spent <= self.edits:
+                for child in self.children[node].values():
+                    if spent < nodes.get(child, self.edits + 1):
+                        nodes[child] = spent
+                        todo.append(child)
+        if not nodes:
+            return -1
+        key = frozenset(nodes.items())
+        if key not in self.known:
+            self.known[key] = len(self.states)
+            self.states.append(nodes)
+            self.accepting.append(not self.ends.isdisjoint(nodes))
+            self.steps.append({})
+        return self.known[key]
+
+    def _step(self, state: int, char: str) -> int:
         after: dict[int, int] = {}
-        if state and 0 in state and state[0] < self.edits:
-            after[0] = state[0] + 1
-        for i, spent in sorted(state.items()):
-            for j, cost in ((i + 1, spent + (self.word[i:i + 1] != char)), (i, spent + 1)):
-                if j <= len(self.word) and cost <= self.edits and cost < after.get(j, self.edits + 1):
-                    after[j] = cost
-        for j in sorted(after):  # characters of the word left out
-            while j < len(self.word) and after[j] + 1 <= self.edits and after[j] + 1 < after.get(j + 1, self.edits + 1):
-                after[j + 1] = after[j] + 1
-                j += 1
-        return after
-
-    def accepts(self, state: dict[int, int]) -> bool:
-        return len(self.word) in state
-
-
-def misspelled(trie: Trie, token: str) -> bool:
-    """Whether some term lies within the edits that the token's length allows."""
-    edits = (len(token) >= ONE_EDIT) + (len(token) >= TWO_EDITS)
-    if not edits or len(token) > LONGEST:
-        return False
-    automaton = LevenshteinAutomaton(token, edits)
-    stack = [(trie.root, automaton.start())]
-    while stack:
-        node, state = stack.pop()
-        if "" in node and automaton.accepts(state):
-            return True
-        for char, child in node.items():
-            if len(char) == 1 and char != "*":
-                after = automaton.step(state, char)
-                if after:
-                    stack.append((child, after))
-    return False
+        most = self.edits + 1
+        for node, spent in self.states[state].items():
+            if spent < self.edits and spent + 1 < after.get(node, most):
+                after[node] = spent + 1  # a character too many
+            for own, child in self.children[node].items():
+                cost = spent + (own != char)
+                if cost <= self.edits and cost < after.get(child, most):
+                    after[child] = cost
+        self.steps[state][char] = found = self._state(after)
+        return found
+
+    def accepts(self, token: str) -> bool:
+        if len(self.states) > MOST_STATES:
+            self._clear()
+        state = self.start
+        for char in token:
+            if char not in self.alphabet:
+                char = ""
+            after = self.steps[state].get(char)
+            state = self._step(state, char) if after is None else after
+            if state < 0:
+                return False
+        return self.accepting[state]
 
 
 class Matcher(dict):
     """Kind of match of each token, remembered up to a bound; None for no match."""
 
-    def __init__(self, trie: Trie) -> None:
+    def __init__(self, terms: tuple[str, ...], stems: tuple[str, ...]) -> None:
         super().__init__()
-        self.trie = trie
+        self.terms, self.stems = frozenset(terms), stems
+        self.automata = [LexiconAutomaton(terms, edits) for edits in (1, 2)]
+
+    def misspelled(self, token: str) -> bool:
+        """Whether some term lies within the edits that the token's length allows."""
+        edits = (len(token) >= ONE_EDIT) + (len(token) >= TWO_EDITS)
+        return 0 < edits and len(token) <= LONGEST and self.automata[edits - 1].accepts(token)
 
     def __missing__(self, token: str) -> str | None:
         if len(self) >= REMEMBERED:
             self.clear()
-        kind = self.trie.exact(token) or ("misspelled" if misspelled(self.trie, token) else None)
+        kind = "exact" if token in self.terms else "stem" if token.startswith(self.stems) else "misspelled" if self.misspelled(token) else None
         self[token] = kind
         return kind
 
 
+@lru_cache(maxsize=2)
+def matcher_of(terms: tuple[str, ...], stems: tuple[str, ...]) -> Matcher:
+    """One matcher for all tasks that a worker process runs with the same lexicon."""
+    return Matcher(terms, stems)
+
+
 def features(text: str | None, matcher: Matcher) -> list[float]:
     """Counts of matches by kind and context over the whole text, damped by logarithms; zeros without a match."""
     tokens = TOKEN.findall(text.lower()) if text else []
@@ -178,7 +199,7 @@ def with_features(rows: DataFrame, terms: list[str], stems: list[str]) -> DataFr
     others = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(Trie(terms, stems))
+        matcher = matcher_of(tuple(terms), tuple(stems))
         for batch in batches:
             found = [features(x.as_py(), matcher) for x in batch.column(batch.schema.get_field_index("text"))]
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in others],

@@ -22,11 +22,11 @@ def distance(a, b):
 def test_automaton_finds_what_the_distance_finds(token, terms):
     edits = (len(token) >= toxicity.ONE_EDIT) + (len(token) >= toxicity.TWO_EDITS)
     expected = edits > 0 and any(distance(token, t) <= edits for t in terms)
-    assert toxicity.misspelled(toxicity.Trie(terms, []), token) == expected
+    assert toxicity.Matcher(tuple(terms), ()).misspelled(token) == expected
 
 
 def test_context_tells_quotation_from_abuse():
-    matcher = toxicity.Matcher(toxicity.Trie(["idiot"], ["scumb"]))
+    matcher = toxicity.Matcher(("idiot",), ("scumb",))
     named = lambda text: dict(zip(toxicity.FEATURES, toxicity.features(text, matcher)))
     assert named("you are an idiot")["plain"] > 0 and named("you are an idiot")["aimed"] > 0
     quoted = named('he heard "what an idiot" and left')
