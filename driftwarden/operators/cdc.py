@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwarden.config import DEFAULT_LOOKBACK_HOURS
-from driftwarden.functions.conversion import percent_of
+from driftwarden.functions.conversion import parse_iso_ts, percent_of
 from driftwarden.sources.local import table_list
 
 
@@ -51,8 +51,8 @@ def _gap_counts() -> list[Column]:
 def cdc_gap(events: DataFrame, tables: Sequence[str], summary: DataFrame | None = None) -> DataFrame:
     """Total, captured and missed events and the gap rate, one row for each listed table.
 
-    ``summary`` holds precomputed figures that replace the computed ones for its tables.
-    Every joined side has at most one row per listed table.
+    ``summary`` holds precomputed figures that replace the computed ones for its tables; a table that it lists twice
+    fails the query. Every joined side has at most one row per listed table.
     """
     figures = ("total_events", "captured", "missed")
     counted = events.filter(F.col("table_name").isin(*tables)).groupBy("table_name").agg(*_gap_counts())
@@ -61,17 +61,28 @@ def cdc_gap(events: DataFrame, tables: Sequence[str], summary: DataFrame | None
     if summary is None:
         return gaps
     columns = (*figures, "gap_rate")
-    given = summary.filter(F.col("table_name").isin(*tables)).select(
-        "table_name", *[F.col(c).alias(f"given_{c}") for c in columns])
+    once = lambda c: F.when(F.count(F.lit(1)) == 1, F.max(c)).otherwise(F.raise_error(
+        F.concat(F.lit("the gap summary lists a table twice: "), F.max("table_name"))))
+    given = summary.filter(F.col("table_name").isin(*tables)).groupBy("table_name").agg(*[once(c).alias(f"given_{c}") for c in columns])
     return gaps.join(F.broadcast(given), "table_name", "left").select(
         "table_name", *[F.coalesce(f"given_{c}", c).alias(c) for c in columns])
 
 
-def cdc_gap_patterns(events: DataFrame) -> DataFrame:
-    """Missed events per table and reason with a rank by count (ties by reason)."""
+def cdc_gap_patterns(events: DataFrame, summary: DataFrame | None = None) -> DataFrame:
+    """Missed events per table and reason with a rank by count (ties by reason).
+
+    A ``summary`` replaces the patterns of every table for which it gives some, and adds what it says of them:
+    description, columns, first and last time (NULL for computed patterns).
+    """
     patterns = events.filter(~captured_flag()).groupBy("table_name", gap_reason().alias("reason")).agg(
         F.count(F.lit(1)).alias("event_count"))
-    return ranked_patterns(patterns)
+    if summary is None:
+        return ranked_patterns(patterns)
+    given = summary.select("table_name", F.inline("gap_patterns")).select(
+        "table_name", F.coalesce("reason", F.lit("UNKNOWN")).alias("reason"), F.col("count").alias("event_count"),
+        "description", "affected_columns", *[parse_iso_ts(F.col(c)).alias(c) for c in ("first_occurrence", "last_occurrence")])
+    computed = patterns.join(given.select("table_name").distinct(), "table_name", "left_anti")
+    return ranked_patterns(given.unionByName(computed, allowMissingColumns=True))
 
 
 def ranked_patterns(patterns: DataFrame, k: int | None = None) -> DataFrame:

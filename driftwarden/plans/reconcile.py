@@ -77,6 +77,17 @@ class Reconciliation:
     def score(self) -> DataFrame:
         return issues.health_score(self.health)
 
+    @property
+    def patterns(self) -> DataFrame:
+        """Gap patterns of the look-back; those of a given summary win, like its figures."""
+        return cdc.cdc_gap_patterns(self.window_events, self.gap_summary)
+
+    def run_record(self, run_id: str, migration: str, started_at: dt.datetime) -> DataFrame:
+        """The finished run as one row of the run history, from its issues."""
+        return self.score.select(
+            F.lit(run_id).alias("run_id"), F.lit(migration).alias("migration"), F.lit("recon_complete").alias("status"),
+            F.lit(str(started_at)).cast("timestamp_ntz").alias("started_at"), "health_score", "issues_found")
+
     @property
     def findings(self) -> DataFrame:
         return root_cause.root_causes(self.evidence)

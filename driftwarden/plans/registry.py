@@ -163,11 +163,12 @@ def task_log_scan(spark: SparkSession, sf: str) -> DataFrame:
 def report_json(spark: SparkSession, sf: str) -> DataFrame:
     run = recon_run(spark, sf).persisted()
     path = scratch_path(spark, "report")
-    run_store.write_report_json(run.evidence, run.issues, path)
-    written = spark.read.schema("""table_name STRING, source_count BIGINT, missed BIGINT, schema_severity STRING,
+    run_store.write_report_json(run.evidence, run.issues, path, run.findings, run.run_record(RUN_ID, MIGRATION, AS_OF))
+    written = spark.read.schema("""run_id STRING, health_score INT, table_name STRING, source_count BIGINT, missed BIGINT,
+        schema_severity STRING, findings ARRAY<STRUCT<root_cause: STRING>>,
         issues ARRAY<STRUCT<issue_no: INT, issue_type: STRING, severity: STRING, detail: STRING>>""").json(path)
     return written.select(
-        "table_name", "source_count", "missed", "schema_severity", F.size("issues").cast("bigint").alias("issue_count"),
+        "run_id", "health_score", F.array_join(F.transform("findings", lambda f: f["root_cause"]), "; ").alias("causes"), "table_name", "source_count", "missed", "schema_severity", F.size("issues").cast("bigint").alias("issue_count"),
         F.coalesce(F.array_join(F.transform("issues", lambda i: i["detail"]), "; "), F.lit("")).alias("details"))
 
 
@@ -183,6 +184,14 @@ def run_history(spark: SparkSession, sf: str) -> DataFrame:
     return _written_history(spark, sf)
 
 
+@query
+def run_record(spark: SparkSession, sf: str) -> DataFrame:
+    """The run as its history keeps it, written and read again."""
+    path = scratch_path(spark, "runs")
+    run_store.append_run(recon_run(spark, sf).run_record(RUN_ID, MIGRATION, AS_OF), path)
+    return run_store.run_history(spark, path)
+
+
 @query
 def score_trend(spark: SparkSession, sf: str) -> DataFrame:
     return report.score_trend(_written_history(spark, sf))
@@ -527,6 +536,19 @@ def cdc_gap_patterns(spark: SparkSession, sf: str) -> DataFrame:
     return cdc.cdc_gap_patterns(dv.cdc_events(spark, sf))
 
 
+@query
+def cdc_patterns_override(spark: SparkSession, sf: str) -> DataFrame:
+    """A summary document that gives the patterns of one table, one event more for each reason."""
+    events = dv.cdc_events(spark, sf)
+    pattern = F.struct("reason", F.concat(F.lit("given: "), F.col("reason")).alias("description"), (F.col("event_count") + 1).alias("count"))
+    given = cdc.cdc_gap_patterns(events).where("table_name = 'vendor'").groupBy("table_name").agg(F.collect_list(pattern).alias("gap_patterns"))
+    document = F.to_json(F.struct(F.create_map(F.col("table_name"), F.struct("gap_patterns")).alias("gap_analysis")))
+    path = scratch_path(spark, "gap-summary")
+    given.select(document.alias("value")).write.text(path)
+    patterns = cdc.cdc_gap_patterns(events, cdc_log.read_cdc_summary(spark, path))
+    return report.report_cdc_patterns(patterns)
+
+
 @query
 def top_gap_reasons(spark: SparkSession, sf: str) -> DataFrame:
     patterns = cdc.cdc_gap_patterns(dv.cdc_events(spark, sf)).drop("pattern_no")
@@ -698,7 +720,7 @@ def report_cdc(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def report_cdc_patterns(spark: SparkSession, sf: str) -> DataFrame:
-    return report.report_cdc_patterns(cdc.cdc_gap_patterns(recon_run(spark, sf).window_events))
+    return report.report_cdc_patterns(recon_run(spark, sf).patterns)
 
 
 @query

@@ -18,11 +18,19 @@ def run_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RUN_DDL).parquet(path)
 
 
-def write_report_json(evidence: DataFrame, issues: DataFrame, path: str) -> None:
-    """One JSON object per table: its evidence and its list of issues.
+def write_report_json(evidence: DataFrame, issues: DataFrame, path: str, findings: DataFrame | None = None,
+                      run: DataFrame | None = None) -> None:
+    """One JSON object per table: its evidence, issues and findings, and the record of the run (``RUN_COLUMNS``, one row).
 
-    Issues are bounded by the columns of a table plus two, so the list is safe to collect per table.
+    Issues and findings are bounded by the columns of a table plus a few, so the lists are safe to collect per table.
     """
+    if findings is not None:
+        of_table = findings.groupBy("table_name").agg(F.sort_array(F.collect_list(F.struct(
+            "root_cause", "confidence", "priority", "affected_rows", "recommended_fix"))).alias("findings"))
+        evidence = evidence.join(F.broadcast(of_table), "table_name", "left")
+    if run is not None:
+        record = run.select(RUN_COLUMNS).first()
+        evidence = evidence.withColumns({c: F.lit(str(record[c]) if c == "started_at" else record[c]) for c in RUN_COLUMNS})
     per_table = issues.groupBy("table_name").agg(
         F.sort_array(F.collect_list(F.struct("issue_no", "issue_type", "severity", "detail"))).alias("issues"))
     (

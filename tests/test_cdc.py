@@ -140,3 +140,16 @@ def test_undated_events_are_in_every_form(spark):
     windows = {r.window_start: r.missed for r in cdc.cdc_gap_windowed(events).collect()}
     assert windows == {None: 1, dt.datetime(2024, 1, 1, 5): 1}
     assert {r.missed for r in cdc.cdc_gap_by_run_day(events).collect()} == {2}
+
+
+def test_given_patterns_win_and_repeats_are_rejected(spark, rows):
+    events = spark.createDataFrame([("a", None, False, "X"), ("b", None, False, "Y")], "table_name STRING, event_ts TIMESTAMP_NTZ, captured BOOLEAN, gap_reason STRING")
+    pattern = [("BATCH", "night job", 847, ["c"], "2024-01-01T00:00:00Z", None)]
+    ddl = """table_name STRING, total_events BIGINT, captured BIGINT, missed BIGINT, gap_rate DOUBLE, gap_patterns ARRAY<STRUCT<reason: STRING,
+        description: STRING, count: BIGINT, affected_columns: ARRAY<STRING>, first_occurrence: STRING, last_occurrence: STRING>>"""
+    summary = spark.createDataFrame([("a", 900, 53, 847, 94.11, pattern)], ddl)
+    found = cdc.cdc_gap_patterns(events, summary)
+    assert rows(found, "table_name", "reason", "event_count", "description") == [("a", "BATCH", 847, "night job"), ("b", "Y", 1, None)]
+    assert rows(report.report_cdc_patterns(found)) == [("BATCH", "847", "night job"), ("Y", "1", "")]
+    with pytest.raises(Exception, match="lists a table twice: a"):
+        cdc.cdc_gap(events, ["a", "b"], summary.union(summary)).collect()
