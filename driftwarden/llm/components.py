@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
 Every step is an aggregate that combines on the map side and a join on the same key, so a node with
-a third of all edges is neither collected nor held by one task. The edge list is written to the shared
+a third of all edges is neither collected nor held by one task (the aggregate is written before the join, whose
+shuffles Spark can then split). The edge list is written to the shared
 folder after each round: lineage stays short and a lost executor costs one round at most.
 """
 
@@ -14,13 +15,13 @@ from driftwarden.llm.common import materialize
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = down.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
