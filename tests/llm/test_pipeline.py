@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-from collections import defaultdict
 
 import corpus_pipeline
 from driftwarden.session import materialize
