@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwarden.functions.log_text import parse_task_log
 from driftwarden.sources.local import small_frame
+from driftwarden.sources.task_logs import list_task_logs, scan_task_logs
 
 LOG_KEY = ("dag_id", "task_id", "run_id", "file_name")
 
@@ -31,6 +32,17 @@ def latest_log(logs: DataFrame, run_id: str | None = None, few_tasks: bool = Fal
     return logs.join(F.broadcast(chosen) if few_tasks else chosen, list(LOG_KEY), "left_semi")
 
 
+def read_latest_logs(spark: SparkSession, base: str, dag_id: str, tasks: Sequence[str], run_id: str | None = None,
+                     suffix: str = ".log") -> DataFrame:
+    """``latest_log`` of the listed tasks from a folder of logs, chosen by names and times alone.
+
+    Only the chosen files are opened, one per listed task at most, however many logs the archive holds.
+    """
+    listed = list_task_logs(spark, base, dag_id, suffix).filter(F.col("task_id").isin(*tasks))
+    chosen = latest_log(listed, run_id, few_tasks=True).select("file_path").collect()  # at most one per task
+    return scan_task_logs(spark, base, dag_id, suffix=suffix, paths=[r.file_path for r in chosen])
+
+
 def task_metrics(logs: DataFrame) -> DataFrame:
     """Parsed metrics of every log."""
     parsed = parse_task_log(F.col("log_text"))

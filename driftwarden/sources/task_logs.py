@@ -2,36 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def scan_task_logs(spark: SparkSession, base: str, dag: str | None = None, task: str | None = None,
-                   run: str | None = None, suffix: str = ".log") -> DataFrame:
-    """One row per log file with its whole text. A log file is one task attempt, so it fits a row.
+def _path_parts() -> dict[str, Column]:
+    parts = F.split(F.col("_metadata.file_path"), "/")
 
-    Given names narrow the listed folder as far as they lead without a gap, and filter below it.
-    Folders are listed, not globbed, because run names often hold colons.
-    """
-    wanted = (("dag_id", dag), ("task_id", task), ("run_id", run))
+    def part(position: int) -> Column:  # the path is percent-encoded but keeps a plus as it is
+        return F.url_decode(F.replace(F.element_at(parts, position), F.lit("+"), F.lit("%2B")))
+
+    return {"dag_id": part(-4), "task_id": part(-3), "run_id": part(-2), "file_name": part(-1),
+            "modified_at": F.col("_metadata.file_modification_time")}
+
+
+def _folder(base: str, *names: str | None) -> str:
+    """The listed folder: the given names lead into it as far as they go without a gap."""
     folder = base.rstrip("/")
-    for _, name in wanted:
+    for name in names:
         if name is None:
             break
         folder += f"/{name}"
+    return folder
+
+
+def scan_task_logs(spark: SparkSession, base: str, dag: str | None = None, task: str | None = None,
+                   run: str | None = None, suffix: str = ".log", paths: Sequence[str] | None = None) -> DataFrame:
+    """One row per log file with its whole text. A log file is one task attempt, so it fits a row.
+
+    Given names narrow the listed folder as far as they lead without a gap, and filter below it.
+    Folders are listed, not globbed, because run names often hold colons. ``paths``, as ``list_task_logs``
+    gives them, leaves all other files unopened.
+    """
     files = (
         spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}")
-        .text(folder, wholetext=True)
+        .text(_folder(base, dag, task, run), wholetext=True)
     )
-    parts = F.split(F.col("_metadata.file_path"), "/")
-
-    def part(position: int) -> Column:  # the path is percent-encoded but keeps a plus as it is
-        return F.url_decode(F.replace(F.element_at(parts, position), F.lit("+"), F.lit("%2B")))
-
-    logs = files.select(
-        part(-4).alias("dag_id"), part(-3).alias("task_id"), part(-2).alias("run_id"), part(-1).alias("file_name"),
-        F.col("_metadata.file_modification_time").alias("modified_at"), F.col("value").alias("log_text"))
-    for column, name in wanted:
+    if paths is not None:
+        files = files.filter(F.col("_metadata.file_path").isin(*paths))
+    logs = files.select(*[c.alias(n) for n, c in _path_parts().items()], F.col("value").alias("log_text"))
+    for column, name in (("dag_id", dag), ("task_id", task), ("run_id", run)):
         if name is not None:
             logs = logs.filter(F.col(column) == name)
     return logs
+
+
+def list_task_logs(spark: SparkSession, base: str, dag: str | None = None, suffix: str = ".log") -> DataFrame:
+    """One row per log file with its ``file_path`` and without its text. File names and times only: no file is opened."""
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}")
+        .load(_folder(base, dag))
+    )
+    return files.select(*[c.alias(n) for n, c in _path_parts().items()], F.col("_metadata.file_path").alias("file_path"))

@@ -55,3 +55,14 @@ def test_run_totals(spark, tmp_path):
     metrics = task_runs.task_metrics(logs(spark, tmp_path))
     got = {r.run_id: (r.duration_seconds, r.records_processed, r.failed_task_count) for r in task_runs.run_totals(metrics).collect()}
     assert got == {RUN_A: (45, 92, 1), RUN_B: (61, 96, 0)}
+
+
+def test_latest_logs_are_chosen_without_opening_the_archive(spark, tmp_path, rows):
+    frame = logs(spark, tmp_path)
+    for run in (None, RUN_B):
+        got = task_runs.read_latest_logs(spark, str(tmp_path), "dag", ["extract", "load", "absent"], run)
+        assert rows(got) == rows(task_runs.latest_log(frame, run))
+    assert rows(task_runs.read_latest_logs(spark, str(tmp_path), "dag", ["absent"])) == []
+    got.collect()
+    scan = next(p for p in got._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan text" in p)
+    assert "file_path" in scan and "IN" in scan.upper()
