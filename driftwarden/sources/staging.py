@@ -36,6 +36,7 @@ def publish_table(spark: SparkSession, name: str, path: str) -> None:
     A load writes a new version beside the current one and publishes it only when complete, so
     a failed load leaves readers on the version they had.
     """
+    path = path.replace("\\", "\\\\").replace("'", "\\'")  # as a SQL string
     if spark.catalog.tableExists(name):
         spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
         spark.catalog.refreshTable(name)

@@ -131,7 +131,7 @@ def test_repeated_key_fails_the_table(spark, tmp_path):
 
 
 def test_publish_switches_versions(spark, tmp_path):
-    for version, rows_ in (("v1", 3), ("v2", 5)):
+    for version, rows_ in (("v1", 3), ("it's v2", 5)):
         path = str(tmp_path / version)
         load.write_overwrite(spark.range(rows_), path)
         staging.publish_table(spark, "published_numbers", path)
