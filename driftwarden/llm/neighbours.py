@@ -9,6 +9,9 @@ reranked exactly on the original vectors.
 
 Equal vectors are one entry with a bounded number of ids, so a vector that a third of the rows share costs as much as any
 other. Queries for which too few candidates turn up are compared with all vectors, in blocks of queries.
+
+How many buckets are probed follows from the data: a bounded sample of queries is compared with all vectors, and the order
+in which the sample would probe the buckets of its true neighbours says how many probes find enough of them.
 """
 
 from __future__ import annotations
@@ -22,13 +25,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from driftwarden.llm.common import materialize, small_side
 
-#: Hash tables, buckets probed in each, and vectors aimed at per bucket.
+#: Hash tables, least number of buckets probed in each, and least number of vectors aimed at per bucket.
 TABLES, PROBES, BUCKET_ROWS = 10, 8, 512
 SEED = 5
 #: Index rows, and queries, of one bucket that meet in a group.
 GROUP_ROWS = 4096
 #: Queries compared with all vectors at once, where candidates are too few.
 BLOCK = 512
+#: Queries whose true neighbours are looked up, the share of them that the probes must find, and the probes beyond which
+#: buckets are made larger instead.
+SAMPLE, AIM, MOST_PROBES = 128, 0.95, 32
+#: Costs of buckets held at once.
+COSTS = 1 << 22
 
 
 def usable(vector: Column) -> Column:
@@ -57,6 +65,7 @@ class CrossPolytope:
         self.fine = int(min(self.size, max(1, 2 ** np.round(np.log2(max(1.0, wanted / (2 * self.size))) - 1)))) if wanted > 2 * self.size else 0
         draw = np.random.default_rng(seed)
         self.signs = draw.choice([-1.0, 1.0], (tables, 2, 3, self.size))
+        self.count = 2 * self.coarse * max(1, 2 * self.fine)
 
     def projections(self, vectors: np.ndarray, table: int) -> list[np.ndarray]:
         """Signed projections ``n x 2 axes`` of each part of the hash; the nearest axis has the largest."""
@@ -96,10 +105,12 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 def _buckets(vectors: DataFrame, hashes: CrossPolytope, probes: int | None, carry: bool) -> DataFrame:
     """``(bucket, rep)``, with the vector if carried, of all tables; a bucket's number includes its table."""
+    step = max(1, min(4096, COSTS // (min(probes or 1, 2 * hashes.coarse) * min(probes or 1, max(1, 2 * hashes.fine)))))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 x = _matrix(part.column(1), hashes.dim)
                 for table in range(len(hashes.signs)):
                     b = hashes.probes(x, table, probes) if probes else hashes.buckets(x, table)[:, None]
@@ -181,13 +192,54 @@ def _against_all(short: DataFrame, vectors: DataFrame, dim: int, k: int) -> Data
         out, after = found if out is None else out.unionByName(found), int(ids[-1])
 
 
-def nearest(rows: DataFrame, every: int = 20, k: int = 20, tables: int = TABLES, probes: int = PROBES,
+def probes_needed(hashes: CrossPolytope, asked: np.ndarray, true: list[np.ndarray], aim: float = AIM) -> int:
+    """Fewest probes at which some table meets the share ``aim`` of the vectors ``true[i]`` of each query ``asked[i]``."""
+    ranks = []
+    for x, found in zip(asked, true):
+        first = np.full(len(found), hashes.count)
+        for table in range(len(hashes.signs)):
+            place = np.empty(hashes.count, np.int64)
+            place[hashes.probes(x[None], table, hashes.count)[0]] = np.arange(hashes.count)
+            first = np.minimum(first, place[hashes.buckets(found, table)])
+        ranks.append(first)
+    ranks = np.sort(np.concatenate(ranks))
+    return int(ranks[int(np.ceil(aim * len(ranks))) - 1]) + 1 if len(ranks) else 1
+
+
+def fitted(dim: int, n: int, tables: int, bucket_rows: int, seed: int, asked: np.ndarray, true: list[np.ndarray]) -> tuple[CrossPolytope, int]:
+    """Hash functions and probes that find ``AIM`` of the sample's true neighbours; one table is enough where that takes all of its buckets."""
+    while True:
+        hashes = CrossPolytope(dim, n, tables, bucket_rows, seed)
+        probes = max(PROBES, probes_needed(hashes, asked, true))
+        if probes >= hashes.count <= MOST_PROBES:
+            return CrossPolytope(dim, n, 1, bucket_rows, seed), hashes.count
+        if probes <= MOST_PROBES:
+            return hashes, probes
+        bucket_rows *= 2
+
+
+def _true_neighbours(asked: DataFrame, reps: DataFrame, dim: int, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A sample of queries and the ``k`` nearest other vectors of each."""
+    sample = materialize(asked.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select(F.col("rep").alias("q"), "vector"), "sample")
+    every = _against_all(sample, reps, dim, k)
+    if every is None:
+        return np.zeros((0, dim)), []
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "rep"))
+    best = materialize(every.where("q <> rep").withColumn("rn", rank).where(f"rn <= {k}").select("q", "rep"), "sample-best")
+    found = reps.join(F.broadcast(best), "rep").select("q", "vector").toPandas()
+    of = {q: np.stack(g["vector"]).astype(np.float64) for q, g in found.groupby("q")}
+    rows = sample.toPandas()
+    return np.stack(rows["vector"]).astype(np.float64), [of.get(q, np.zeros((0, dim))) for q in rows["q"]]
+
+
+def nearest(rows: DataFrame, every: int = 20, k: int = 20, tables: int = TABLES, probes: int | None = None,
             bucket_rows: int = BUCKET_ROWS, seed: int = SEED) -> DataFrame:
     """``rows (vec_id, vector)`` to ``(query_id, rank, vec_id, score)``: the ``k`` nearest of rows whose id ``every`` divides.
 
     The score is the inner product in double precision; ties go to the smaller vec_id. Vectors that are NULL, zero, or hold
     NULL or a non-finite component, and rows without an id, take no part. Repeated rows of one id count once. All vectors
-    must have one length; an empty table gives no rows.
+    must have one length; an empty table gives no rows. Without ``probes`` as many buckets are probed as a sample of the
+    queries needs.
     """
     clean = materialize(rows.where(usable(F.col("vector")) & F.col("vec_id").isNotNull()).select("vec_id", "vector").distinct(), "vectors")
     reps = materialize(clean.groupBy("vector").agg(F.min("vec_id").alias("rep")), "distinct-vectors")
@@ -199,7 +251,10 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, tables: int = TABLES,
     # an id that occurs with several vectors is several rows; of each vector the smallest ids are enough
     few = members.withColumn("rn", F.row_number().over(Window.partitionBy("rep").orderBy("vec_id"))).where(f"rn <= {k + 1}").drop("rn")
     asked = materialize(reps.join(queries.select("rep").distinct(), "rep", "left_semi"), "queries")
-    hashes = CrossPolytope(dim, n, tables, bucket_rows, seed)
+    if probes:
+        hashes = CrossPolytope(dim, n, tables, bucket_rows, seed)
+    else:
+        hashes, probes = fitted(dim, n, tables, bucket_rows, seed, *_true_neighbours(asked, reps, dim, k))
     pairs = materialize(_candidates(reps, asked, hashes, probes, k), "candidates")
     scored = pairs.join(reps, "rep").join(asked.select(F.col("rep").alias("q"), F.col("vector").alias("asked")), "q").select(
         "q", "rep", F.pandas_udf(_inner_product, "double")("asked", "vector").alias("score"))

@@ -86,3 +86,12 @@ def test_hadamard_keeps_inner_products():
     x = np.random.default_rng(13).normal(size=(5, 32))
     y = neighbours.hadamard(x)
     assert np.allclose(x @ x.T, y @ y.T)
+
+
+def test_probes_follow_the_number_of_vectors(spark):
+    draw = np.random.default_rng(14)
+    rows = [(i, v.tolist()) for i, v in enumerate(draw.normal(size=(12_000, 64)))]
+    rows = [(i, (np.array(v) / np.linalg.norm(v)).tolist()) for i, v in rows]
+    df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)
+    found = by_query(neighbours.nearest(df, 60, bucket_rows=16).collect())  # as many buckets as 384,000 vectors have
+    assert recall(found, plain(rows, 60, 20)) >= 0.9
