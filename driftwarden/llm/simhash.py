@@ -19,11 +19,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from driftwarden.llm.common import by_shuffle, materialize, text_hash
+from driftwarden.llm.common import by_shuffle, materialize, small_side, text_hash
 from driftwarden.llm.components import connected_components
 
 BITS = 64
@@ -225,16 +226,98 @@ def bits_for_similarity(similarity: float, lanes: int) -> int:
     return math.floor(lanes * BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-#: Differing bits of 256 that stand for a similarity of 0.8 of the five-word shingles. The mean there is 38 (see
-#: ``bits_for_similarity``), the spread 6; one spread more keeps most pairs at the limit.
-SIMILAR = {"shingle_words": 5, "lanes": 4, "max_bits": 44, "blocks": 7, "agree": 2}
+#: Texts, and bytes of shingles, of a candidate group that meet in one tile with as many others.
+TILE_TEXTS, TILE_BYTES = 1024, 16 << 20
 
 
-def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` with one row of each group: the smallest doc_id, NULL last, then the smallest text hash."""
+def shingle_set(text: bytes | None, shingle_words: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the different shingles, the same shingles that ``fingerprint`` counts."""
+    words = text.translate(_FOLD).split() if text else []
+    width = min(shingle_words, len(words))
+    spans = range(len(words) - width + 1 if words else 0)
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i:i + width]), SEED) for i in spans], np.uint64))
+
+
+def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    if not len(a) or not len(b):
+        return len(a) == len(b)
+    common = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return common >= similarity * (len(a) + len(b) - common) - 1e-9
+
+
+def similar_edges(fps: np.ndarray, sets: list[np.ndarray], max_bits: int, similarity: float) -> list[tuple[int, int]]:
+    """Edges of a spanning forest over the pairs within ``max_bits`` whose shingle sets have the ``similarity``."""
+    left, sizes, edges = np.arange(len(sets)), np.array([len(x) for x in sets]), []
+    while left.size > 1:
+        frontier, left = [left[0]], left[1:]
+        while frontier and left.size:
+            u = frontier.pop()
+            near = left[np.minimum(sizes[left], sizes[u]) >= similarity * np.maximum(sizes[left], sizes[u]) - 1e-9]
+            near = near[np.bitwise_count(fps[near] ^ fps[u]).sum(axis=1, dtype=np.int64) <= max_bits]
+            reached = [v for v in near if _similar(sets[u], sets[v], similarity)]
+            edges += [(u, v) for v in reached]
+            frontier += reached
+            left = left[~np.isin(left, reached)]
+    return edges
+
+
+def verified(docs: DataFrame, grouped: DataFrame, shingle_words: int, max_bits: int, similarity: float) -> DataFrame:
+    """``(doc_id, text_key, root)``: the candidate groups of ``near_duplicates`` split by the similarity of the shingle sets.
+
+    Every two texts of a candidate group meet in some tile of bounded size; a tile passes on spanning links of what is
+    similar in it, so the groups are those of all similar pairs.
+    """
+    grouped = materialize(grouped.select("doc_id", "text_key", "fp", "root"), "candidate-groups")
+    texts = materialize(grouped.groupBy("text_key").agg(
+        F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("root").alias("root")), "texts")
+    many = materialize(texts.groupBy("root").agg(F.count("*").alias("n")).where("n > 1"), "large-groups")
+    members = small_side(materialize(texts.join(many.select("root"), "root"), "members")).withColumnsRenamed(
+        {"text_key": "key__", "least": "least__"})
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(x.as_py(), shingle_words).tobytes() for x in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], ["text_key", "fp", "root", "shingles"])
+
+    rows = docs.select("doc_id", "text", text_hash().alias("text_key")).join(
+        members, F.expr("text_key = key__ AND doc_id <=> least__")).select("text_key", "fp", "root", F.col("text").cast("binary"))
+    sets = materialize(rows.mapInArrow(hashed, "text_key long, fp binary, root binary, shingles binary"), "shingles")
+    parts = materialize(sets.groupBy("root").agg(F.greatest(
+        F.ceil(F.count("*") / TILE_TEXTS), F.ceil(F.sum(F.octet_length("shingles")) / TILE_BYTES)).cast("int").alias("parts")), "tiles")
+    own = F.pmod(F.xxhash64("text_key"), F.col("parts")).cast("int")
+    tiled = sets.join(parts, "root").withColumn("p", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "root", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "text_key", "fp", "shingles")
+
+    def link(tile: pd.DataFrame) -> pd.DataFrame:
+        tile = tile.drop_duplicates("text_key")
+        keys = tile["text_key"].to_numpy(np.int64)
+        fps = np.frombuffer(b"".join(tile["fp"]), ">u8").astype(np.uint64).reshape(len(tile), -1)
+        edges = similar_edges(fps, [np.frombuffer(x, np.uint64) for x in tile["shingles"]], max_bits, similarity)
+        at = np.array(edges, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"u": keys[at[:, 0]], "v": keys[at[:, 1]]})
+
+    stars = connected_components(tiled.groupBy("root", "i", "j").applyInPandas(link, "u long, v long"))
+    stars = stars.select(F.col("node").alias("text_key"), "root")
+    return grouped.select("doc_id", "text_key").join(stars, "text_key", "left").select(
+        "doc_id", "text_key", F.coalesce("root", "text_key").alias("root"))
+
+
+#: Candidates for a similarity of 0.8 of the five-word shingles: there 48 of 320 bits differ on average (see
+#: ``bits_for_similarity``) with a spread of 6, and one pair in 300 meets in no key or is further apart.
+SIMILAR = {"shingle_words": 5, "lanes": 5, "max_bits": 75, "blocks": 8, "agree": 2, "similarity": 0.8}
+
+
+def keep_one(docs: DataFrame, similarity: float | None = None, **params) -> DataFrame:
+    """``docs`` with one row of each group: the smallest doc_id, NULL last, then the smallest text hash.
+
+    With a ``similarity`` fingerprints only give candidates, and the shingle sets decide.
+    """
     none = F.lit(-(1 << 63))
     first = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "text_key")
-    kept = near_duplicates(docs, **params).withColumn("rn", F.row_number().over(first)).where("rn = 1").select(
+    groups = near_duplicates(docs, **params)
+    if similarity is not None:
+        groups = verified(docs, groups, params["shingle_words"], params["max_bits"], similarity)
+    kept = groups.withColumn("rn", F.row_number().over(first)).where("rn = 1").select(
         F.coalesce("doc_id", none).alias("id__"), F.col("text_key").alias("key__"))
     one = Window.partitionBy("id__", "key__").orderBy(F.lit(1))
     keyed = docs.withColumns({"id__": F.coalesce("doc_id", none), "key__": text_hash()})

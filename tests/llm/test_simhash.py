@@ -100,3 +100,28 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 499), (7, 7)], "u long, v long")
     found = {r.node: r.root for r in connected_components(edges).collect()}
     assert found == {**{i: 0 for i in range(1, 201)}, 500: 499}
+
+
+def test_the_shingles_decide_at_the_limit(documents):
+    def jaccard(a, b):
+        a, b = ({tuple(x.split()[i:i + 5]) for i in range(len(x.split()) - 4)} for x in (a, b))
+        return len(a & b) / len(a | b)
+
+    draw, rows, near = np.random.default_rng(4), [], []
+    for i in range(60):  # half of the pairs just above 0.8, half below
+        words = [f"w{x}" for x in draw.integers(0, 1 << 40, 400)]
+        copy = list(words)
+        for at in range(3, 400, 400 // (8 if i % 2 else 11)):
+            copy[at] = f"c{at}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+        near.append(jaccard(rows[-2][1], rows[-1][1]) >= 0.8)
+    assert 20 <= sum(near) <= 40
+    kept = {r.doc_id for r in simhash.keep_one(documents(*rows), **simhash.SIMILAR).collect()}
+    assert kept == {2 * i for i in range(60)} | {2 * i + 1 for i in range(60) if not near[i]}
+
+
+def test_tiles_of_a_large_group_lose_no_link(documents, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE_TEXTS", 4)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join([*words[:10 * i], f"c{i}", *words[10 * i + 1:]])) for i in range(25)]
+    assert [r.doc_id for r in simhash.keep_one(documents(*rows), **simhash.SIMILAR).collect()] == [0]
