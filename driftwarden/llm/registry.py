@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftwarden.llm import chat, mixing, neighbours, packing, quality, sharding, simhash, substring, toxicity, url_filter
+from driftwarden.llm import (
+    chat, mixing, neighbours, packing, periodic, quality, sharding, simhash, spelling, substring, syncmers, toxicity, url_filter,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +72,26 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(rows.select("vec_id", F.col("embedding").alias("vector")))
 
 
+def op11_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Syncmer fingerprints of all documents and of their texts after an edit, and how alike they and the next document are."""
+    rows = syncmers.edited(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        syncmers.as_text(F.col("marks")).alias("fingerprint"), syncmers.as_text(F.col("edited_marks")).alias("edited_fingerprint"),
+        syncmers.likeness(F.col("marks"), F.col("edited_marks")).alias("near_edited"),
+        syncmers.likeness(F.col("marks"), F.col("next_marks")).alias("near_next"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents, a tenth of them with a planted periodic end."""
+    return periodic.digests(periodic.periodic_runs(periodic.with_planted_periods(table(spark, sf_dir, "documents"))))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents, some with a planted misspelling, and the much commoner words they are variants of."""
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_components": op1_simhash_components,
     "op2_quality_rules": op2_quality_rules,
@@ -81,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_filter_urls": op8_filter_urls,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_syncmer_fingerprints": op11_syncmer_fingerprints,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
