@@ -42,12 +42,11 @@ def anchors(piece: Column, k: int = K, s: int = S) -> Column:
     w = k - s + 1
 
     def among(h: Column) -> Column:
-        def chosen(edge: Column) -> Column:
-            inner = lambda i: reduce(lambda a, b: a & b, [F.element_at(edge, i) <= F.element_at(h, i + j) for j in range(1, w)])
-            return F.transform(F.filter(F.sequence(F.lit(1), F.length(piece) - (k - 1)), inner),
-                               lambda i: F.struct(i.alias("at"), _mark(F.substring(piece, i, F.lit(k))).alias("mark")))
-
-        return _let(F.transform(h, lambda x, i: F.least(x, F.get(h, i + (w - 1)))), chosen)
+        edge = F.transform(h, lambda x, i: F.least(x, F.get(h, i + (w - 1))))
+        # NULL past the last k-mer, whose last substring there is none of
+        inner = lambda e, i: reduce(lambda a, b: a & b, [e <= F.get(h, i + j) for j in range(1, w)])
+        places = F.filter(F.transform(edge, lambda e, i: F.when(inner(e, i), i + 1)), lambda i: i.isNotNull())
+        return F.transform(places, lambda i: F.struct(i.alias("at"), _mark(F.substring(piece, i, F.lit(k))).alias("mark")))
 
     hashes = F.transform(F.sequence(F.lit(1), F.length(piece) - (s - 1)), lambda i: F.xxhash64(F.substring(piece, i, F.lit(s))))
     return F.when(F.length(piece) >= k, _let(hashes, among)).otherwise(F.array().cast("array<struct<at:int,mark:int>>"))
@@ -66,18 +65,19 @@ def least_marks(marks: Column, most: int = MARKS) -> Column:
 
 def _sketches(text: Column, head: Column, k: int, s: int, most: int, size: int) -> Column:
     """``struct<whole, head>``: least marks of a binary value and of its first ``head`` bytes."""
-    def of(piece: Column) -> Column:
+    def of(piece: Column, head: Column) -> Column:
         def pick(found: Column) -> Column:
-            inside = F.filter(found, lambda a: a["at"] + piece["skip"] + (k - 1) <= head)
+            inside = F.filter(found, lambda a: a["at"] + (k - 1) <= head - piece["skip"])
             return F.struct(least_marks(F.transform(found, lambda a: a["mark"]), most).alias("whole"),
                             least_marks(F.transform(inside, lambda a: a["mark"]), most).alias("head"))
 
-        return _let(anchors(piece["bytes"], k, s), pick)
+        return _let(_let(piece["bytes"], lambda b: anchors(b, k, s)), pick)
 
     def joined(parts: Column) -> Column:
         return F.struct(*[least_marks(F.flatten(F.transform(parts, lambda p: p[c])), most).alias(c) for c in ("whole", "head")])
 
-    return _let(F.transform(_pieces(text, k, size), of), joined)
+    # what an expression inside a lambda is built from would be computed for every element
+    return _let(text, lambda t: _let(head, lambda h: _let(F.transform(_pieces(t, k, size), lambda p: of(p, h)), joined)))
 
 
 def _or_whole(marks: Column, text: Column) -> Column:
@@ -157,15 +157,15 @@ def with_next(docs: DataFrame, ranges: int | None = None, k: int = K, s: int = S
     """
     rows = _ordered(docs)
     firsts = _first_of_ranges(rows, ranges)
-    head = F.octet_length(F.left("text", F.length("text") - F.floor(F.length("text") / 2).cast("int")))
-    rows = rows.withColumn("h", head).withColumn("m", _sketches(F.col("text").cast("binary"), F.col("h"), k, s, most, size))
-    rows = rows.select("doc_id", "text", *ORDER, _or_whole(F.col("m.whole"), F.col("text").cast("binary")).alias("marks"),
-                       F.col("m.head").alias("head_marks"))
     ends = rows.sparkSession.createDataFrame([(*f, (i - 1) % len(firsts)) for i, f in enumerate(firsts)],
                                              "none boolean, down bigint, key bigint, range int")
     # a row per range, each range's first key: MOST_RANGES at the most
-    border = rows.join(F.broadcast(ends), list(ORDER)).dropDuplicates(["range"])
-    dealt = rows.withColumns({"range": _range_of(firsts), "border": F.lit(False)}).unionByName(border.withColumn("border", F.lit(True)))
+    border = rows.join(F.broadcast(ends), list(ORDER)).dropDuplicates(["range"]).withColumn("border", F.lit(True))
+    dealt = rows.withColumns({"range": _range_of(firsts), "border": F.lit(False)}).unionByName(border)
+    head = F.octet_length(F.left("text", F.length("text") - F.floor(F.length("text") / 2).cast("int")))
+    dealt = dealt.withColumn("m", _sketches(F.col("text").cast("binary"), head, k, s, most, size)).select(
+        "doc_id", "text", *ORDER, "range", "border", _or_whole(F.col("m.whole"), F.col("text").cast("binary")).alias("marks"),
+        F.col("m.head").alias("head_marks"))
     order = Window.partitionBy("range").orderBy("border", *ORDER)
     return dealt.withColumns({"next_text": F.lead("text").over(order), "next_marks": F.lead("marks").over(order)}).where("NOT border").select(
         "doc_id", "text", "marks", "head_marks", "next_text", "next_marks")

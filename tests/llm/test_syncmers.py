@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -28,6 +29,7 @@ def plain_anchors(b, k, s):
     return found
 
 
+@functools.cache
 def plain_marks(text, k, s, most):
     b = (text or "").encode()
     marks = sorted({m for _, m in plain_anchors(b, k, s)})[:most]
