@@ -19,6 +19,14 @@ class TableSpec:
     nullable_columns: frozenset[str] = frozenset()
 
 
+@dataclass(frozen=True)
+class OddKeys:
+    """Keys that cannot be paired, because a side repeats them or they are NULL, with the rows of each side: a written table."""
+
+    rows: DataFrame
+    count: int
+
+
 @dataclass(frozen=True)
 class TablePair:
     """The two versions of one table that a reconciliation compares."""
@@ -27,6 +35,7 @@ class TablePair:
     key: str
     source: DataFrame
     target: DataFrame
+    odd_keys: OddKeys | None = None  # None: not looked for yet (see ``value_diff.checked``)
 
     def shared_columns(self) -> list[str]:
         """Non-key columns on both sides, in source order."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, NumericType, StringType
 
 from driftwarden.config import BAND_ADVICE
+from driftwarden.functions.names import orderable
 
 ROUNDING_TOLERANCE = 0.01  # fixed value
 
@@ -14,7 +15,7 @@ ROUNDING_TOLERANCE = 0.01  # fixed value
 def values_differ(source: Column, target: Column, source_type: DataType, target_type: DataType) -> Column:
     """NULL-safe inequality. Equal types compare natively, different types by their text."""
     if source_type == target_type:
-        return ~source.eqNullSafe(target)
+        return ~orderable(source, source_type).eqNullSafe(orderable(target, target_type))
     return ~source.cast("string").eqNullSafe(target.cast("string"))
 
 

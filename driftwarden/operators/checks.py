@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftwarden.functions.names import quoted
+
 KeyColumns = str | Sequence[str]
 
 
 def _names(key: KeyColumns) -> list[str]:
-    return [key] if isinstance(key, str) else list(key)
+    return [quoted(c) for c in ([key] if isinstance(key, str) else key)]
 
 
 def duplicate_keys(df: DataFrame, key: KeyColumns) -> DataFrame:
@@ -21,8 +23,8 @@ def duplicate_keys(df: DataFrame, key: KeyColumns) -> DataFrame:
 
 def null_violations(df: DataFrame, not_null: Sequence[str]) -> DataFrame:
     """NULLs per required column, all columns in one pass."""
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in not_null])
-    cells = [F.struct(F.lit(c).alias("column_name"), F.col(c).alias("null_count")) for c in not_null]
+    counts = df.agg(*[F.count_if(F.col(quoted(c)).isNull()).alias(c) for c in not_null])
+    cells = [F.struct(F.lit(c).alias("column_name"), F.col(quoted(c)).alias("null_count")) for c in not_null]
     return counts.select(F.inline(F.array(*cells)))
 
 
@@ -32,11 +34,11 @@ def orphan_keys(child: DataFrame, fk: str, parent: DataFrame, key: str) -> DataF
     Children are counted per value first, so the join sees each value once however hot it is.
     NULL references are allowed by a foreign key and are left out.
     """
-    references = child.filter(F.col(fk).isNotNull()).groupBy(fk).agg(F.count(F.lit(1)).alias("child_rows"))
-    parents = parent.select(F.col(key).alias(fk)).distinct()
+    references = child.filter(F.col(quoted(fk)).isNotNull()).groupBy(quoted(fk)).agg(F.count(F.lit(1)).alias("child_rows"))
+    parents = parent.select(F.col(quoted(key)).alias(fk)).distinct()
     return references.join(parents, fk, "left_anti")
 
 
 def count_non_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: how many rows have each column present."""
-    return df.agg(*[F.count(c).alias(c) for c in columns])
+    return df.agg(*[F.count(quoted(c)).alias(c) for c in columns])

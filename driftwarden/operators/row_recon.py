@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from driftwarden.config import TablePair
 from driftwarden.functions.conversion import canonical_text, percent_of
 from driftwarden.functions.fingerprint import digest, fast_fingerprint, md5_prefix, portable_fingerprint, row_text
+from driftwarden.functions.names import orderable, quoted
 from driftwarden.sources.local import table_list
 
 
@@ -26,12 +27,12 @@ def _union_of_sides(pairs: Sequence[TablePair], value_of: Callable[[TablePair],
 
 def _comparable(pair: TablePair, column: str) -> Column:
     """The value itself if both sides have one type, else its text."""
-    same = pair.source.schema[column].dataType == pair.target.schema[column].dataType
-    return F.col(column) if same else canonical_text(F.col(column))
+    dtype, value = pair.source.schema[column].dataType, F.col(quoted(column))
+    return orderable(value, dtype) if dtype == pair.target.schema[column].dataType else canonical_text(value)
 
 
 def _key_digest(pair: TablePair) -> Column:
-    return F.when(F.col(pair.key).isNotNull(), digest([_comparable(pair, pair.key)]))
+    return F.when(F.col(quoted(pair.key)).isNotNull(), digest([_comparable(pair, pair.key)]))
 
 
 def _row_digest(pair: TablePair, columns: Sequence[str] | None = None) -> Column:
@@ -80,7 +81,7 @@ def key_checksum_exact(pairs: Sequence[TablePair]) -> DataFrame:
     source key and -1 for a target key decides the same question on every executor: the sides
     agree when every key sums to zero.
     """
-    keys = _union_of_sides(pairs, lambda p: canonical_text(F.col(p.key)), "text")
+    keys = _union_of_sides(pairs, lambda p: canonical_text(F.col(quoted(p.key))), "text")
     signed = keys.filter(F.col("text").isNotNull()).groupBy("table_name", "text").agg(
         F.sum(F.when(F.col("is_source"), 1).otherwise(-1)).alias("surplus"))
     per_table = signed.groupBy("table_name").agg(F.count_if(F.col("surplus") != 0).alias("differing_keys"))
@@ -93,13 +94,13 @@ def key_checksum_exact(pairs: Sequence[TablePair]) -> DataFrame:
 
 def key_fingerprint(pairs: Sequence[TablePair]) -> DataFrame:
     """Count and portable fingerprint of the keys, per table and side."""
-    return _portable(_union_of_sides(pairs, lambda p: canonical_text(F.col(p.key)), "text"))
+    return _portable(_union_of_sides(pairs, lambda p: canonical_text(F.col(quoted(p.key))), "text"))
 
 
 def row_fingerprint(pairs: Sequence[TablePair]) -> DataFrame:
     """Count and portable fingerprint of whole rows (the shared columns), per table and side."""
     return _portable(_union_of_sides(
-        pairs, lambda p: row_text([F.col(c) for c in (p.key, *p.shared_columns())]), "text"))
+        pairs, lambda p: row_text([orderable(F.col(quoted(c)), p.source.schema[c].dataType) for c in (p.key, *p.shared_columns())]), "text"))
 
 
 def _portable(rows: DataFrame) -> DataFrame:
@@ -110,7 +111,7 @@ def _portable(rows: DataFrame) -> DataFrame:
 
 
 def _bucket_of(pair: TablePair, buckets: int, portable: bool) -> Column:
-    number = md5_prefix(canonical_text(F.col(pair.key))) if portable else _key_digest(pair)
+    number = md5_prefix(canonical_text(F.col(quoted(pair.key)))) if portable else _key_digest(pair)
     return F.coalesce(F.pmod(number, F.lit(buckets)), F.lit(0))
 
 

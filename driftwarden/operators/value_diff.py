@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from driftwarden.config import TablePair
+from driftwarden.config import OddKeys, TablePair
 from driftwarden.functions.conversion import canonical_text
 from driftwarden.functions.labels import classify_diff, values_differ
+from driftwarden.functions.names import quoted
+from driftwarden.session import scratch_path
 
 
 def _keyed(pair: TablePair) -> tuple[DataFrame, DataFrame]:
     """Both sides with the key under one type (text if the types differ)."""
     source, target = pair.source, pair.target
     if source.schema[pair.key].dataType != target.schema[pair.key].dataType:
-        as_text = canonical_text(F.col(pair.key))
+        as_text = canonical_text(F.col(quoted(pair.key)))
         source, target = (df.withColumn(pair.key, as_text) for df in (source, target))
     return source, target
 
@@ -28,11 +32,6 @@ S, T, S_ROWS, T_ROWS = "source__", "target__", "source_rows__", "target_rows__"
 DUPLICATE_KEY, NULL_KEY = "DUPLICATE_KEY", "NULL_KEY"
 
 
-def _name(column: str) -> str:
-    """A column name as it is, dots and all."""
-    return "`" + column.replace("`", "``") + "`"
-
-
 def _value(side: str, column: str) -> Column:
     return F.col(side).getField(column)
 
@@ -40,39 +39,57 @@ def _value(side: str, column: str) -> Column:
 def key_counts(pair: TablePair) -> DataFrame:
     """Rows of each side per key, NULL included. Narrow and fixed-width: a hash aggregate that combines hot keys before the shuffle."""
     source, target = _keyed(pair)
-    sides = [df.select(F.col(_name(pair.key)), *[F.lit(n).cast("bigint").alias(c) for c, n in zip((S_ROWS, T_ROWS), ns)])
+    sides = [df.select(F.col(quoted(pair.key)), *[F.lit(n).cast("bigint").alias(c) for c, n in zip((S_ROWS, T_ROWS), ns)])
              for df, ns in ((source, (1, 0)), (target, (0, 1)))]
-    return sides[0].unionByName(sides[1]).groupBy(_name(pair.key)).agg(
+    return sides[0].unionByName(sides[1]).groupBy(quoted(pair.key)).agg(
         F.sum(S_ROWS).alias(S_ROWS), F.sum(T_ROWS).alias(T_ROWS))
 
 
+def find_odd_keys(pair: TablePair) -> OddKeys:
+    """Keys that a side repeats, and the NULL key, written to the shared folder: one pass over the key columns."""
+    odd = key_counts(pair).where(F.col(quoted(pair.key)).isNull() | (F.col(S_ROWS) > 1) | (F.col(T_ROWS) > 1))
+    path, seen = scratch_path(odd.sparkSession, "odd-keys"), Observation()
+    odd.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return OddKeys(odd.sparkSession.read.schema(odd.schema).parquet(path), seen.get["rows"])
+
+
+def checked(pairs: Sequence[TablePair], at_once: int = 4) -> list[TablePair]:
+    """The pairs with their odd keys looked for, several pairs side by side. Comparisons of an unchecked pair do it each time."""
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        return list(pool.map(lambda p: p if p.odd_keys else replace(p, odd_keys=find_odd_keys(p)), pairs))
+
+
 def align(pair: TablePair, columns: Sequence[str]) -> DataFrame:
     """One row per key: the key, the listed columns of either side as structs (NULL where absent), and both row counts.
 
     Keys that are repeated on a side, and the NULL key, cannot say which rows belong together. They have one row with
     their counts and neither struct, so nothing is thrown away or multiplied; all other rows are joined on the key.
+    A narrow pass looks for such keys first (``checked`` does so ahead, for several comparisons). Where there are none, as
+    usual, one outer join of both sides is all that follows.
     """
     source, target = _keyed(pair)
-    key = _name(pair.key)
-    odd = key_counts(pair).where(F.col(key).isNull() | (F.col(S_ROWS) > 1) | (F.col(T_ROWS) > 1))
-    repeated = odd.where(F.col(key).isNotNull()).select(key)
+    key, odd = quoted(pair.key), pair.odd_keys or find_odd_keys(pair)
 
     def packed(df: DataFrame, name: str) -> DataFrame:
         # the key is part of the struct, so that it is not NULL even for an all-NULL row
-        fields = [F.col(_name(c)) for c in dict.fromkeys((pair.key, *columns)) if c in df.columns]
-        rows = df.where(F.col(key).isNotNull()).select(F.col(key), F.struct(*fields).alias(name))
-        return rows.join(repeated, pair.key, "left_anti")
+        fields = [F.col(quoted(c)) for c in dict.fromkeys((pair.key, *columns)) if c in df.columns]
+        rows = df.select(F.col(key), F.struct(*fields).alias(name))
+        if odd.count:
+            rows = rows.where(F.col(key).isNotNull()).join(odd.rows.select(key), pair.key, "left_anti")
+        return rows
 
     paired = packed(source, S).join(packed(target, T), pair.key, "full_outer").select(
         F.col(key), S, T, *[F.col(side).isNotNull().cast("bigint").alias(n) for side, n in ((S, S_ROWS), (T, T_ROWS))])
+    if not odd.count:
+        return paired
     none = [F.lit(None).cast(paired.schema[side].dataType).alias(side) for side in (S, T)]
-    return paired.unionByName(odd.select(F.col(key), *none, S_ROWS, T_ROWS))
+    return paired.unionByName(odd.rows.select(F.col(key), *none, S_ROWS, T_ROWS))
 
 
 def _unpaired(pair: TablePair) -> Column:
     """Why a row of ``align`` has no pair of values, else NULL."""
     neither = F.col(S).isNull() & F.col(T).isNull()
-    return F.when(neither & F.col(_name(pair.key)).isNull(), NULL_KEY).when(neither, DUPLICATE_KEY)
+    return F.when(neither & F.col(quoted(pair.key)).isNull(), NULL_KEY).when(neither, DUPLICATE_KEY)
 
 
 def _differs(pair: TablePair, column: str) -> Column:
@@ -89,7 +106,7 @@ def _label(pair: TablePair, column: str) -> Column:
 
 def _cells(columns: Sequence[str], value_name: str) -> Column:
     return F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(_name(c)).alias(value_name)) for c in columns]))
+        F.struct(F.lit(c).alias("column_name"), F.col(quoted(c)).alias(value_name)) for c in columns]))
 
 
 def value_diffs(pair: TablePair, columns: Sequence[str] | None = None) -> DataFrame:
@@ -106,15 +123,15 @@ def value_diffs(pair: TablePair, columns: Sequence[str] | None = None) -> DataFr
     listed = F.when(_unpaired(pair).isNotNull(), F.array(whole)).otherwise(F.array(*cells))
     return (
         align(pair, columns).filter(F.col(S_ROWS) > 0)
-        .select(F.lit(pair.name).alias("table_name"), canonical_text(F.col(_name(pair.key))).alias("pk"), F.inline(listed))
+        .select(F.lit(pair.name).alias("table_name"), canonical_text(F.col(quoted(pair.key))).alias("pk"), F.inline(listed))
         .filter(F.col("diff_type").isNotNull())
     )
 
 
 def _window(pair: TablePair, columns: Sequence[str], window_rows: int) -> TablePair:
     """Both sides cut to their first rows by key."""
-    names = [_name(c) for c in dict.fromkeys((pair.key, *columns))]
-    cut = [df.select(*names).orderBy(_name(pair.key)).limit(window_rows) for df in (pair.source, pair.target)]
+    names = [quoted(c) for c in dict.fromkeys((pair.key, *columns))]
+    cut = [df.select(*names).orderBy(quoted(pair.key)).limit(window_rows) for df in (pair.source, pair.target)]
     return TablePair(pair.name, pair.key, *cut)
 
 
@@ -130,10 +147,10 @@ def sample_diff(pair: TablePair, column: str, limit: int = 10, window_rows: int
         raise ValueError(f"{pair.name} has no column {column!r} on either side")
     if source_only or target_only:
         side = pair.source if source_only else pair.target
-        value, absent = canonical_text(F.col(_name(column))), F.lit(None).cast("string")
-        rows = side.orderBy(_name(pair.key)).limit(limit)
+        value, absent = canonical_text(F.col(quoted(column))), F.lit(None).cast("string")
+        rows = side.orderBy(quoted(pair.key)).limit(limit)
         return rows.select(
-            F.lit(pair.name).alias("table_name"), canonical_text(F.col(_name(pair.key))).alias("pk"),
+            F.lit(pair.name).alias("table_name"), canonical_text(F.col(quoted(pair.key))).alias("pk"),
             F.lit(column).alias("column_name"),
             (value if source_only else absent).alias("source_value"),
             (absent if source_only else value).alias("target_value"),
@@ -154,7 +171,7 @@ def count_affected(pair: TablePair, columns: Sequence[str] | None = None, window
     affected = [F.sum(F.when(unpaired, F.col(S_ROWS)).when(F.col(T).isNull() | _differs(pair, c), 1).otherwise(0)).alias(c)
                 for c in columns]
     totals = align(pair, columns).filter(F.col(S_ROWS) > 0).agg(*affected)
-    zeros = totals.select(*[F.coalesce(F.col(_name(c)), F.lit(0)).cast("bigint").alias(c) for c in columns])
+    zeros = totals.select(*[F.coalesce(F.col(quoted(c)), F.lit(0)).cast("bigint").alias(c) for c in columns])
     return zeros.select(F.lit(pair.name).alias("table_name"), _cells(columns, "affected_rows"))
 
 
@@ -171,6 +188,8 @@ def _label_counts(pair: TablePair, columns: Sequence[str]) -> DataFrame:
     ``MISSING_ROW`` is a lost row whose value was NULL, which is no difference in value. Rows whose key is repeated or
     NULL count under that kind in every column.
     """
+    pair = pair if len(columns) <= COLUMNS_AT_ONCE else checked([pair])[0]
+
     def counted(group: Sequence[str]) -> DataFrame:
         kinds = align(pair, group).filter(F.col(S_ROWS) > 0).select(S_ROWS, *[
             F.coalesce(_unpaired(pair), _label(pair, c), F.when(F.col(T).isNull(), "MISSING_ROW")).alias(f"c{i}")
@@ -206,7 +225,7 @@ def sampled_totals(pair: TablePair, columns: Sequence[str], window_rows: int | N
         parts.append(_label_counts(pair if window_rows is None else _window(pair, shared, window_rows), shared))
     for side, one_sided, kind in ((pair.source, missing, "MISSING_COLUMN"), (pair.target, extra, "EXTRA_COLUMN")):
         if one_sided:
-            held = side.agg(*[F.count(F.col(_name(c))).alias(c) for c in one_sided])
+            held = side.agg(*[F.count(F.col(quoted(c))).alias(c) for c in one_sided])
             parts.append(held.select(name, _cells(one_sided, "row_count"), F.lit(kind).alias("diff_type")))
     return reduce(DataFrame.unionByName, parts).groupBy("table_name", "column_name").agg(
         F.sum("row_count").alias("affected_rows"),
@@ -215,7 +234,7 @@ def sampled_totals(pair: TablePair, columns: Sequence[str], window_rows: int | N
 
 def row_status(pair: TablePair, columns: Sequence[str] | None = None) -> DataFrame:
     """Every key with MATCH, CHANGED, SOURCE_ONLY, TARGET_ONLY, DUPLICATE_KEY or NULL_KEY."""
-    return _status(pair, columns).select(_name(pair.key), "row_status")
+    return _status(pair, columns).select(quoted(pair.key), "row_status")
 
 
 def _status(pair: TablePair, columns: Sequence[str] | None) -> DataFrame:
@@ -244,26 +263,27 @@ def row_status_rows(pair: TablePair, columns: Sequence[str] | None = None) -> Da
 def missing_keys(pair: TablePair) -> DataFrame:
     """Source rows whose key the target lacks: the rows to backfill."""
     source, target = _keyed(pair)
-    return source.join(target.select(pair.key).distinct(), pair.key, "left_anti")
+    return source.join(target.select(quoted(pair.key)).distinct(), pair.key, "left_anti")
 
 
 def extra_keys(pair: TablePair) -> DataFrame:
     """Target rows whose key the source lacks."""
     source, target = _keyed(pair)
-    return target.join(source.select(pair.key).distinct(), pair.key, "left_anti")
+    return target.join(source.select(quoted(pair.key)).distinct(), pair.key, "left_anti")
 
 
 def common_keys(pair: TablePair) -> DataFrame:
     """Distinct keys present on both sides."""
     source, target = _keyed(pair)
-    tagged = source.select(pair.key, F.lit(1).alias("s"), F.lit(0).alias("t")).unionByName(
-        target.select(pair.key, F.lit(0).alias("s"), F.lit(1).alias("t")))
-    return tagged.groupBy(pair.key).agg(F.max("s").alias("s"), F.max("t").alias("t")).filter(
-        (F.col("s") == 1) & (F.col("t") == 1)).select(pair.key)
+    key = quoted(pair.key)
+    tagged = source.select(key, F.lit(1).alias("in_source__"), F.lit(0).alias("in_target__")).unionByName(
+        target.select(key, F.lit(0).alias("in_source__"), F.lit(1).alias("in_target__")))
+    return tagged.groupBy(key).agg(F.max("in_source__").alias("in_source__"), F.max("in_target__").alias("in_target__")).filter(
+        (F.col("in_source__") == 1) & (F.col("in_target__") == 1)).select(key)
 
 
 def first_n_by_key(df: DataFrame, key: str, n: int) -> DataFrame:
-    return df.orderBy(key).limit(n)
+    return df.orderBy(quoted(key)).limit(n)
 
 
 def ts_offset_profile(pair: TablePair, columns: Sequence[str]) -> DataFrame:

@@ -53,6 +53,11 @@ def recon_run(spark: SparkSession, sf: str) -> Reconciliation:
     return Reconciliation(spark, dv.all_pairs(spark, sf), dv.cdc_events(spark, sf), AS_OF)
 
 
+def checked_pairs(spark: SparkSession, sf: str, *names: str) -> dict[str, cfg.TablePair]:
+    """The listed pairs (all, if none is) by name, with their odd keys looked for side by side."""
+    return {p.name: p for p in value_diff.checked([dv.pair(spark, sf, n) for n in names or dv.KEYS])}
+
+
 def observed_changes(spark: SparkSession, sf: str, *changes: str) -> DataFrame:
     """Column changes; only columns with one of ``changes`` (all, if none is given) are counted, the others come from the schemas."""
     pairs = dv.all_pairs(spark, sf)
@@ -279,7 +284,7 @@ def value_diff_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def classify_diff(spark: SparkSession, sf: str) -> DataFrame:
-    return union_all([value_diff.value_diffs(p) for p in dv.all_pairs(spark, sf)])
+    return union_all([value_diff.value_diffs(p) for p in checked_pairs(spark, sf).values()])
 
 
 # ---- transforms
@@ -400,7 +405,8 @@ SAMPLED = (("vendor", "active_flag"), ("inventory", "unit_cost"), ("inventory",
 
 @query
 def sample_diff_values(spark: SparkSession, sf: str) -> DataFrame:
-    return union_all([value_diff.sample_diff(dv.pair(spark, sf, table), column) for table, column in SAMPLED])
+    pairs = checked_pairs(spark, sf)
+    return union_all([value_diff.sample_diff(pairs[table], column) for table, column in SAMPLED])
 
 
 @query
@@ -409,7 +415,8 @@ def sample_diff_totals(spark: SparkSession, sf: str) -> DataFrame:
     columns: dict[str, list[str]] = {}
     for table, column in SAMPLED + one_sided:
         columns.setdefault(table, []).append(column)
-    totals = [value_diff.sampled_totals(dv.pair(spark, sf, table), listed) for table, listed in columns.items()]
+    pairs = checked_pairs(spark, sf, *columns)
+    totals = [value_diff.sampled_totals(pairs[table], listed) for table, listed in columns.items()]
     return union_all(totals)
 
 
@@ -421,25 +428,25 @@ def sample_diff_window(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def count_affected(spark: SparkSession, sf: str) -> DataFrame:
-    return union_all([value_diff.count_affected(p) for p in dv.all_pairs(spark, sf)])
+    return union_all([value_diff.count_affected(p) for p in checked_pairs(spark, sf).values()])
 
 
 @query
 def diff_type_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return union_all([value_diff.diff_type_summary(p) for p in dv.all_pairs(spark, sf)])
+    return union_all([value_diff.diff_type_summary(p) for p in checked_pairs(spark, sf).values()])
 
 
 @query
 def diff_type_summary_narrowed(spark: SparkSession, sf: str) -> DataFrame:
-    return union_all([value_diff.diff_type_summary(row_recon.narrow_to_changed(p)) for p in dv.all_pairs(spark, sf)])
+    narrowed = value_diff.checked([row_recon.narrow_to_changed(p) for p in dv.all_pairs(spark, sf)])
+    return union_all([value_diff.diff_type_summary(p) for p in narrowed])
 
 
 @query
 def row_status_counts(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = [(p, "forward") for p in dv.all_pairs(spark, sf)]
-    pairs.append((dv.swapped(dv.pair(spark, sf, "inventory_transaction")), "swapped"))
-    return union_all([
-        value_diff.row_status_counts(p).withColumn("direction", F.lit(direction)) for p, direction in pairs])
+    pairs = value_diff.checked([*dv.all_pairs(spark, sf), dv.swapped(dv.pair(spark, sf, "inventory_transaction"))])
+    return union_all([value_diff.row_status_counts(p).withColumn("direction", F.lit("swapped" if i == len(dv.KEYS) else "forward"))
+                      for i, p in enumerate(pairs)])
 
 
 @query
@@ -472,10 +479,8 @@ def first_n_by_key(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def ts_offset_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return union_all([
-        value_diff.ts_offset_profile(dv.pair(spark, sf, table), [column])
-        for table, column in (("inventory", "last_counted_ts"), ("inventory_transaction", "txn_ts"),
-                              ("purchase_order", "order_date"))])
+    columns = {"inventory": "last_counted_ts", "inventory_transaction": "txn_ts", "purchase_order": "order_date"}
+    return union_all([value_diff.ts_offset_profile(p, [columns[name]]) for name, p in checked_pairs(spark, sf, *columns).items()])
 
 
 # ---- counts and fingerprints
@@ -745,7 +750,8 @@ def result_severity(spark: SparkSession, sf: str) -> DataFrame:
     columns = {}
     for table, column in SAMPLED:
         columns.setdefault(table, []).append(column)
-    samples = union_all([value_diff.sampled_totals(dv.pair(spark, sf, table), listed) for table, listed in columns.items()])
+    pairs = checked_pairs(spark, sf, *columns)
+    samples = union_all([value_diff.sampled_totals(pairs[table], listed) for table, listed in columns.items()])
     status = task_runs.task_status(dv.task_logs(spark, sf), MIGRATION, cfg.RUN_TASKS)
     return report.result_severity(run.evidence, run.findings, samples, status)
 

@@ -49,6 +49,12 @@ def test_joins_do_not_broadcast_tables(spark, sf_dir):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+@pytest.mark.parametrize(("name", "pairs"), [("diff_type_summary", 5), ("classify_diff", 5), ("row_status_counts", 6)])
+def test_a_pair_without_odd_keys_is_two_scans_and_one_join(spark, sf_dir, name, pairs):
+    plan = plan_of(QUERIES[name](spark, sf_dir))
+    assert plan.count("FileScan parquet") == 2 * pairs and len(re.findall(r"(SortMerge|ShuffledHash|BroadcastHash)Join", plan)) == pairs
+
+
 def test_bucketed_tables_are_aligned_without_shuffling_their_rows(spark):
     """Only the row counts per key are shuffled."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")

@@ -187,3 +187,45 @@ def test_first_n(spark):
     df = spark.createDataFrame([(3,), (1,), (2,)], "k INT")
     assert [r.k for r in value_diff.first_n_by_key(df, "k", 2).collect()] == [1, 2]
     assert df.filter(F.col("k") > 5).count() == 0
+
+
+NAMED = "`k.id` BIGINT, `a.b` STRING, m MAP<STRING, INT>, n STRUCT<x: ARRAY<MAP<STRING, INT>>>"
+
+
+@pytest.fixture
+def oddly_named(spark):
+    """Names with dots, and maps at any depth: equal in 1 whatever the order of entries, different in 2, absent in 3 and 4."""
+    def nested(m):
+        return ([m],)
+
+    source = [(1, "x", {"p": 1, "q": 2}, nested({"p": 1, "q": 2})), (2, "x", {"p": 1}, nested({"p": 1})), (3, None, None, None)]
+    target = [(1, "x", {"q": 2, "p": 1}, nested({"q": 2, "p": 1})), (2, "y", {"p": 2}, nested({"p": 2})), (4, None, None, None)]
+    return TablePair("t", "k.id", spark.createDataFrame(source, NAMED), spark.createDataFrame(target, NAMED))
+
+
+@pytest.mark.parametrize("run", [
+    value_diff.missing_keys, value_diff.extra_keys, lambda p: value_diff.common_keys(p).limit(1), lambda p: value_diff.first_n_by_key(p.source, p.key, 1),
+    lambda p: value_diff.value_diffs(p).limit(1), lambda p: value_diff.count_affected(p).where("affected_rows = 2").limit(1),
+    lambda p: value_diff.sample_diff(p, "a.b").limit(1), lambda p: value_diff.sample_diff(p, "m", window_rows=2).limit(1),
+    lambda p: checks.duplicate_keys(p.source.union(p.source.limit(1)), p.key), lambda p: checks.null_violations(p.source, ["a.b"]),
+    lambda p: checks.orphan_keys(p.source, p.key, p.target, p.key), lambda p: checks.count_non_null(p.source, ["a.b", "m"]),
+    lambda p: row_recon.row_recon([p], "row"), lambda p: row_recon.row_recon([p]), lambda p: row_recon.key_checksum_exact([p]),
+    lambda p: row_recon.row_fingerprint([p]).limit(1), lambda p: row_recon.key_fingerprint([p]).limit(1),
+    lambda p: value_diff.row_status(row_recon.narrow_to_changed(p)).where("row_status = 'CHANGED'")])
+def test_dotted_names_and_maps(oddly_named, run):
+    assert len(run(oddly_named).collect()) == 1
+
+
+def test_maps_compare_by_entries(oddly_named):
+    assert {tuple(r)[:2] for r in value_diff.row_status(oddly_named).collect()} == {
+        (1, "MATCH"), (2, "CHANGED"), (3, "SOURCE_ONLY"), (4, "TARGET_ONLY")}
+    counts = {(r.column_name, r.diff_type): r.row_count for r in value_diff.diff_type_summary(oddly_named).collect()}
+    assert counts == {("a.b", "VALUE_MISMATCH"): 1, ("m", "VALUE_MISMATCH"): 1, ("n", "VALUE_MISMATCH"): 1}
+
+
+def test_odd_keys_are_looked_for_once(spark):
+    pairs = value_diff.checked([make_pair(spark, [(1, "x", 1.0), (1, "y", 1.0), (2, "x", 1.0)], [(2, "x", 1.0)]),
+                                make_pair(spark, [(1, "x", 1.0)], [(1, "x", 1.0)])])
+    assert [p.odd_keys.count for p in pairs] == [1, 0]
+    assert value_diff.checked(pairs) == pairs
+    assert {tuple(r)[:2] for r in value_diff.row_status(pairs[0]).collect()} == {(1, "DUPLICATE_KEY"), (2, "MATCH")}
