@@ -25,19 +25,19 @@ def _union_of_sides(pairs: Sequence[TablePair], value_of: Callable[[TablePair],
         for p in pairs for df, is_source in ((p.source, True), (p.target, False))])
 
 
-def _comparable(pair: TablePair, column: str) -> Column:
+def comparable(pair: TablePair, column: str) -> Column:
     """The value itself if both sides have one type, else its text."""
     dtype, value = pair.source.schema[column].dataType, F.col(quoted(column))
     return orderable(value, dtype) if dtype == pair.target.schema[column].dataType else canonical_text(value)
 
 
 def _key_digest(pair: TablePair) -> Column:
-    return F.when(F.col(quoted(pair.key)).isNotNull(), digest([_comparable(pair, pair.key)]))
+    return F.when(F.col(quoted(pair.key)).isNotNull(), digest([comparable(pair, pair.key)]))
 
 
 def _row_digest(pair: TablePair, columns: Sequence[str] | None = None) -> Column:
     listed = [pair.key, *(pair.shared_columns() if columns is None else columns)]
-    return digest([_comparable(pair, c) for c in listed])
+    return digest([comparable(pair, c) for c in listed])
 
 
 def row_recon(pairs: Sequence[TablePair], checksum_scope: str = "key") -> DataFrame:

@@ -7,14 +7,14 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwarden.config import OddKeys, TablePair
 from driftwarden.functions.conversion import canonical_text
 from driftwarden.functions.labels import classify_diff, values_differ
 from driftwarden.functions.names import quoted
-from driftwarden.session import scratch_path
+from driftwarden.session import written
 
 
 def _keyed(pair: TablePair) -> tuple[DataFrame, DataFrame]:
@@ -48,9 +48,7 @@ def key_counts(pair: TablePair) -> DataFrame:
 def find_odd_keys(pair: TablePair) -> OddKeys:
     """Keys that a side repeats, and the NULL key, written to the shared folder: one pass over the key columns."""
     odd = key_counts(pair).where(F.col(quoted(pair.key)).isNull() | (F.col(S_ROWS) > 1) | (F.col(T_ROWS) > 1))
-    path, seen = scratch_path(odd.sparkSession, "odd-keys"), Observation()
-    odd.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    return OddKeys(odd.sparkSession.read.schema(odd.schema).parquet(path), seen.get["rows"])
+    return OddKeys(*written(odd, "odd-keys"))
 
 
 def checked(pairs: Sequence[TablePair], at_once: int = 4) -> list[TablePair]:

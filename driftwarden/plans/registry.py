@@ -13,7 +13,7 @@ from driftwarden import config as cfg
 from driftwarden.functions import conversion as cv
 from driftwarden.functions import labels
 from driftwarden.operators import (
-    cdc, checks, issues, load, report, root_cause, row_recon, schema_diff, task_runs, transforms, value_diff,
+    cdc, checks, issues, load, lookup_table, report, root_cause, row_recon, schema_diff, task_runs, transforms, value_diff,
 )
 from driftwarden.plans import migrate
 from driftwarden.plans.reconcile import Reconciliation
@@ -457,6 +457,31 @@ def row_status_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return value_diff.row_status_rows(cfg.TablePair("lineitem", "l_orderkey", source, target), ["l_quantity"])
 
 
+def edited_orders(spark: SparkSession, sf: str) -> cfg.TablePair:
+    """Orders of which the target has lost, changed, gained and repeated a few."""
+    source = dv.source_view(spark, sf, "purchase_order")
+    n = F.col("po_number")
+    kept = source.where(n % 997 != 0).withColumn("total_amount", F.when(n % 1009 == 1, F.col("total_amount") + 1).otherwise(
+        F.col("total_amount")).cast("decimal(15,2)"))
+    gained = source.where(n % 1013 == 5).withColumn("po_number", -n)
+    return cfg.TablePair("purchase_order", "po_number", source, kept.unionByName(gained).unionByName(source.where(n % 1019 == 7)))
+
+
+@query
+def differing_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys with differing rows, read off lookup tables, in two tables that mostly agree."""
+    deleted = dv.pair(spark, sf, "inventory_transaction")
+    found = [(edited_orders(spark, sf), None), (deleted, ["item_id", "txn_type", "txn_qty"])]
+    return union_all([lookup_table.differing_keys(p, columns).withColumnRenamed(p.key, "key").withColumn("table_name", F.lit(p.name))
+                      for p, columns in found])
+
+
+@query
+def value_diffs_localised(spark: SparkSession, sf: str) -> DataFrame:
+    """Values that differ in a table that mostly agrees; only rows under differing keys are compared."""
+    return value_diff.value_diffs(lookup_table.narrow_to_differing(edited_orders(spark, sf)))
+
+
 @query
 def missing_keys(spark: SparkSession, sf: str) -> DataFrame:
     return value_diff.missing_keys(dv.pair(spark, sf, "inventory_transaction"))

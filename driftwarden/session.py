@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -67,3 +67,10 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     path = scratch_path(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, purpose: str) -> tuple[DataFrame, int]:
+    """``materialize`` with the number of rows, counted while they are written."""
+    path, seen = scratch_path(df.sparkSession, purpose), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]
