@@ -506,6 +506,10 @@ UNION ALL SELECT 'refresh', (SELECT count(*) FROM tgt_inventory_transaction), 0,
     duplicates = """SELECT l_orderkey, l_linenumber, count(*) AS row_count FROM lineitem
 GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1"""
     sql["upsert_conflict_keys"] = duplicates
+    sql["load_upsert_by_partition"] = """SELECT * REPLACE (CAST(CASE WHEN txn_id % 2000 = 4 THEN txn_qty + 1 ELSE txn_qty END AS DECIMAL(15,2)) AS txn_qty)
+FROM full_transaction"""
+    sql["load_upsert_by_partition_counts"] = """SELECT count(*) AS target_total, count(*) FILTER (txn_id % 2000 IN (3, 4)) AS rows_staged,
+  count(*) FILTER (txn_id % 2000 = 3) AS rows_inserted, count(*) FILTER (txn_id % 2000 = 4) AS rows_updated FROM full_transaction"""
     sql["cdc_events_scan"] = """SELECT CAST(event_id AS VARCHAR) AS event_id, table_name, operation, event_ts,
   CAST(primary_key AS VARCHAR) AS primary_key, after, captured, gap_reason FROM cdc_events"""
     sql["cdc_summary_override"] = f"""SELECT * FROM gaps WHERE table_name <> 'vendor'

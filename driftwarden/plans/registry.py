@@ -13,7 +13,7 @@ from driftwarden import config as cfg
 from driftwarden.functions import conversion as cv
 from driftwarden.functions import labels
 from driftwarden.operators import (
-    cdc, checks, issues, load, lookup_table, report, root_cause, row_recon, schema_diff, task_runs, transforms, value_diff,
+    cdc, checks, issues, load, lookup_table, partition_upsert, report, root_cause, row_recon, schema_diff, task_runs, transforms, value_diff,
 )
 from driftwarden.plans import migrate
 from driftwarden.plans.reconcile import Reconciliation
@@ -110,6 +110,30 @@ def load_upsert_written(spark: SparkSession, sf: str) -> DataFrame:
     return written.select("*", *[F.lit(n).cast("bigint").alias(k) for k, n in done.items()])
 
 
+def _upserted_by_partition(spark: SparkSession, sf: str) -> tuple[partition_upsert.PartitionedTable, partition_upsert.UpsertCounts]:
+    """A table of transactions after two small batches, the second of which repeats the first."""
+    full, n = _with_deleted_rows(spark, sf), F.col("txn_id")
+    table = partition_upsert.new_table(spark, "txn_id", 64)
+    partition_upsert.create(full.where(n % 2000 != 3), table)
+    changed = F.when(n % 2000 == 4, F.col("txn_qty") + 1).otherwise(F.col("txn_qty")).cast("decimal(15,2)")
+    batch = full.where((n % 2000).isin(3, 4)).withColumn("txn_qty", changed)
+    counts = partition_upsert.upsert(batch, table)
+    partition_upsert.upsert(batch, table)
+    return table, counts
+
+
+@query
+def load_upsert_by_partition(spark: SparkSession, sf: str) -> DataFrame:
+    return partition_upsert.read(spark, _upserted_by_partition(spark, sf)[0])
+
+
+@query
+def load_upsert_by_partition_counts(spark: SparkSession, sf: str) -> DataFrame:
+    table, counts = _upserted_by_partition(spark, sf)
+    return partition_upsert.read(spark, table).agg(F.count(F.lit(1)).alias("target_total")).select(
+        "*", *[F.lit(getattr(counts, c)).cast("bigint").alias(c) for c in ("rows_staged", "rows_inserted", "rows_updated")])
+
+
 @query
 def load_upsert_metrics(spark: SparkSession, sf: str) -> DataFrame:
     target, full = dv.pair(spark, sf, "inventory_transaction").target, _with_deleted_rows(spark, sf)
