@@ -635,6 +635,12 @@ SELECT CASE WHEN s.n > 1 OR t.n > 1 THEN 'DUPLICATE_KEY' WHEN t.n IS NULL THEN '
   CAST(sum(coalesce(s.n, 0)) AS BIGINT) AS source_rows, CAST(sum(coalesce(t.n, 0)) AS BIGINT) AS target_rows
 FROM s FULL JOIN t USING (l_orderkey) GROUP BY 1"""
     lost = "SELECT * FROM src_inventory_transaction WHERE txn_id NOT IN (SELECT txn_id FROM tgt_inventory_transaction)"
+    sql["paired_line_items"] = """SELECT l_orderkey, CASE WHEN lost THEN 'SOURCE_ONLY' WHEN changed THEN 'CHANGED' ELSE 'MATCH' END AS row_status,
+  count(*) AS row_count, l_linenumber, l_partkey, l_quantity AS source_quantity, CASE WHEN lost THEN NULL WHEN changed THEN l_quantity + 1 ELSE l_quantity END AS target_quantity,
+  CASE WHEN changed AND NOT lost THEN 'l_quantity' END AS changed_columns
+FROM (SELECT *, l_linenumber = 2 AND l_orderkey % 7 = 0 AS lost, l_linenumber = 1 AND l_orderkey % 5 = 0 AS changed,
+        row_number() OVER () AS n, count(*) OVER (PARTITION BY l_orderkey) AS items FROM lineitem) WHERE items > 1
+GROUP BY l_orderkey, lost, changed, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, CASE WHEN lost OR changed THEN n END"""
     sql["missing_keys"] = lost
     both = """SELECT * FROM (WITH s AS (SELECT * FROM src_purchase_order), t AS (
   SELECT po_number, vendor_id, order_date, CAST(CASE WHEN po_number % 1009 = 1 THEN total_amount + 1 ELSE total_amount END AS DECIMAL(15,2)) AS total_amount,

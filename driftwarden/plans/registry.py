@@ -13,7 +13,7 @@ from driftwarden import config as cfg
 from driftwarden.functions import conversion as cv
 from driftwarden.functions import labels
 from driftwarden.operators import (
-    cdc, checks, issues, load, lookup_table, partition_upsert, report, root_cause, row_recon, schema_diff, task_runs, transforms, value_diff,
+    cdc, checks, issues, load, lookup_table, partition_upsert, report, root_cause, row_pairing, row_recon, schema_diff, task_runs, transforms, value_diff,
 )
 from driftwarden.plans import migrate
 from driftwarden.plans.reconcile import Reconciliation
@@ -506,6 +506,19 @@ def value_diffs_localised(spark: SparkSession, sf: str) -> DataFrame:
     return value_diff.value_diffs(lookup_table.narrow_to_differing(edited_orders(spark, sf)))
 
 
+@query
+def paired_line_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items paired within their orders, of which the target has lost some and changed others."""
+    items = dv.base_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    changed = F.when((F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 5 == 0), F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))
+    target = items.where("NOT (l_linenumber = 2 AND l_orderkey % 7 = 0)").withColumn("l_quantity", changed)
+    lines = row_pairing.paired_rows(cfg.TablePair("lineitem", "l_orderkey", items, target))
+    return lines.select(
+        "l_orderkey", "row_status", "row_count", "source_values.l_linenumber", "source_values.l_partkey",
+        F.col("source_values.l_quantity").alias("source_quantity"), F.col("target_values.l_quantity").alias("target_quantity"),
+        F.array_join("changed_columns", ",").alias("changed_columns"))
+
+
 @query
 def missing_keys(spark: SparkSession, sf: str) -> DataFrame:
     return value_diff.missing_keys(dv.pair(spark, sf, "inventory_transaction"))
