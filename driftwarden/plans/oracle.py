@@ -45,6 +45,26 @@ def _shared(table: str) -> list[str]:
     return [c for c, s, t in COLUMNS[table] if s and t and c != KEYS[table]]
 
 
+def _loss(table: str, view: str, lost: str, columns: list[str]) -> str:
+    """All single values and pairs of values that lost rows have, without a beam."""
+    cells = _union([f"SELECT rid, lost, {i} AS c, CAST({c} AS VARCHAR) AS v FROM r" for i, c in enumerate(columns)])
+    name = lambda side: "[" + ", ".join(f"'{c}'" for c in columns) + f"][{side}.c + 1] || ' = ' || {side}.v"
+    return f"""SELECT '{table}' AS table_name, * FROM (WITH r AS (SELECT *, row_number() OVER () AS rid, {lost} AS lost FROM {view}),
+w AS (SELECT count(*) AS total, count(*) FILTER (lost) AS gone, ceil(count(*) FILTER (lost) * 0.05) AS least FROM r),
+cells AS ({cells}), f AS (SELECT c, v FROM cells, w GROUP BY c, v, least HAVING count(*) FILTER (lost) >= least),
+i AS (SELECT * FROM cells SEMI JOIN f USING (c, v)),
+s AS (SELECT c, v, count(*) AS n, count(*) FILTER (lost) AS l, count(*) FILTER (lost) * total - count(*) * gone AS x FROM i, w GROUP BY c, v, total, gone),
+p AS (SELECT a.c AS c1, a.v AS v1, b.c AS c2, b.v AS v2, count(*) AS n, count(*) FILTER (a.lost) AS l,
+        count(*) FILTER (a.lost) * total - count(*) * gone AS x FROM i a JOIN i b ON a.rid = b.rid AND a.c < b.c, w GROUP BY a.c, a.v, b.c, b.v, total, gone, least
+      HAVING count(*) FILTER (a.lost) >= least),
+u AS (SELECT {name('s')} AS conditions, 1 AS size, c AS c1, v AS v1, -1 AS c2, '' AS v2, n, l, x FROM s WHERE x > 0
+  UNION ALL SELECT {name('a')} || ' AND ' || {name('b')}, 2, c1, v1, c2, v2, p.n, p.l, p.x FROM p JOIN s a ON a.c = c1 AND a.v = v1 JOIN s b ON b.c = c2 AND b.v = v2
+  WHERE p.x > 0 AND (a.x > 0 OR b.x > 0) AND p.x > greatest(a.x, b.x))
+SELECT CAST(row_number() OVER (ORDER BY x DESC, size, c1, v1, c2, v2) AS INTEGER) AS rank, conditions, size AS condition_count, n AS row_count, l AS lost_rows,
+  round(100 * l / n, 2) AS loss_pct, round(100 * l / gone, 2) AS lost_share_pct, round(l * total / (n * gone), 4) AS lift
+FROM u, w QUALIFY rank <= 10)"""
+
+
 def _quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -641,6 +661,10 @@ FROM s FULL JOIN t USING (l_orderkey) GROUP BY 1"""
 FROM (SELECT *, l_linenumber = 2 AND l_orderkey % 7 = 0 AS lost, l_linenumber = 1 AND l_orderkey % 5 = 0 AS changed,
         row_number() OVER () AS n, count(*) OVER (PARTITION BY l_orderkey) AS items FROM lineitem) WHERE items > 1
 GROUP BY l_orderkey, lost, changed, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, CASE WHEN lost OR changed THEN n END"""
+    sql["loss_patterns"] = _union([
+        _loss("inventory_transaction", "src_inventory_transaction", "status_code = 'DEL'", ["item_id", "txn_type", "txn_qty", "txn_ts", "status_code"]),
+        _loss("orders", "orders", "(o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') OR o_orderkey % 97 = 0",
+              ["o_custkey", "o_orderstatus", "o_orderpriority"])])
     sql["missing_keys"] = lost
     both = """SELECT * FROM (WITH s AS (SELECT * FROM src_purchase_order), t AS (
   SELECT po_number, vendor_id, order_date, CAST(CASE WHEN po_number % 1009 = 1 THEN total_amount + 1 ELSE total_amount END AS DECIMAL(15,2)) AS total_amount,

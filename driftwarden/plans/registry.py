@@ -13,7 +13,7 @@ from driftwarden import config as cfg
 from driftwarden.functions import conversion as cv
 from driftwarden.functions import labels
 from driftwarden.operators import (
-    cdc, checks, issues, load, lookup_table, partition_upsert, report, root_cause, row_pairing, row_recon, schema_diff, task_runs, transforms, value_diff,
+    cdc, checks, issues, load, lookup_table, loss_patterns as patterns, partition_upsert, report, root_cause, row_pairing, row_recon, schema_diff, task_runs, transforms, value_diff,
 )
 from driftwarden.plans import migrate
 from driftwarden.plans.reconcile import Reconciliation
@@ -519,6 +519,15 @@ def paired_line_items(spark: SparkSession, sf: str) -> DataFrame:
         F.array_join("changed_columns", ",").alias("changed_columns"))
 
 
+@query
+def loss_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    """What lost rows have in common: transactions lost by their status, and orders lost by two conditions and, a few, by chance."""
+    orders = dv.base_table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    kept = orders.where("NOT (o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') AND o_orderkey % 97 <> 0")
+    pairs = [dv.pair(spark, sf, "inventory_transaction"), cfg.TablePair("orders", "o_orderkey", orders, kept)]
+    return union_all([patterns.loss_patterns(p).withColumn("table_name", F.lit(p.name)) for p in pairs])
+
+
 @query
 def missing_keys(spark: SparkSession, sf: str) -> DataFrame:
     return value_diff.missing_keys(dv.pair(spark, sf, "inventory_transaction"))
