@@ -731,6 +731,12 @@ GROUP BY e.table_name, e.reason"""
   FROM ({_gaps('cdc_events')}))"""
     sql["cdc_gap_windowed"] = _GAP_WINDOWS
     sql["cdc_gap_stream"] = _GAP_WINDOWS
+    sql["capture_match"] = sql["capture_match_stream"] = """SELECT table_name, count(*) FILTER (took <= 60) AS matched,
+  count(*) FILTER (took IS NULL OR took > 60) AS missed, max(CASE WHEN took <= 60 THEN 60 * took END) AS longest_lag
+FROM (SELECT table_name, event_ts, CASE WHEN captured THEN event_id % 90 END AS took,
+        least(max(event_ts) OVER (), max(CASE WHEN captured THEN event_ts + (event_id % 90) * INTERVAL '1' MINUTE END) OVER ()) - INTERVAL '10' MINUTE AS reached
+      FROM cdc_events)
+WHERE took <= 60 OR event_ts + INTERVAL '1' HOUR < reached GROUP BY table_name"""
     sql["cdc_gap_windowed_undated"] = _GAP_WINDOWS.replace(
         "FROM cdc_events", "FROM (SELECT table_name, captured, CASE WHEN event_id % 17 <> 0 THEN event_ts END AS event_ts FROM cdc_events)")
 

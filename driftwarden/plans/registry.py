@@ -22,7 +22,7 @@ from driftwarden.sources import cdc_log, drift_views as dv, run_store, staging
 from driftwarden.sources.catalog import column_catalog, column_profile, observed_catalog
 from driftwarden.sources.local import small_frame
 from driftwarden.sources.task_logs import scan_task_logs
-from driftwarden.streaming import gap_stream
+from driftwarden.streaming import capture_match as matching, gap_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -665,6 +665,32 @@ def cdc_gap_stream(spark: SparkSession, sf: str) -> DataFrame:
     return gap_stream.read_gap_windows(spark, out)
 
 
+def _changes_and_captures(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All changes, and the captured ones with the time they took: up to an hour and a half, of which one hour is allowed."""
+    events = dv.cdc_events(spark, sf)
+    took = F.make_dt_interval(F.lit(0), F.lit(0), (F.col("event_id") % 90).cast("int"))
+    return (events.select("table_name", "event_id", "event_ts"),
+            events.where("captured").select("table_name", "event_id", (F.col("event_ts") + took).alias("captured_ts")))
+
+
+@query
+def capture_match(spark: SparkSession, sf: str) -> DataFrame:
+    return matching.match_counts(matching.match_batch(*_changes_and_captures(spark, sf)))
+
+
+@query
+def capture_match_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from two streams."""
+    sides = []
+    for df in _changes_and_captures(spark, sf):
+        path = scratch_path(spark, "stream-in")
+        df.write.parquet(path)
+        sides.append(gap_stream.stream_events(spark, path, df.schema))
+    out, state = (scratch_path(spark, p) for p in ("stream-out", "stream-state"))
+    matching.write_matches(matching.match_stream(*sides), out, state).awaitTermination()
+    return matching.match_counts(matching.read_matches(spark, out))
+
+
 # ---- evidence, issues and score
 
 @query

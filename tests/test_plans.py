@@ -14,7 +14,7 @@ from driftwarden.sources import drift_views as dv
 from driftwarden.sources.staging import stage_bucketed
 
 # results of these were already computed while the query was built, or come from a stream
-WRITTEN = {"stage_extract", "transform_metrics", "etl_summary", "etl_totals", "cdc_gap_stream"}
+WRITTEN = {"stage_extract", "transform_metrics", "etl_summary", "etl_totals", "cdc_gap_stream", "capture_match_stream"}
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas")
 
 
