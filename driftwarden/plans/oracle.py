@@ -731,6 +731,22 @@ GROUP BY e.table_name, e.reason"""
   FROM ({_gaps('cdc_events')}))"""
     sql["cdc_gap_windowed"] = _GAP_WINDOWS
     sql["cdc_gap_stream"] = _GAP_WINDOWS
+    holes = lambda t, n, rows, more="": (f"SELECT {t} AS table_name, p + 1 AS first_missing, n - 1 AS last_missing, n - p - 1 AS missing_count "
+                                         f"FROM (SELECT *, lag(n) OVER (PARTITION BY t ORDER BY n) AS p FROM (SELECT DISTINCT {t} AS t, {t} AS table_name, {n} AS n FROM {rows}{more})) WHERE n - p > 1")
+    logged = "(SELECT * FROM cdc_events WHERE event_id % 50 NOT IN (7, 8, 9) AND event_id % 333 <> 0)"
+    sql["missing_event_ids"] = _union([
+        holes("'ALL'", "event_id", logged, " UNION ALL SELECT 'ALL', 'ALL', -1"),
+        holes("table_name", "event_id // 5", f"(SELECT * FROM {logged} WHERE event_id // 5 % 40 <> 3)")])
+    moved = """(SELECT order_date AS ts, CASE WHEN po_number % 1999 = 3 THEN 0 WHEN order_date < TIMESTAMP '1996-03-31' THEN 18000
+  WHEN order_date < TIMESTAMP '1999-10-27' THEN 14400 ELSE 18000 END AS o FROM src_purchase_order)"""
+    runs = f"""(SELECT s, any_value(o) AS o, min(ts) AS a, max(ts) AS b, count(*) AS n FROM (
+  SELECT *, sum(CASE WHEN o IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (ORDER BY ts, o ROWS UNBOUNDED PRECEDING) AS s FROM (
+    SELECT *, lag(o) OVER (ORDER BY ts, o) AS p FROM {moved})) GROUP BY s)"""
+    line = "SELECT 'purchase_order' AS table_name, 'order_date' AS column_name, CAST(s AS BIGINT) AS segment, CAST(o AS BIGINT) AS offset_seconds, a AS first_ts, b AS last_ts, CAST(n AS BIGINT) AS row_count"
+    sql["ts_offset_segments"] = f"""{line}, 1 AS least_rows FROM {runs}
+UNION ALL {line}, 100 FROM (SELECT g AS s, any_value(o) AS o, min(a) AS a, max(b) AS b, sum(n) AS n FROM (
+  SELECT *, sum(CASE WHEN o IS DISTINCT FROM q THEN 1 ELSE 0 END) OVER (ORDER BY s ROWS UNBOUNDED PRECEDING) AS g FROM (
+    SELECT *, lag(o) OVER (ORDER BY s) AS q FROM {runs} WHERE n >= 100)) GROUP BY g)"""
     sql["capture_match"] = sql["capture_match_stream"] = """SELECT table_name, count(*) FILTER (took <= 60) AS matched,
   count(*) FILTER (took IS NULL OR took > 60) AS missed, max(CASE WHEN took <= 60 THEN 60 * took END) AS longest_lag
 FROM (SELECT table_name, event_ts, CASE WHEN captured THEN event_id % 90 END AS took,

@@ -13,7 +13,7 @@ from driftwarden import config as cfg
 from driftwarden.functions import conversion as cv
 from driftwarden.functions import labels
 from driftwarden.operators import (
-    cdc, checks, issues, load, lookup_table, loss_patterns as patterns, partition_upsert, report, root_cause, row_pairing, row_recon, schema_diff, task_runs, transforms, value_diff,
+    cdc, checks, issues, load, lookup_table, loss_patterns as patterns, ordered_runs, partition_upsert, report, root_cause, row_pairing, row_recon, schema_diff, task_runs, transforms, value_diff,
 )
 from driftwarden.plans import migrate
 from driftwarden.plans.reconcile import Reconciliation
@@ -691,6 +691,26 @@ def capture_match_stream(spark: SparkSession, sf: str) -> DataFrame:
     return matching.match_counts(matching.read_matches(spark, out))
 
 
+@query
+def missing_event_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Intervals of event numbers that the log lacks altogether, three in fifty and some single ones of each table's log."""
+    events = dv.cdc_events(spark, sf).where("event_id % 50 NOT IN (7, 8, 9) AND event_id % 333 <> 0")
+    whole = ordered_runs.missing_intervals(events, "event_id", first=0).withColumn("table_name", F.lit("ALL"))
+    numbered = events.withColumn("number", F.expr("event_id div 5")).where("number % 40 <> 3")
+    return whole.unionByName(ordered_runs.missing_intervals(numbered, "number", ["table_name"]))
+
+
+@query
+def ts_offset_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Offsets along time where a clock rule changed twice, and a few stale rows stand among the others."""
+    source = dv.source_view(spark, sf, "purchase_order")
+    hours = F.when(F.col("order_date") < "1996-03-31", 5).when(F.col("order_date") < "1999-10-27", 4).otherwise(5)
+    moved = F.when(F.col("po_number") % 1999 == 3, F.col("order_date")).otherwise(
+        F.col("order_date") + F.make_dt_interval(F.lit(0), hours))
+    pair = cfg.TablePair("purchase_order", "po_number", source, source.withColumn("order_date", moved))
+    return union_all([ordered_runs.ts_offset_segments(pair, "order_date", least).withColumn("least_rows", F.lit(least)) for least in (1, 100)])
+
+
 # ---- evidence, issues and score
 
 @query
