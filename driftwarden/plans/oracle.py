@@ -499,12 +499,27 @@ def _ctes() -> dict[str, str]:
         "table_health": _TABLE_HEALTH,
         "score": _SCORE,
         "finding_score": _FINDING_SCORE,
-        "history": _HISTORY,
+        "gap_history": _HISTORY,
         "sampled": _first_drift(False),
         "sampled_all": _first_drift(True),
     }
 
 
+def _run_at(ctes: dict[str, str], day: str, backfilled: bool) -> str:
+    """The record of a run on that day, over its own versions of the log and of the transactions."""
+    mine = ctes | {"window_events": f"""SELECT * FROM cdc_events WHERE event_ts < TIMESTAMP '{day} 00:00:00'
+  AND event_ts >= TIMESTAMP '{day} 00:00:00' - INTERVAL '168' HOUR"""}
+    if backfilled:
+        mine["tgt_inventory_transaction"] = ctes["full_transaction"]
+    body = f"""SELECT '{day.replace("-", "")}' AS run_id, 'nightly_migration' AS migration, 'recon_complete' AS status,
+  TIMESTAMP '{day} 00:00:00' AS started_at, health_score, issues_found FROM score"""
+    return f"SELECT * FROM (WITH {_prelude(body, mine)} {body})"
+
+
+def _prelude(body: str, ctes: dict[str, str]) -> str:
+    return ",\n".join(f"{name} AS ({ctes[name]})" for name in _used(body, ctes))
+
+
 def _statements() -> dict[str, str]:
     sql: dict[str, str] = {}
     src_counts = {t: f"(SELECT count(*) FROM src_{t})" for t in TABLES}
@@ -544,6 +559,7 @@ UNION ALL SELECT * FROM ({_gaps('cdc_events')}) WHERE table_name = 'vendor'"""
   coalesce(string_agg(i.detail, '; ' ORDER BY i.step), '') AS details
 FROM evidence e LEFT JOIN issues i USING (table_name) GROUP BY ALL"""
     sql["run_history"] = "SELECT * FROM history"
+    sql["cdc_gap_history"] = "SELECT * FROM gap_history"
     sql["score_trend"] = """SELECT migration, run_id, started_at, health_score,
   health_score - lag(health_score) OVER (ORDER BY started_at) AS score_change FROM history"""
 
@@ -873,8 +889,9 @@ def _used(text: str, ctes: dict[str, str]) -> list[str]:
 
 def sql_by_query() -> dict[str, str]:
     ctes = _ctes()
+    ctes["history"] = _union([_run_at(ctes, *run) for run in (("2024-01-10", False), ("2024-01-20", False), ("2024-01-31", True))])
     statements = {}
     for query, body in _statements().items():
-        prelude = ",\n".join(f"{name} AS ({ctes[name]})" for name in _used(body, ctes))
+        prelude = _prelude(body, ctes)
         statements[query] = f"WITH {prelude}\n{body}" if prelude else body
     return statements
