@@ -677,6 +677,18 @@ FROM s FULL JOIN t USING (l_orderkey) GROUP BY 1"""
 FROM (SELECT *, l_linenumber = 2 AND l_orderkey % 7 = 0 AS lost, l_linenumber = 1 AND l_orderkey % 5 = 0 AS changed,
         row_number() OVER () AS n, count(*) OVER (PARTITION BY l_orderkey) AS items FROM lineitem) WHERE items > 1
 GROUP BY l_orderkey, lost, changed, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, CASE WHEN lost OR changed THEN n END"""
+    renamed = {"vendor_name": "supplier", "credit_limit": "credit", "active_flag": "is_active"}
+    changed = """(SELECT *, vendor_name AS supplier, credit_limit AS credit, active_flag AS is_active FROM (
+  SELECT * REPLACE (CASE WHEN vendor_id % 4 = 1 THEN upper(vendor_name) ELSE vendor_name END AS vendor_name) FROM src_vendor))"""
+    sql["renamed_columns"] = _union([
+        *[f"""SELECT 'vendor' AS table_name, 'RENAMED' AS change, '{a}' AS source_column, '{b}' AS target_column,
+  round((SELECT count(*) FROM (SELECT {a} FROM src_vendor INTERSECT SELECT {b} FROM {changed})) / CAST((SELECT count(*) FROM (
+    SELECT {a} FROM src_vendor UNION SELECT {b} FROM {changed})) AS DOUBLE), 4) AS value_overlap,
+  (SELECT round(avg(CASE WHEN s.{a} IS NOT DISTINCT FROM t.{b} THEN 1.0 ELSE 0.0 END), 4) FROM src_vendor s JOIN {changed} t USING (vendor_id)) AS key_agreement"""
+          for a, b in renamed.items()],
+        *[f"SELECT '{t}', '{kind}', {a}, {b}, NULL, NULL" for t, kind, a, b in (
+            ("vendor", "MISSING", "'vendor_tier'", "NULL"), ("vendor", "EXTRA", "NULL", "'checked'"), ("vendor", "EXTRA", "NULL", "'load_batch'"),
+            ("inventory_transaction", "MISSING", "'status_code'", "NULL"), ("inventory_transaction", "EXTRA", "NULL", "'is_deleted'"))]])
     sql["loss_patterns"] = _union([
         _loss("inventory_transaction", "src_inventory_transaction", "status_code = 'DEL'", ["item_id", "txn_type", "txn_qty", "txn_ts", "status_code"]),
         _loss("orders", "orders", "(o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') OR o_orderkey % 97 = 0",

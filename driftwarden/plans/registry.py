@@ -14,7 +14,7 @@ from driftwarden import config as cfg
 from driftwarden.functions import conversion as cv
 from driftwarden.functions import labels
 from driftwarden.operators import (
-    cdc, checks, issues, load, lookup_table, loss_patterns as patterns, ordered_runs, partition_upsert, report, root_cause, row_pairing, row_recon, schema_diff, task_runs, transforms, value_diff,
+    cdc, checks, issues, load, lookup_table, loss_patterns as patterns, ordered_runs, partition_upsert, renames, report, root_cause, row_pairing, row_recon, schema_diff, task_runs, transforms, value_diff,
 )
 from driftwarden.plans import migrate
 from driftwarden.plans.reconcile import Reconciliation
@@ -404,6 +404,18 @@ def schema_common_columns(spark: SparkSession, sf: str) -> DataFrame:
         "table_name", "column_name", "source_non_null_count", "target_non_null_count")
 
 
+@query
+def renamed_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """One-sided columns of vendors whose target has renamed three (one with changed values), dropped one and added two."""
+    source = dv.source_view(spark, sf, "vendor")
+    changed = F.when(F.col("vendor_id") % 4 == 1, F.upper("vendor_name")).otherwise(F.col("vendor_name"))
+    target = source.select(
+        "vendor_id", changed.alias("supplier"), F.col("credit_limit").alias("credit"), F.col("active_flag").alias("is_active"),
+        "nation_key", F.when(F.col("vendor_id") % 2 == 0, "Y").otherwise("N").alias("checked"), (F.col("vendor_id") % 7).alias("load_batch"))
+    return union_all([renames.renamed_columns(cfg.TablePair("vendor", "vendor_id", source, target)),
+                      renames.renamed_columns(dv.pair(spark, sf, "inventory_transaction"))])
+
+
 @query
 def schema_nullability_changes(spark: SparkSession, sf: str) -> DataFrame:
     return schema_diff.nullability_changes(observed_changes(spark, sf, "SAME", "TYPE_MISMATCH")).select(
