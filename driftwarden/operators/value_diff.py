@@ -173,33 +173,17 @@ def count_affected(pair: TablePair, columns: Sequence[str] | None = None, window
     return zeros.select(F.lit(pair.name).alias("table_name"), _cells(columns, "affected_rows"))
 
 
-#: All kinds of difference that ``_label_counts`` tells apart.
-KINDS = ("NULL_EMPTY", "MISSING_VALUE", "TYPE_COERCION_BOOL", "FLOAT_ROUNDING", "TZ_DRIFT", "VALUE_MISMATCH", "MISSING_ROW",
-         DUPLICATE_KEY, NULL_KEY)
-#: Columns counted by one aggregate; wider tables are counted in groups.
-COLUMNS_AT_ONCE = 50
-
-
 def _label_counts(pair: TablePair, columns: Sequence[str]) -> DataFrame:
-    """Rows per column and kind of difference: one counter for each, so rows are neither multiplied nor grouped again.
+    """Rows per column and kind of difference. Cells combine in each task to one row per column and kind before the shuffle.
 
     ``MISSING_ROW`` is a lost row whose value was NULL, which is no difference in value. Rows whose key is repeated or
     NULL count under that kind in every column.
     """
-    pair = pair if len(columns) <= COLUMNS_AT_ONCE else checked([pair])[0]
-
-    def counted(group: Sequence[str]) -> DataFrame:
-        kinds = align(pair, group).filter(F.col(S_ROWS) > 0).select(S_ROWS, *[
-            F.coalesce(_unpaired(pair), _label(pair, c), F.when(F.col(T).isNull(), "MISSING_ROW")).alias(f"c{i}")
-            for i, c in enumerate(group)])
-        row = kinds.agg(*[F.sum(F.when(F.col(f"c{i}") == k, F.col(S_ROWS))).alias(f"c{i}_{k}")
-                          for i in range(len(group)) for k in KINDS])
-        return row.select(F.lit(pair.name).alias("table_name"), F.inline(F.array(*[
-            F.struct(F.lit(c).alias("column_name"), F.lit(k).alias("diff_type"), F.col(f"c{i}_{k}").alias("row_count"))
-            for i, c in enumerate(group) for k in KINDS]))).filter(F.col("row_count").isNotNull())
-
-    return reduce(DataFrame.unionByName, [
-        counted(columns[i:i + COLUMNS_AT_ONCE]) for i in range(0, len(columns), COLUMNS_AT_ONCE)])
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.coalesce(
+        _unpaired(pair), _label(pair, c), F.when(F.col(T).isNull(), "MISSING_ROW")).alias("diff_type")) for c in columns])
+    rows = align(pair, columns).filter(F.col(S_ROWS) > 0).select(S_ROWS, F.inline(cells)).filter(F.col("diff_type").isNotNull())
+    return rows.groupBy("column_name", "diff_type").agg(F.sum(S_ROWS).alias("row_count")).select(
+        F.lit(pair.name).alias("table_name"), "column_name", "diff_type", "row_count")
 
 
 def diff_type_summary(pair: TablePair, columns: Sequence[str] | None = None) -> DataFrame:
