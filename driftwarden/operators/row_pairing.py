@@ -139,14 +139,19 @@ def _without(left: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def pair_rows(left: DataFrame, columns: int, most_rows: int = MOST_ROWS) -> list[DataFrame]:
     """Written pairs (s_digest, s_copy, t_digest, t_copy) of the rows ``left`` over (key__, digest, copy, surplus, values, hashes)."""
-    sizes = left.groupBy("key__").agg(F.greatest(F.count_if(F.col("surplus") > 0), F.count_if(F.col("surplus") < 0)).alias("most"))
+    of_source, of_target = F.count_if(F.col("surplus") > 0), F.count_if(F.col("surplus") < 0)
+    sizes = left.groupBy("key__").agg(F.greatest(of_source, of_target).alias("most"), F.least(of_source, of_target).alias("least"))
     large, count = written(sizes.where(F.col("most") > most_rows), "large-keys")
     narrow = lambda rows: rows.select("block", "digest", "copy", "surplus", "hashes")
     assign = lambda rows: written(narrow(rows).groupBy("block").applyInPandas(_paired, PAIRS_DDL), "row-pairs")[0]
-    small = left.join(_listed(large, count), "key__", "left_anti") if count else left
-    found = [assign(small.withColumn("block", F.xxhash64("key__")))]
+    # a key with rows on one side only has no pairs, and one row on each side is a pair without any choice
+    sized, _ = written(left.join(sizes.where((F.col("least") > 0) & (F.col("most") <= most_rows)), "key__"), "rows-with-partners")
+    of = lambda sign: F.max(F.when(F.signum("surplus") == sign, F.struct("digest", "copy")))
+    single = sized.where("most = 1").groupBy("key__").agg(of(1).alias("s"), of(-1).alias("t")).selectExpr(
+        "s.digest AS s_digest", "s.copy AS s_copy", "t.digest AS t_digest", "t.copy AS t_copy")
+    found = [single, assign(sized.where("most > 1").withColumn("block", F.xxhash64("key__")))]
     if count:
-        rest, _ = written(left.join(_listed(large, count), "key__"), "rows-of-large-keys")
+        rest, _ = written(left.join(_listed(large.drop("least"), count), "key__"), "rows-of-large-keys")
         for column in range(columns):
             pairs, any_ = written(_agree_but_one(rest, column, columns, most_rows), "row-pairs")
             if any_:
