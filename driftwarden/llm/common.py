@@ -26,9 +26,19 @@ def by_shuffle(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def set_aside(docs: DataFrame, needed: tuple[str, ...] = ("doc_id", "text", "lang", "source")) -> DataFrame:
+    """``docs`` with every column that the operator does not read under a name no operator uses, by position."""
+    return docs.toDF(*[c if c in needed else f"aside_{i}__" for i, c in enumerate(docs.columns)])
+
+
+def give_back(rows: DataFrame, docs: DataFrame, needed: tuple[str, ...] = ("doc_id", "text", "lang", "source")) -> DataFrame:
+    """The columns of ``docs``, in order and with their names, from ``rows`` made out of ``set_aside(docs, needed)``."""
+    return rows.select(*set_aside(docs, needed).columns).toDF(*docs.columns)
+
+
 def text_hash(text: str = "text") -> Column:
     """64-bit hash of a text; NULL differs from the empty text."""
     return F.xxhash64(F.col(text), F.col(text).isNull())
 
 
-__all__ = ["BLANK", "BROADCAST_ROWS", "LOWER", "UPPER", "WORD", "by_shuffle", "materialize", "small_side", "text_hash"]
+__all__ = ["BLANK", "BROADCAST_ROWS", "LOWER", "UPPER", "WORD", "by_shuffle", "give_back", "materialize", "set_aside", "small_side", "text_hash"]

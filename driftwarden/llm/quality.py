@@ -10,25 +10,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from driftwarden.llm.common import WORD, materialize, small_side
+from driftwarden.llm.common import WORD, give_back, materialize, set_aside, small_side
 
 SYMBOLS = r"[#*$%&|<>]"
 
 #: Base rules.
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 
-#: Adaptive rules: integer measure, whether low values fail too, and the least spread (its resolution).
+#: Adaptive rules: integer measure, whether low values fail too, the percentile at which a fence starts, and the margin
+#: beyond it: how many spreads, and the least spread (the measure's resolution). A spread is the mean distance from the median
+#: of the values above (below) it, without the ``TRIM`` percent furthest out; where most values are zero it still follows the
+#: group. Measures that junk drives far out start at a quartile, since junk may make up several percent of a group; those that
+#: the base rules bound start at the last percentile.
 RATES = {
-    "word_length": ("word_chars * 1000 div n_words", True, 150),
-    "symbols": ("n_symbols * 1000 div n_words", False, 5),
-    "dup_lines": ("n_dup_lines * 1000 div n_words", False, 10),
-    "repeats": ("n_repeat_words * 1000 div n_words", False, 50),
+    "word_length": ("word_chars * 1000 div n_words", True, 75, 8, 100),
+    "symbols": ("n_symbols * 1000 div n_words", False, 75, 2, 10),
+    "dup_lines": ("n_dup_lines * 1000 div greatest(n_lines, 1)", False, 99, 10, 10),
+    "repeats": ("n_repeat_words * 1000 div n_words", False, 99, 20, 3),
 }
-#: A value fails beyond the median by more than SPREADS times the distance from the median to the upper (lower) quartile.
-SPREADS = 10
+TRIM = 5
 #: Rows a sketch needs; below that the language's sketch is taken, then that of the whole corpus.
 LEAST_ROWS = 100
-QUARTILES = (25, 50, 75)
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -56,6 +58,7 @@ def measure(docs: DataFrame) -> DataFrame:
         F.size("words__").cast("long").alias("n_words"),
         F.length(F.array_join("words__", "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        F.size("lines__").cast("long").alias("n_lines"),
         (F.size("lines__") - F.size(F.array_distinct("lines__"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words")))
     return d.drop("words__", "lines__", "grams__", "repeats__", "order__", "starts__")
@@ -67,7 +70,7 @@ def base_failed(least_words: str = str(LEAST_WORDS), most_repeated: str = str(MO
 
 def _rate(name: str) -> str:
     expression = RATES[name][0]
-    for field in ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_words"):
+    for field in ("word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_words"):
         expression = expression.replace(field, f"measures__.{field}")
     return expression
 
@@ -97,17 +100,31 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """``(level, lang, source, rate, rows, low, high)`` of each sketch: quartiles at rank ``ceil(p n / 100)``."""
-    group = Window.partitionBy("level", "lang", "source", "rate")
-    ranked = sketch.withColumns({"upto": F.sum("n").over(group.orderBy("bucket")), "rows": F.sum("n").over(group)})
-    at = lambda p: F.min(F.when(F.col("upto") * 100 >= F.col("rows") * p, F.col("bucket")))
-    q = ranked.groupBy("level", "lang", "source", "rate").agg(
-        F.first("rows").alias("rows"), *[bucket_floor(at(p)).alias(f"q{p}") for p in QUARTILES])
-    least = F.create_map(*[x for n, (_, _, s) in RATES.items() for x in (F.lit(n), F.lit(s).cast("long"))])[F.col("rate")]
-    two_sided = F.col("rate").isin([n for n, (_, low, _) in RATES.items() if low])
-    return q.select("level", "lang", "source", "rate", "rows",
-                    F.when(two_sided, F.col("q50") - SPREADS * F.greatest(F.col("q50") - F.col("q25"), least)).alias("low"),
-                    (F.col("q50") + SPREADS * F.greatest(F.col("q75") - F.col("q50"), least)).alias("high"))
+    """``(level, lang, source, rate, rows, low, high)`` of each sketch; the value at percentile ``p`` has rank ``ceil(p n / 100)``.
+
+    The spreads need no second pass: the distances from the median are summed as values of the ranks beyond it, less as
+    often the median.
+    """
+    keys = ["level", "lang", "source", "rate"]
+    group = Window.partitionBy(*keys)
+    ranked = sketch.withColumns({"upto": F.sum("n").over(group.orderBy("bucket")), "rows": F.sum("n").over(group),
+                                 "value": bucket_floor(F.col("bucket"))})
+    rank = lambda p: f"((rows * {p} + 99) div 100)"
+    at = lambda p: F.min(F.when(F.col("upto") >= F.expr(rank(p)), F.col("value")))
+    # rows of a bucket with ranks from the median to the trimmed ends
+    above = F.expr(f"greatest(least(upto, {rank(100 - TRIM)}) - greatest(upto - n, {rank(50)}), 0)")
+    below = F.expr(f"greatest(least(upto, {rank(50)}) - greatest(upto - n, {rank(TRIM)} - 1), 0)")
+    q = ranked.groupBy(*keys).agg(
+        F.first("rows").alias("rows"), at(50).alias("median"), F.sum(F.col("value") * above).alias("sum_above"), F.sum(above).alias("n_above"),
+        F.sum(F.col("value") * below).alias("sum_below"), F.sum(below).alias("n_below"),
+        *[at(p).alias(f"q{p}") for p in sorted({x for _, _, start, _, _ in RATES.values() for x in (start, 100 - start)})])
+    low, high = F.lit(None).cast("long"), F.lit(None).cast("long")
+    for name, (_, two_sided, start, spreads, least) in RATES.items():
+        mine = F.col("rate") == name
+        high = F.when(mine, F.expr(f"q{start} + {spreads} * greatest((sum_above - n_above * median) div rows, {least})")).otherwise(high)
+        if two_sided:
+            low = F.when(mine, F.expr(f"q{100 - start} - {spreads} * greatest((n_below * median - sum_below) div rows, {least})")).otherwise(low)
+    return q.select(*keys, "rows", low.alias("low"), high.alias("high"))
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
@@ -161,12 +178,13 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with its columns.
+    """The rows of ``docs`` that are kept, with its columns, whatever the names of those that no rule reads.
 
     Texts are measured twice, for the thresholds and for the verdicts: that costs less than to write or shuffle them.
     """
-    limits = materialize(thresholds(_measures(docs)), "thresholds")
-    return judge(measure(docs), limits).where("kept__").select(*docs.columns)
+    rows = set_aside(docs)
+    limits = materialize(thresholds(_measures(rows)), "thresholds")
+    return give_back(judge(measure(rows), limits).where("kept__"), docs)
 
 
 ORACLE_SQL = r"""
@@ -181,32 +199,32 @@ c AS (SELECT rid, count(DISTINCT i + k) AS n FROM r, unnest(range(3)) v(k) GROUP
 m AS (
   SELECT doc_id, lang, source, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
          len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         len(lines)::BIGINT AS n_lines,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN c USING (rid)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 v AS (
   SELECT *, CASE WHEN n_words > 0 THEN word_chars * 1000 // n_words END AS a1, CASE WHEN n_words > 0 THEN n_symbols * 1000 // n_words END AS a2,
-         CASE WHEN n_words > 0 THEN n_dup_lines * 1000 // n_words END AS a3, CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words END AS a4
+         CASE WHEN n_words > 0 THEN n_dup_lines * 1000 // greatest(n_lines, 1) END AS a3, CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words END AS a4
   FROM b),
 k AS (
-  SELECT lang, source, rate, least_spread, 64 * s + (x >> s) AS bucket FROM (
-    SELECT lang, source, u.rate, u.x, u.least_spread, greatest(length(bin(u.x)) - 7, 0) AS s FROM v,
-      unnest([{'rate': 1, 'x': a1, 'least_spread': 150}, {'rate': 2, 'x': a2, 'least_spread': 5},
-              {'rate': 3, 'x': a3, 'least_spread': 10}, {'rate': 4, 'x': a4, 'least_spread': 50}]) t(u) WHERE NOT base_failed)),
+  SELECT lang, source, rate, x, greatest(length(bin(x)) - 7, 0) AS s FROM (
+    SELECT lang, source, u.rate, u.x FROM v,
+      unnest([{'rate': 1, 'x': a1}, {'rate': 2, 'x': a2}, {'rate': 3, 'x': a3}, {'rate': 4, 'x': a4}]) t(u) WHERE NOT base_failed)),
+t(rate, start, spreads, least_spread) AS (VALUES (1, 75, 8, 100), (2, 75, 2, 10), (3, 99, 10, 10), (4, 99, 20, 3)),
 l AS (
-  SELECT 0 AS level, lang, source, rate, least_spread, bucket FROM k UNION ALL
-  SELECT 1, lang, NULL, rate, least_spread, bucket FROM k UNION ALL SELECT 2, NULL, NULL, rate, least_spread, bucket FROM k),
+  SELECT 0 AS level, lang, source, rate, ((x >> s) << s)::BIGINT AS value FROM k UNION ALL
+  SELECT 1, lang, NULL, rate, ((x >> s) << s)::BIGINT FROM k UNION ALL SELECT 2, NULL, NULL, rate, ((x >> s) << s)::BIGINT FROM k),
 q AS (
-  SELECT level, lang, source, rate, least_spread, count(*) AS n, list_sort(list(bucket)) AS o FROM l GROUP BY ALL),
+  SELECT level, lang, source, rate, count(*) AS n, list_sort(list(value)) AS o FROM l GROUP BY ALL),
 p AS (
-  SELECT level, lang, source, rate, least_spread, n,
-         list_transform([25, 50, 75], lambda f: o[((n * f + 99) // 100)::INTEGER]) AS z FROM q),
+  SELECT *, (n * 50 + 99) // 100 AS r50, (n * 5 + 99) // 100 AS r5, (n * 95 + 99) // 100 AS r95, o[(n * 50 + 99) // 100] AS med FROM q),
 e AS (
-  SELECT level, lang, source, rate, least_spread, n,
-         list_transform(z, lambda i: CASE WHEN i < 128 THEN i ELSE (64 + i % 64)::BIGINT << ((i // 64) - 1) END) AS z FROM p),
+  SELECT *, list_sum(list_transform(o[r50:r95], lambda y: y - med)) // n AS above,
+         list_sum(list_transform(o[r5:r50], lambda y: med - y)) // n AS below FROM p),
 f AS (
-  SELECT level, lang, source, rate, n, z[2] - 10 * greatest(z[2] - z[1], least_spread) AS low,
-         z[2] + 10 * greatest(z[3] - z[2], least_spread) AS high FROM e),
+  SELECT level, lang, source, e.rate, n, o[(n * (100 - start) + 99) // 100] - spreads * greatest(below, least_spread) AS low,
+         o[(n * start + 99) // 100] + spreads * greatest(above, least_spread) AS high FROM e JOIN t USING (rate)),
 h AS (
   SELECT f0.lang, f0.source, f0.rate,
          CASE WHEN f0.n >= 100 THEN f0.low WHEN f1.n >= 100 THEN f1.low ELSE f2.low END AS low,
@@ -216,7 +234,7 @@ h AS (
 o AS (
   SELECT lang, source, max(low) FILTER (rate = 1) AS low1, max(high) FILTER (rate = 1) AS high1, max(high) FILTER (rate = 2) AS high2,
          max(high) FILTER (rate = 3) AS high3, max(high) FILTER (rate = 4) AS high4 FROM h GROUP BY ALL)
-SELECT v.doc_id, v.lang, v.source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+SELECT v.doc_id, v.lang, v.source, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(a1 BETWEEN low1 AND high1, true) AND coalesce(a2 <= high2, true)
          AND coalesce(a3 <= high3, true) AND coalesce(a4 <= high4, true) AS kept
 FROM v LEFT JOIN o ON v.lang IS NOT DISTINCT FROM o.lang AND v.source IS NOT DISTINCT FROM o.source

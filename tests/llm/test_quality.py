@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from driftwarden.llm import quality
 from tests.llm.conftest import ODD
@@ -16,7 +18,7 @@ def plain_measures(text):
     often = Counter(grams)
     covered = {i + k for i, g in enumerate(grams) if often[g] > 1 for k in range(3)}
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered))
+    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines), len(lines) - len(set(lines)), len(covered))
 
 
 def measured(df):
@@ -64,3 +66,49 @@ def test_filter_keeps_columns_and_odd_rows_fail(documents):
     assert quality.keep_good(docs).columns == docs.columns
     assert quality.quality_verdicts(docs).where("kept").count() == 0
     assert quality.quality_verdicts(docs.limit(0)).count() == 0
+
+
+def plain_fences(values, start, spreads, least):
+    """Fences of a sketch by sorting, with the sketch's rounding."""
+    values = sorted(v if v < 128 else v >> v.bit_length() - 7 << v.bit_length() - 7 for v in values)
+    n = len(values)
+    at = lambda p: values[(n * p + 99) // 100 - 1]
+    above = sum(v - at(50) for v in values[(n * 50 + 99) // 100:(n * (100 - quality.TRIM) + 99) // 100]) // n
+    below = sum(at(50) - v for v in values[(n * quality.TRIM + 99) // 100 - 1:(n * 50 + 99) // 100]) // n
+    return at(100 - start) - spreads * max(below, least), at(start) + spreads * max(above, least)
+
+
+def test_fences_are_those_of_sorted_values(spark):
+    draw = random.Random(11)
+    groups = {s: [draw.choice((0, 0, draw.randint(1, 90), draw.randint(100, 9000))) for _ in range(draw.randint(1, 300))] for s in "abcd"}
+    for rate, (_, two_sided, start, spreads, least) in quality.RATES.items():
+        rows = spark.createDataFrame([(0, "en", s, rate, v) for s, values in groups.items() for v in values],
+                                     "level int, lang string, source string, rate string, value long")
+        sketch = rows.groupBy("level", "lang", "source", "rate", quality.bucket(F.col("value")).alias("bucket")).agg(F.count("*").alias("n"))
+        for r in quality.fences(sketch).collect():
+            low, high = plain_fences(groups[r.source], start, spreads, least)
+            assert (r.rows, r.low, r.high) == (len(groups[r.source]), low if two_sided else None, high)
+
+
+def repetitive(i, share):
+    """Sixty words of which about ``share`` lie in repeated three-word windows."""
+    n = round(60 * share / 6)
+    return " ".join(["red blue green"] * 2 * n + [f"w{(i * 31 + k) % 997}" for k in range(60 - 6 * n)])
+
+
+def test_repeats_fail_in_a_clean_group_and_pass_in_a_repetitive_one(documents):
+    rows = [(i, good(i), "en", "clean") for i in range(150)] + [(i, repetitive(i, 0.4), "en", "songs") for i in range(200, 350)]
+    rows += [(900, repetitive(900, 0.4), "en", "clean")]
+    verdicts = {r.doc_id: r for r in quality.quality_verdicts(documents(*rows)).collect()}
+    assert not verdicts[900].base_failed and not verdicts[900].kept
+    assert all(r.kept for i, r in verdicts.items() if i != 900)
+
+
+def test_repeated_lines_are_measured_against_lines(documents):
+    line = lambda i, k: " ".join(f"w{(i * 37 + k * 13 + j) % 997:03d}" for j in range(12))
+    rows = [(i, "\n".join(line(i, k) for k in range(8)), "en", "a") for i in range(150)]
+    half = "\n".join(line(500, k // 2) for k in range(16)).split("\n")
+    rows += [(900, "\n".join(half[0:12:2] + half[0:1] * 3), "en", "a")]
+    verdicts = {r.doc_id: r for r in quality.quality_verdicts(documents(*rows)).collect()}
+    assert verdicts[900].n_dup_lines == 3 and not verdicts[900].kept
+    assert all(r.kept for i, r in verdicts.items() if i != 900)
