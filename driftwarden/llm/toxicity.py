@@ -4,8 +4,8 @@
    several such words become stems. Both form a trie.
 2. A token is matched by walking the trie side by side with the token's Levenshtein automaton, which finds terms within
    one edit (two for long tokens) without trying them one by one. A stem matches by the exact beginning of a token.
-3. Each match is judged by its window: inside quotation marks or next to words of reporting it counts as quoted, next to
-   words of address as aimed at someone.
+3. Each match is judged by its window: inside a quotation of bounded length or next to words of reporting it counts as
+   quoted, next to words of address as aimed at someone.
 4. A logistic regression over the counts of plain, stem, misspelled, quoted and aimed matches gives the score.
 """
 
@@ -21,24 +21,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from driftwarden.llm.common import materialize
 
-#: Labelled rows used for learning, terms and stems kept, and what a term needs.
-TRAIN_ROWS, MOST_TERMS = 20_000, 5_000
-LEAST_DOCS, LEAST_PRECISION = 4, 0.6
+#: Labelled rows used for learning, and what a term needs. Every term needs several of these rows, so they bound the lexicon too.
+TRAIN_ROWS = 20_000
+LEAST_LENGTH, LEAST_DOCS, LEAST_PRECISION = 3, 4, 0.6
 #: A stem: length, different words and documents needed, and the precision of all words that begin with it.
 STEM_LENGTHS, STEM_WORDS, STEM_DOCS, STEM_PRECISION = (4, 5, 6, 7), 5, 20, 0.9
-#: Token lengths from which one and two edits are allowed, and the longest token matched.
-ONE_EDIT, TWO_EDITS, LONGEST = 5, 9, 40
-#: Tokens around a match that are its context.
-CONTEXT = 6
-REMEMBERED, MOST_STATES = 500_000, 50_000
+#: Token lengths from which one and two edits are allowed.
+ONE_EDIT, TWO_EDITS = 5, 9
+#: Tokens around a match that are its context, and tokens that a quotation may have.
+CONTEXT, QUOTED = 6, 60
+#: Tokens a matcher remembers, and their longest length; longer ones are matched each time.
+REMEMBERED, REMEMBERED_LENGTH, MOST_STATES = 500_000, 64, 50_000
 
 #: Words of reporting and of address in the four languages of the corpus.
 REPORTING = frozenset("said says wrote quote quoted called word term sagte schrieb zitat wort nannte dit écrit citation mot appelé "
                       "dijo escribió cita palabra llamó".split())
 ADDRESS = frozenset("you your you're du dich dir dein ihr euch tu toi vous votre ton tú te ti usted tus vosotros".split())
-OPEN, CLOSE = "«“„‘‹", "»”’›"
+#: Quotation marks, each with the marks that close what it opens.
+CLOSERS = {'"': '"', "«": "»", "»": "«", "“": "”", "”": "”", "„": "“”", "‹": "›", "›": "‹"}
 
 TOKEN = re.compile(r"[^\W_]+|[\"«»“”„‹›]")
+TOKEN_OR_LINE = re.compile(TOKEN.pattern + r"|[\n\r]")
 #: ``plain`` counts all matches that are not quoted, so a kind too rare to have a weight of its own weighs like the others.
 FEATURES = ("plain", "stem", "misspelled", "quoted", "aimed", "any", "share")
 
@@ -135,13 +138,14 @@ class Matcher(dict):
     def misspelled(self, token: str) -> bool:
         """Whether some term lies within the edits that the token's length allows."""
         edits = (len(token) >= ONE_EDIT) + (len(token) >= TWO_EDITS)
-        return 0 < edits and len(token) <= LONGEST and self.automata[edits - 1].accepts(token)
+        return 0 < edits and self.automata[edits - 1].accepts(token)
 
     def __missing__(self, token: str) -> str | None:
         if len(self) >= REMEMBERED:
             self.clear()
         kind = "exact" if token in self.terms else "stem" if token.startswith(self.stems) else "misspelled" if self.misspelled(token) else None
-        self[token] = kind
+        if len(token) <= REMEMBERED_LENGTH:
+            self[token] = kind
         return kind
 
 
@@ -151,18 +155,49 @@ def matcher_of(terms: tuple[str, ...], stems: tuple[str, ...]) -> Matcher:
     return Matcher(terms, stems)
 
 
+def tokens_of(text: str | None) -> list[str]:
+    """Words and quotation marks, the tokens of learning and of matching."""
+    return TOKEN.findall(text.lower()) if text else []
+
+
+def quoted_tokens(text: str) -> set[int]:
+    """Numbers of the tokens inside quotations.
+
+    A quotation ends at its closing mark, on the same line and after at most ``QUOTED`` tokens. A mark without such an
+    end opens nothing, so an inch sign or a lost mark does not change how the rest of a text is read.
+    """
+    marks, n = [], 0  # marks as (number of the token, mark), with a line end as the mark ""
+    for t in TOKEN_OR_LINE.findall(text.lower()):
+        if t in "\r\n":
+            marks.append((n, ""))
+        else:
+            if t in CLOSERS:
+                marks.append((n, t))
+            n += 1
+    inside, k = set(), 0
+    while k < len(marks):
+        start, mark = marks[k]
+        k += 1
+        if not mark:
+            continue
+        for j in range(k, len(marks)):
+            end, closing = marks[j]
+            if not closing or end - start > QUOTED + 1:
+                break
+            if closing in CLOSERS[mark]:
+                inside.update(range(start + 1, end))
+                k = j + 1
+                break
+    return inside
+
+
 def features(text: str | None, matcher: Matcher) -> list[float]:
     """Counts of matches by kind and context over the whole text, damped by logarithms; zeros without a match."""
-    tokens = TOKEN.findall(text.lower()) if text else []
+    tokens = tokens_of(text)
     hits = [i for i, t in enumerate(tokens) if matcher[t]]
     if not hits:
         return [0.0] * len(FEATURES)
-    inside, open_ = set(), False
-    if any(mark in text for mark in "\"" + OPEN + CLOSE):
-        for i, t in enumerate(tokens):
-            open_ = (not open_) if t == '"' else True if t in OPEN else False if t in CLOSE else open_
-            if open_:
-                inside.add(i)
+    inside = quoted_tokens(text)
     count = dict.fromkeys((*FEATURES, "exact"), 0)
     for i in hits:
         window = tokens[max(0, i - CONTEXT):i] + tokens[i + 1:i + 1 + CONTEXT]
@@ -175,22 +210,29 @@ def features(text: str | None, matcher: Matcher) -> list[float]:
     return [*(float(np.log1p(count[k])) for k in FEATURES[:5]), float(count["plain"] > 0), min(1.0, 20.0 * count["plain"] / len(tokens))]
 
 
+def train_words(train: DataFrame) -> DataFrame:
+    """``(word, toxic)``: the different words of each training text, cut as they are for matching."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, toxic in zip(batch.column(0), batch.column(1)):
+                words = sorted({t for t in tokens_of(text.as_py()) if len(t) >= LEAST_LENGTH})
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([toxic.as_py()] * len(words), pa.int32())], ["word", "toxic"])
+
+    return train.select("text", F.col("toxic").cast("int")).mapInArrow(run, "word string, toxic int")
+
+
 def learn_lexicon(train: DataFrame) -> tuple[list[str], list[str]]:
-    """Terms and stems of ``train (text, toxic)``, at most ``MOST_TERMS`` each, by the lower bound of their precision."""
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]{3,40}"), F.lit(0)))
-    words = train.select(F.explode(tokens).alias("word"), "toxic").groupBy("word").agg(
-        F.count("*").alias("n"), F.sum("toxic").alias("bad"))
+    """Terms and stems of ``train (text, toxic)``: all whose precision, lowered by its spread, is high enough."""
+    words = train_words(train).groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad"))
     words = materialize(words, "toxicity-words")
     precision = (F.col("bad") - F.sqrt(F.col("bad") * (F.col("n") - F.col("bad")) / F.col("n"))) / (F.col("n") + 1.0)
     stems = words.select(F.explode(F.array(*[F.when(F.length("word") >= k, F.substring("word", 1, k)) for k in STEM_LENGTHS])).alias("stem"), "n", "bad").where(
         "stem IS NOT NULL").groupBy("stem").agg(F.count("*").alias("words"), F.sum("n").alias("n"), F.sum("bad").alias("bad")).where(
         f"words >= {STEM_WORDS} AND n >= {STEM_DOCS} AND bad >= {STEM_PRECISION} * n")
-    best_stems = [r.stem for r in stems.orderBy(F.length("stem"), F.desc("bad"), "stem").limit(MOST_TERMS).collect()]
-    kept: list[str] = []
-    for stem in best_stems:
-        if not stem.startswith(tuple(kept)):
-            kept.append(stem)
-    terms = words.withColumn("p", precision).where((F.col("n") >= LEAST_DOCS) & (F.col("p") >= LEAST_PRECISION)).orderBy(F.desc("p"), "word").limit(MOST_TERMS)
+    found = {r.stem for r in stems.select("stem").collect()}
+    # a stem that begins with another one adds nothing
+    kept = [s for s in found if not any(s[:k] in found for k in range(1, len(s)))]
+    terms = words.where((F.col("n") >= LEAST_DOCS) & (precision >= LEAST_PRECISION)).select("word")
     return sorted(r.word for r in terms.collect()), sorted(kept)
 
 
