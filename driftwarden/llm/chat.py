@@ -92,7 +92,9 @@ def chain(tables: list[np.ndarray]) -> list[tuple[int, int]]:
 
 def _blocks(turns: DataFrame, block: int) -> DataFrame:
     """``(conv_id, at, turns)``: blocks of turns in order, ``at`` giving their order in the conversation."""
-    once = turns.select("conv_id", "turn", "role", "text").distinct()
+    # a turn number says which rows are the same turn; without one every row is a turn
+    once = turns.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n")).select(
+        "conv_id", "turn", "role", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("turn").isNull(), F.col("n") - 1).otherwise(0))).alias("copy"))
     keyed = once.withColumns({"h": F.xxhash64("role", "text"), "b": F.floor(F.col("turn") / block)})
     sizes = materialize(keyed.groupBy(F.col("conv_id").alias("c__"), F.col("b").alias("b__")).agg(F.count("*").alias("n__")).where(
         F.col("n__") > CROWDED * block), "crowded-blocks")
@@ -100,7 +102,7 @@ def _blocks(turns: DataFrame, block: int) -> DataFrame:
     keyed = keyed.join(small_side(sizes), F.expr("conv_id <=> c__ AND b <=> b__"), "left")
     part = F.floor((F.shiftrightunsigned("h", 32)) * F.ceil(F.col("n__") / block) / F.lit(float(1 << 32)))
     order = F.struct(F.col("b").isNull().alias("none"), "b", F.when(F.col("n__").isNotNull(), F.col("turn")).alias("t"),
-                     F.when(F.col("n__").isNotNull(), part).alias("p"))
+                     F.floor(F.col("copy") / block).alias("c"), F.when(F.col("n__").isNotNull(), part).alias("p"))
     return keyed.withColumn("at", order).groupBy("conv_id", "at").agg(F.array_sort(F.collect_list(
         F.struct(F.col("turn").isNull().alias("none"), "turn", F.shiftrightunsigned("h", 32).alias("p"), "h", "role", "text"))).alias("turns"))
 
@@ -133,7 +135,8 @@ def repaired(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """``turns (conv_id, turn, role, text)`` to one row per turn: ``conv_id, turn, role, new_role, action, inserted, cost, fragment``.
 
     ``fragment`` is what the turn adds to the rendered conversation, so its fragments in order (of turn, NULL last, then
-    of the hash of role and text) are the rendered text. Rows alike in all four columns are one turn; a NULL text is
+    of the hash of role and text) are the rendered text. Rows alike in all four columns are one turn, but where turn is
+    NULL each is a turn, with those past ``block`` alike rows after the others, ``block`` at a time; a NULL text is
     empty; a NULL or other role is unknown and may take any name; NULL conv_ids are one conversation.
     """
     blocks = materialize(_blocks(turns, block), "turn-blocks")

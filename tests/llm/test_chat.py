@@ -57,6 +57,14 @@ def test_rendered_turns_are_legal_whatever_the_blocks(spark):
     assert all(pair in legal for pair in itertools.pairwise(order))
 
 
+def test_turns_without_a_number_are_all_kept(spark):
+    rows = [(1, None, "user", "hello", 0)] * 30 + [(1, 0, "system", "rules", 0), (1, None, "assistant", "hi", 0), (2, 3, "user", "one", 0), (2, 3, "user", "one", 0)]
+    for block in (512, 4):
+        found = chat.repaired(spark.createDataFrame(rows, SCHEMA), block=block).collect()
+        assert sorted(r.fragment.count("hello") for r in found if r.conv_id == 1) == [0, 0] + [1] * 30
+        assert sum(r.conv_id == 2 for r in found) == 1
+
+
 def test_examples(spark):
     turns = spark.createDataFrame([(1, 0, "user", "a", 0), (1, 1, "user", "b", 0), (1, 2, "assistant", "c", 0),
                                    (2, 0, "assistant", "x", 0), (2, 1, "user", "y", 0), (2, 2, "assistant", "z", 0)], SCHEMA)
