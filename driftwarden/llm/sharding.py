@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from driftwarden.llm.common import materialize, text_hash
+from driftwarden.llm.common import by_shuffle, materialize, set_aside, text_hash
 
 #: Fine ranges, and sampled keys per range. Their product bounds the sample, which the driver sorts.
 RANGES, SAMPLES_PER_RANGE = 2048, 32
@@ -95,11 +95,22 @@ def assign(rows: DataFrame, shards: int, ranges: int = RANGES, per_range: int =
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, **params) -> None:
-    """``docs`` as Parquet folders ``shard=N``, rows in slot order inside each written range of slots."""
-    rows = docs.withColumns({"key": sort_key(), "size": size_in_bytes()})
-    placed = assign(measured(docs), shards, **params).select(
-        F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id__"), "key", "shard", "slot")
-    keyed = rows.withColumn("id__", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(
-        placed.groupBy("id__", "key").agg(F.min("shard").alias("shard"), F.min("slot").alias("slot")), ["id__", "key"])
-    keyed.drop("id__", "key", "size").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy(
-        "shard").parquet(path)
+    """``docs`` as Parquet folders ``shard=N``, rows in slot order inside each written range of slots.
+
+    The files hold the columns of ``docs`` and ``slot``, gapless from 0 in each shard. Rows alike in doc_id and text are
+    numbered on both sides and meet one to one, so each has a slot of its own. Columns of ``docs`` named ``shard`` or ``slot``, in any
+    case, raise; further columns may have any name.
+    """
+    taken = [c for c in docs.columns if c.lower() in ("shard", "slot")]
+    if taken:
+        raise ValueError(f"the written files have columns of these names: {taken}")
+    rows = set_aside(docs)
+    same = ["id__", "key__"]
+    alike = Window.partitionBy(*same)
+    placed = assign(measured(rows), shards, **params).select(
+        F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id__"), F.col("key").alias("key__"), "shard", "slot").withColumn(
+        "rn__", F.row_number().over(alike.orderBy("shard", "slot")))
+    keyed = rows.withColumns({"id__": F.coalesce("doc_id", F.lit(-(1 << 63))), "key__": sort_key()}).withColumn(
+        "rn__", F.row_number().over(alike.orderBy(F.lit(1))))
+    ordered = keyed.join(by_shuffle(placed), [*same, "rn__"]).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    ordered.select(*rows.columns, "shard", "slot").toDF(*docs.columns, "shard", "slot").write.partitionBy("shard").parquet(path)

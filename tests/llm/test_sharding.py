@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from driftwarden.llm import registry, sharding
 from tests.llm.conftest import ODD
@@ -59,3 +61,35 @@ def test_splitters_weigh_sizes(spark):
     table = sharding.materialize(spark.createDataFrame(rows, "doc_id long, key long, size long, text_crc32 long"), "t")
     bounds = sharding.splitters(table, ranges=10)
     assert (np.diff(bounds) > 0).all() and (bounds < 100).sum() >= 8
+
+
+def test_written_rows_have_the_slots_of_the_assignment_and_their_columns(documents, tmp_path):
+    rows = [(1, "again and again")] * 40 + [(i, f"text {i % 7} " * (i % 5)) for i in range(2, 60)] + [(None, None)] * 3
+    docs = documents(*rows).withColumnRenamed("rank", "key").withColumn("id__", F.lit("mine")).withColumn("rn__", F.lit(5))
+    path = str(tmp_path / "shards")
+    sharding.write_shards(docs, path, 4, ranges=16)
+    back = docs.sparkSession.read.parquet(path)
+    assert {*back.columns} == {*docs.columns, "shard", "slot"}
+    found = back.collect()
+    check_slots(found)
+    assert sorted(repr((r.doc_id, r.text)) for r in found) == sorted(map(repr, rows))
+    assert {(r.key, r.size, r.id__, r.rn__) for r in found} == {(7, "x", "mine", 5)}
+    expected = sharding.assign(sharding.measured(docs), 4, ranges=16).groupBy("shard").count().collect()
+    assert sorted((r.shard, r["count"]) for r in expected) == sorted(Counter(r.shard for r in found).items())
+    with pytest.raises(ValueError, match="Slot"):
+        sharding.write_shards(docs.withColumn("Slot", F.lit(1)), path, 4)
+
+
+def test_assignment_by_brute_force(documents):
+    rows = [(i % 400, f"text {i % 23} " * (i % 11)) for i in range(900)] + [(None, None), (5000, "hot " * 500)]
+    placed = sharding.assign(sharding.measured(documents(*rows)), 6, ranges=32).collect()
+    order = sorted(placed, key=lambda r: (r.key, r.doc_id is not None, r.doc_id or 0, r.size))
+    total, upto, slots = sum(r.size for r in placed), 0, Counter()
+    expected, found = Counter(), Counter()
+    for r in order:
+        shard = min(5, int((upto + r.size / 2) * 6 // total))
+        upto += r.size
+        expected[r.key, r.doc_id, r.size, shard, slots[shard]] += 1
+        slots[shard] += 1
+        found[r.key, r.doc_id, r.size, r.shard, r.slot] += 1
+    assert found == expected
