@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from driftwarden.llm import url_filter
 from tests.oracle_compare import connect, differences
@@ -51,6 +52,26 @@ def test_cascade_is_exact_with_and_without_segments(spark):
         assert all(r.listed == (r.key in listed) for r in rows)
 
 
+def test_levels_are_bounded_where_the_universe_is_far_larger_than_the_list(spark):
+    universe = spark.range(1_000_000).select(F.concat(F.lit("key"), "id").alias("key"))
+    listed = universe.where("xxhash64(key) % 500 = 0")
+    n, most = listed.count(), 1 << 14
+    cascade = url_filter.build_cascade(listed, universe, most)
+    sizes = cascade.table.select("segment", F.posexplode(F.transform("levels", lambda x: x["bits"]))).where("col IS NOT NULL").collect()
+    assert 1500 < n < 2500 and cascade.segments > 1 and max(r.col for r in sizes) <= most
+    total = lambda level: sum(r.col for r in sizes if r.pos == level)
+    assert all(total(i) <= total(0) for i in range(1, cascade.depth))
+    rows = url_filter.with_membership(universe, "key", cascade)
+    assert rows.where("listed <> (xxhash64(key) % 500 = 0)").count() == 0 and rows.where("listed").count() == n
+
+
+def test_extra_columns_stay_and_verdict_columns_are_replaced(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/es/1", "x", "y", "z")], "page_id long, url string, address__ string, listed__ string, rule string")
+    row = url_filter.judge_urls(pages, url_filter.campaign_addresses(pages)).first().asDict()
+    assert row == {"page_id": 1, "url": "http://a.net/es/1", "address__": "x", "listed__": "y", "host": "a.net", "path": "/es/1",
+                   "rule": "net/es/", "verdict": "block"}
+
+
 def test_empty_list(spark):
     universe = spark.createDataFrame([("a",), ("b",)], "key string")
     cascade = url_filter.build_cascade(universe.limit(0), universe)
