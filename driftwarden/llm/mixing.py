@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from driftwarden.llm.common import WORD, by_shuffle, materialize, small_side, text_hash
+from driftwarden.llm.common import WORD, by_shuffle, give_back, materialize, set_aside, small_side, text_hash
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
@@ -106,14 +106,16 @@ def measured(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     """``docs`` as mixed: whole documents, each repeated as often as the mix takes it, with its columns.
 
-    Rows alike in doc_id, text and source share the copies taken of them as evenly as they divide.
+    Rows alike in doc_id, text and source share the copies taken of them as evenly as they divide. Further columns may
+    have any name.
     """
     same = {"id__": F.coalesce("doc_id", F.lit(-(1 << 63))), "source__": text_hash("source")}
-    copies = mix(measured(docs), cut=False, **params).withColumns(same).groupBy(
+    rows = set_aside(docs)
+    copies = mix(measured(rows), cut=False, **params).withColumns(same).groupBy(
         "id__", "source__", F.col("text_key").alias("key__")).agg(
         F.count("*").alias("rows__"), F.sum(F.expr("taken div nullif(size, 0)")).alias("taken__")).where("taken__ > 0")
-    keyed = docs.withColumns(same | {"key__": text_hash()}).join(by_shuffle(copies), ["id__", "source__", "key__"])
+    keyed = rows.withColumns(same | {"key__": text_hash()}).join(by_shuffle(copies), ["id__", "source__", "key__"])
     alike = Window.partitionBy("id__", "source__", "key__").orderBy(F.lit(1))
     times = F.expr("int(taken__ div rows__) + int(rn__ <= taken__ % rows__)")
-    return keyed.withColumn("rn__", F.row_number().over(alike)).withColumn(
-        "copy__", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    return give_back(keyed.withColumn("rn__", F.row_number().over(alike)).withColumn(
+        "copy__", F.explode(F.array_repeat(F.lit(1), times))), docs)

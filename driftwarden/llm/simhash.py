@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from driftwarden.llm.common import by_shuffle, materialize, small_side, text_hash
+from driftwarden.llm.common import by_shuffle, give_back, materialize, set_aside, small_side, text_hash
 from driftwarden.llm.components import connected_components
 
 BITS = 64
@@ -310,16 +310,16 @@ SIMILAR = {"shingle_words": 5, "lanes": 5, "max_bits": 75, "blocks": 8, "agree":
 def keep_one(docs: DataFrame, similarity: float | None = None, **params) -> DataFrame:
     """``docs`` with one row of each group: the smallest doc_id, NULL last, then the smallest text hash.
 
-    With a ``similarity`` fingerprints only give candidates, and the shingle sets decide.
+    With a ``similarity`` fingerprints only give candidates, and the shingle sets decide. Further columns may have any name.
     """
     none = F.lit(-(1 << 63))
     first = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "text_key")
-    groups = near_duplicates(docs, **params)
+    rows = set_aside(docs)
+    groups = near_duplicates(rows, **params)
     if similarity is not None:
-        groups = verified(docs, groups, params["shingle_words"], params["max_bits"], similarity)
+        groups = verified(rows, groups, params["shingle_words"], params["max_bits"], similarity)
     kept = groups.withColumn("rn", F.row_number().over(first)).where("rn = 1").select(
         F.coalesce("doc_id", none).alias("id__"), F.col("text_key").alias("key__"))
     one = Window.partitionBy("id__", "key__").orderBy(F.lit(1))
-    keyed = docs.withColumns({"id__": F.coalesce("doc_id", none), "key__": text_hash()})
-    return keyed.join(by_shuffle(kept), ["id__", "key__"]).withColumn("rn__", F.row_number().over(one)).where("rn__ = 1").drop(
-        "id__", "key__", "rn__")
+    keyed = rows.withColumns({"id__": F.coalesce("doc_id", none), "key__": text_hash()})
+    return give_back(keyed.join(by_shuffle(kept), ["id__", "key__"]).withColumn("rn__", F.row_number().over(one)).where("rn__ = 1"), docs)

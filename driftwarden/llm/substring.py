@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from driftwarden.llm.common import by_shuffle, materialize, text_hash
+from driftwarden.llm.common import by_shuffle, give_back, materialize, set_aside, text_hash
 
 WINDOW, ANCHOR_WORDS = 50, 8
 #: Words indexed by a shard on average.
@@ -326,18 +326,20 @@ def dedup_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without repeated passages: texts that lose words are the words left, joined by blanks; emptied rows go.
 
-    Texts that lose nothing stay as they are. A column ``n_chars`` follows the text.
+    Texts that lose nothing stay as they are. A column ``n_chars`` follows the text. Further columns may have any name.
     """
     @F.pandas_udf("string")
     def rest(texts: pd.Series, ranges: pd.Series) -> pd.Series:
         return pd.Series([b" ".join(kept_words(t.encode().split(), list(r))).decode() for t, r in zip(texts, ranges)])
 
-    rows = _with_ranges(docs, window)
-    same = rows.where("ranges IS NULL").select(*docs.columns)
+    needed = ("doc_id", "text", "n_chars")
+    own = set_aside(docs, needed).columns
+    rows = _with_ranges(set_aside(docs, needed), window)
+    same = rows.where("ranges IS NULL").select(*own)
     cut = rows.where("ranges IS NOT NULL").withColumn("text", rest("text", "ranges")).where("text <> ''")
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return same.unionByName(cut.select(*docs.columns))
+    return give_back(same.unionByName(cut.select(*own)), docs, needed)
 
 
 ORACLE_SQL = r"""

@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from driftwarden.llm import mixing, quality, simhash, substring
 from driftwarden.session import materialize
 from tests.llm.conftest import ODD
 from tests.llm.test_packing import check_places
@@ -45,3 +48,17 @@ def test_planted_cases(spark, documents):
 
 def test_empty_table(spark, documents):
     assert through(spark, documents(*ODD).limit(0))[-1].count() == 0
+
+
+@pytest.mark.parametrize("stage", [
+    quality.keep_good, lambda d: simhash.keep_one(d, **simhash.SIMILAR), substring.without_repeats, mixing.mixed_documents])
+def test_further_columns_may_have_any_name(documents, stage):
+    names = ["words__", "measures__", "kept__", "symbols_high", "id__", "key__", "rn__", "copy__", "rows__", "taken__", "source__", "root",
+             "text_key", "ranges", "own", "lines__", "aside_0__", "a.b"]
+    docs = documents(*[(i, " ".join(f"word{(i * 31 + k * (i + 1)) % 997}" for k in range(60)), "en", "s") for i in range(12)])
+    docs = docs.select("*", *[F.lit(f"mine {n}").alias(n) for n in names])
+    out = stage(docs)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert {r.doc_id for r in rows} == set(range(12))
+    assert all(r[n] == f"mine {n}" for r in rows for n in names) and all(r["rank"] == 7 for r in rows)
