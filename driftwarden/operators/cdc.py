@@ -95,16 +95,33 @@ def ranked_patterns(patterns: DataFrame, k: int | None = None) -> DataFrame:
     return ranked if k is None else ranked.filter(F.col("pattern_no") <= k)
 
 
+def _by_column_set(events: DataFrame) -> DataFrame:
+    """Missed events per table, reason and set of changed columns, with their first and last time."""
+    return events.filter(~captured_flag()).groupBy(
+        "table_name", gap_reason().alias("reason"), F.json_object_keys("after").alias("changed"),
+    ).agg(F.count(F.lit(1)).alias("n"), F.min("event_ts").alias("first"), F.max("event_ts").alias("last"))
+
+
+def cdc_pattern_columns(events: DataFrame) -> DataFrame:
+    """One row per table, reason and changed column of the missed events, with their number and their first and last time.
+
+    Column names come from the events' JSON, so any number of them may occur: nothing is gathered per reason. A name that an event
+    holds twice counts once; events without a readable image have a NULL column.
+    """
+    columns = _by_column_set(events).select(
+        "table_name", "reason", "n", "first", "last", F.explode_outer(F.array_distinct("changed")).alias("column_name"))
+    return columns.groupBy("table_name", "reason", "column_name").agg(
+        F.sum("n").alias("event_count"), F.min("first").alias("first_occurrence"), F.max("last").alias("last_occurrence"))
+
+
 def cdc_pattern_detail(events: DataFrame) -> DataFrame:
     """Per table and reason: missed events, first and last time, and the columns they touched.
 
     Events with the same set of changed columns are counted first, then the sets are unfolded
-    to single columns. What is gathered per reason is at most the column list of its table.
+    to single columns. The names are gathered per reason, for tables whose events name their own columns;
+    ``cdc_pattern_columns`` gives a row per name, whatever the events hold.
     """
-    by_set = events.filter(~captured_flag()).groupBy(
-        "table_name", gap_reason().alias("reason"), F.json_object_keys("after").alias("changed"),
-    ).agg(F.count(F.lit(1)).alias("n"), F.min("event_ts").alias("first"), F.max("event_ts").alias("last"))
-    unfolded = by_set.select(
+    unfolded = _by_column_set(events).select(
         "table_name", "reason", "n", "first", "last", F.posexplode_outer("changed").alias("pos", "column_name"))
     once = F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("n"))  # a set counts with its first column only
     by_column = unfolded.groupBy("table_name", "reason", "column_name").agg(

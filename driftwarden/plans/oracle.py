@@ -784,6 +784,16 @@ WHERE took <= 60 OR event_ts + INTERVAL '1' HOUR < reached GROUP BY table_name""
     sql["cdc_gap_windowed_undated"] = _GAP_WINDOWS.replace(
         "FROM cdc_events", "FROM (SELECT table_name, captured, CASE WHEN event_id % 17 <> 0 THEN event_ts END AS event_ts FROM cdc_events)")
 
+    sql["cdc_pattern_columns"] = """SELECT table_name, coalesce(gap_reason, 'UNKNOWN') AS reason, name AS column_name, count(*) AS event_count,
+  min(event_ts) AS first_occurrence, max(event_ts) AS last_occurrence
+FROM (SELECT *, unnest(json_keys(after)) AS name FROM cdc_events WHERE NOT captured) GROUP BY ALL"""
+    sql["stale_rows"] = f"SELECT * FROM ({_STALE})"
+    sql["stale_counts"] = f"""SELECT table_name, verdict, row_count, later_events, longest_seconds,
+  {_pct('row_count', 'total')} AS share_pct
+FROM (SELECT *, CAST(sum(row_count) OVER (PARTITION BY table_name) AS BIGINT) AS total FROM (
+  SELECT table_name, verdict, count(*) AS row_count, CAST(sum(later_events) AS BIGINT) AS later_events, max(behind_seconds) AS longest_seconds
+  FROM ({_STALE}) GROUP BY table_name, verdict))"""
+
     # evidence, issues and score
     sql["evidence"] = "SELECT * EXCLUDE (table_ordinal, flag_mismatches) FROM evidence"
     sql["recon_issues"] = "SELECT table_name, issue_type, severity, detail FROM issues"
@@ -877,6 +887,8 @@ LEFT JOIN parsed_logs p ON p.task_id = l.task_id AND p.run_id = l.run_id AND p.f
   CAST(sum(records_processed) AS BIGINT) AS records_processed, count(*) FILTER (status = 'FAILED') AS failed_task_count
 FROM parsed_logs GROUP BY dag_id, run_id"""
 
+    sql["error_templates"] = f"SELECT * FROM ({_TEMPLATES})"
+
     # constraint checks
     sql["duplicate_keys"] = duplicates
     sql["null_violations"] = _union([
@@ -887,6 +899,44 @@ WHERE l_orderkey IS NOT NULL AND l_orderkey NOT IN (SELECT txn_id FROM tgt_inven
     return sql
 
 
+#: Every row with the last event up to its time and the number of later ones, by comparing each row with all events of its key.
+_STALE = """WITH held AS (
+  SELECT 'inventory' AS table_name, item_id AS key, last_counted_ts AS row_ts FROM tgt_inventory
+  UNION ALL SELECT 'vendor', vendor_id, TIMESTAMP '2024-01-02' + (vendor_id * 5 % 700) * INTERVAL '1' HOUR FROM tgt_vendor),
+logged AS (SELECT table_name, primary_key AS key, event_ts, CAST(event_id AS VARCHAR) AS event_id,
+  CASE WHEN table_name = 'inventory' THEN event_id % 3 <> 0 ELSE captured END AS captured FROM cdc_events),
+counted AS (SELECT h.table_name, h.key, h.row_ts, max(e.event_ts) FILTER (e.event_ts <= row_ts) AS event_ts,
+    count(*) FILTER (e.event_ts > row_ts) AS later_events, count(*) FILTER (e.event_ts > row_ts AND e.captured) AS later_captured,
+    max(e.event_ts) FILTER (e.event_ts > row_ts) AS newest
+  FROM held h LEFT JOIN logged e ON e.table_name = h.table_name AND e.key = h.key GROUP BY h.table_name, h.key, h.row_ts)
+SELECT table_name, key, row_ts, event_ts,
+  (SELECT max(event_id) FROM logged e WHERE e.table_name = c.table_name AND e.key = c.key AND e.event_ts = c.event_ts) AS event_id,
+  later_events, later_captured, date_sub('second', row_ts, newest) AS behind_seconds,
+  CASE WHEN later_events > 0 AND later_captured = 0 THEN 'NEVER_CAPTURED' WHEN later_events > 0 THEN 'LAGGING'
+    WHEN event_ts IS NULL THEN 'NO_EVENTS' ELSE 'CURRENT' END AS verdict
+FROM counted c"""
+
+#: Words with digits, then crowded second and third places of the tree, then crowded places under a leaf.
+_TEMPLATES = r"""WITH more AS (SELECT *, translate(CAST(primary_key AS VARCHAR), '0123456789', 'abcdefghij') AS host
+  FROM cdc_events WHERE gap_reason IS NOT NULL OR event_id % 9 = 0),
+all_lines AS (SELECT dag_id, task_id, unnest(regexp_extract_all(log_text, '(?m)ERROR.*?$')) AS line FROM task_logs
+  UNION ALL SELECT 'capture', table_name, 'ERROR host ' || host || ' lost ' || table_name || ' in part ' || event_id FROM more
+  UNION ALL SELECT 'capture', table_name, host || ' ERROR ' || operation || ' refused' FROM more),
+shaped AS (SELECT dag_id, task_id, line, [CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END for w in string_split(line, ' ')] AS words FROM all_lines),
+shapes AS (SELECT DISTINCT words, len(words) AS size FROM shaped),
+one AS (SELECT words, size, CASE WHEN size IN (SELECT size FROM shapes GROUP BY size HAVING count(DISTINCT words[1]) > 16) THEN '<*>' ELSE words[1] END AS w1 FROM shapes),
+two AS (SELECT words, size, w1, CASE WHEN (size, w1) IN (SELECT (size, w1) FROM one GROUP BY size, w1 HAVING count(DISTINCT words[2]) > 16)
+  THEN '<*>' ELSE words[2] END AS w2 FROM one),
+rest AS (SELECT DISTINCT size, w1, w2, spot, words[spot] AS w FROM two, generate_series(3, 40) g(spot) WHERE spot <= size),
+crowded AS (SELECT size, w1, w2, list(spot) AS places FROM (
+  SELECT size, w1, w2, spot FROM rest GROUP BY ALL HAVING count(*) > 16) GROUP BY size, w1, w2),
+named AS (SELECT t.words, array_to_string([CASE WHEN i = 1 THEN t.w1 WHEN i = 2 THEN t.w2 WHEN list_contains(coalesce(c.places, []), i) THEN '<*>'
+    ELSE t.words[i] END for i in range(1, t.size + 1)], ' ') AS template
+  FROM two t LEFT JOIN crowded c ON c.size = t.size AND c.w1 = t.w1 AND c.w2 IS NOT DISTINCT FROM t.w2)
+SELECT dag_id, task_id, template, count(*) AS line_count, count(DISTINCT words) AS shape_count, min(line) AS example
+FROM shaped JOIN named USING (words) GROUP BY dag_id, task_id, template"""
+
+
 def _used(text: str, ctes: dict[str, str]) -> list[str]:
     """The expressions a text uses, directly or not. The list of expressions is in dependency order."""
     used: set[str] = set()

@@ -14,7 +14,7 @@ from driftwarden import config as cfg
 from driftwarden.functions import conversion as cv
 from driftwarden.functions import labels
 from driftwarden.operators import (
-    cdc, checks, issues, load, lookup_table, loss_patterns as patterns, ordered_runs, partition_upsert, renames, report, root_cause, row_pairing, row_recon, schema_diff, task_runs, transforms, value_diff,
+    cdc, checks, error_templates as templates, issues, load, lookup_table, loss_patterns as patterns, ordered_runs, partition_upsert, renames, report, root_cause, row_pairing, row_recon, schema_diff, stale_rows as staleness, task_runs, transforms, value_diff,
 )
 from driftwarden.plans import migrate
 from driftwarden.plans.reconcile import Reconciliation
@@ -738,6 +738,33 @@ def ts_offset_segments(spark: SparkSession, sf: str) -> DataFrame:
     return union_all([ordered_runs.ts_offset_segments(pair, "order_date", least).withColumn("least_rows", F.lit(least)) for least in (1, 100)])
 
 
+def _stale(spark: SparkSession, sf: str) -> DataFrame:
+    """Inventory against a log that misses every third event, and vendors, as of a made-up time of writing, against theirs."""
+    events = dv.cdc_events(spark, sf)
+    missing = events.where("table_name = 'inventory'").withColumn("captured", F.col("event_id") % 3 != 0)
+    written = F.lit("2024-01-02").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (F.col("vendor_id") * 5 % 700).cast("int"))
+    vendors = dv.pair(spark, sf, "vendor").target.withColumn("updated_ts", written)
+    return union_all([
+        staleness.stale_rows(rows, log, key, time).withColumn("table_name", F.lit(name)) for name, rows, log, key, time in (
+            ("inventory", dv.pair(spark, sf, "inventory").target, missing, "item_id", "last_counted_ts"),
+            ("vendor", vendors, events.where("table_name = 'vendor'"), "vendor_id", "updated_ts"))])
+
+
+@query
+def stale_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return _stale(spark, sf)
+
+
+@query
+def stale_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return staleness.stale_counts(_stale(spark, sf), "table_name")
+
+
+@query
+def cdc_pattern_columns(spark: SparkSession, sf: str) -> DataFrame:
+    return cdc.cdc_pattern_columns(dv.cdc_events(spark, sf))
+
+
 # ---- evidence, issues and score
 
 @query
@@ -925,6 +952,21 @@ def task_log_totals(spark: SparkSession, sf: str) -> DataFrame:
     return task_runs.run_totals(task_runs.task_metrics(dv.task_logs(spark, sf)))
 
 
+def _error_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The error lines of the task logs, and two kinds of lines with a name of letters in the middle or at the start."""
+    host = F.translate(F.col("primary_key").cast("string"), "0123456789", "abcdefghij")
+    line = F.concat(F.lit("ERROR host "), host, F.lit(" lost "), F.col("table_name"), F.lit(" in part "), F.col("event_id").cast("string"))
+    named = F.concat(host, F.lit(" ERROR "), F.col("operation"), F.lit(" refused"))
+    events = dv.cdc_events(spark, sf).where("gap_reason IS NOT NULL OR event_id % 9 = 0")
+    more = events.select(F.lit("capture").alias("dag_id"), F.col("table_name").alias("task_id"), F.explode(F.array(line, named)).alias("line"))
+    return templates.error_lines(dv.task_logs(spark, sf)).unionByName(more)
+
+
+@query
+def error_templates(spark: SparkSession, sf: str) -> DataFrame:
+    return templates.error_templates(templates.line_shapes(_error_lines(spark, sf)))
+
+
 # ---- constraint checks
 
 @query
