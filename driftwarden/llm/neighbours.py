@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 A table's hash of a unit vector: three rounds of random signs and a fast Hadamard transform (a pseudo-rotation), then the
-nearest signed axis. Where these are too few, a second pseudo-rotation, of which only the first axes count, makes the
-hash finer; how many axes count follows from the number of vectors, so that buckets keep their size at any scale. A query
+nearest signed axis. Where these are too few, further pseudo-rotations make the hash finer, as many as the number of vectors
+asks for; of the last only the first axes count, so that buckets keep their size at any scale. A query
 probes, besides its own bucket, those next in the order of its projections. Index rows and probing queries of a bucket
 meet in groups of bounded size (large buckets are split on both sides), which pass on the best of each query; these are
 reranked exactly on the original vectors.
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from driftwarden.llm.common import materialize, small_side
+from driftwarden.session import scratch_path
 
 #: Hash tables, least number of buckets probed in each, and least number of vectors aimed at per bucket.
 TABLES, PROBES, BUCKET_ROWS = 10, 8, 512
@@ -61,11 +62,14 @@ class CrossPolytope:
     def __init__(self, dim: int, rows: int, tables: int = TABLES, bucket_rows: int = BUCKET_ROWS, seed: int = SEED) -> None:
         self.dim, self.size = dim, 1 << max(0, dim - 1).bit_length()
         wanted = max(1.0, rows / bucket_rows)
-        self.coarse = int(min(self.size, max(1, 2 ** np.ceil(np.log2(wanted) - 1))))
-        self.fine = int(min(self.size, max(1, 2 ** np.round(np.log2(max(1.0, wanted / (2 * self.size))) - 1)))) if wanted > 2 * self.size else 0
+        #: Axes that count in each part of the hash.
+        self.axes = [int(min(self.size, max(1, 2 ** np.ceil(np.log2(wanted) - 1))))]
+        while (wanted := wanted / (2 * self.size)) > 1:
+            self.axes.append(int(min(self.size, max(1, 2 ** np.round(np.log2(wanted) - 1)))))
+        self.fine = self.axes[1] if len(self.axes) > 1 else 0
         draw = np.random.default_rng(seed)
-        self.signs = draw.choice([-1.0, 1.0], (tables, 2, 3, self.size))
-        self.count = 2 * self.coarse * max(1, 2 * self.fine)
+        self.signs = draw.choice([-1.0, 1.0], (tables, max(2, len(self.axes)), 3, self.size))
+        self.count = int(np.prod([2 * a for a in self.axes], dtype=object))
 
     def projections(self, vectors: np.ndarray, table: int) -> list[np.ndarray]:
         """Signed projections ``n x 2 axes`` of each part of the hash; the nearest axis has the largest."""
@@ -73,7 +77,7 @@ class CrossPolytope:
         x[:, :self.dim] = vectors
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         out = []
-        for part, axes in enumerate((self.coarse, self.fine)[:1 + bool(self.fine)]):
+        for part, axes in enumerate(self.axes):
             y = x
             for signs in self.signs[table, part]:
                 y = hadamard(y * signs)
@@ -81,22 +85,33 @@ class CrossPolytope:
         return out
 
     def buckets(self, vectors: np.ndarray, table: int) -> np.ndarray:
-        parts = [p.argmax(axis=1) for p in self.projections(vectors, table)]
-        return parts[0] if len(parts) == 1 else parts[0] * 2 * self.fine + parts[1]
+        number = np.zeros(len(vectors), np.int64)
+        for axes, part in zip(self.axes, self.projections(vectors, table)):
+            number = number * 2 * axes + part.argmax(axis=1)
+        return number
 
     def probes(self, vectors: np.ndarray, table: int, most: int) -> np.ndarray:
-        """The ``most`` likeliest buckets of each vector, by the squared distance that its projections would have to move."""
-        parts = self.projections(vectors, table)
-        cost = (parts[0].max(axis=1, keepdims=True) - parts[0]) ** 2
-        if len(parts) == 1:
-            return np.argsort(cost, axis=1, kind="stable")[:, :most]
-        fine = (parts[1].max(axis=1, keepdims=True) - parts[1]) ** 2
-        a = np.argsort(cost, axis=1, kind="stable")[:, :most]
-        b = np.argsort(fine, axis=1, kind="stable")[:, :most]
-        both = np.take_along_axis(cost, a, 1)[:, :, None] + np.take_along_axis(fine, b, 1)[:, None, :]
-        best = np.argsort(both.reshape(len(vectors), -1), axis=1, kind="stable")[:, :most]
-        rows = np.arange(len(vectors))[:, None]
-        return a[rows, best // b.shape[1]] * 2 * self.fine + b[rows, best % b.shape[1]]
+        """The ``most`` likeliest buckets of each vector, by the squared distance that its projections would have to move.
+
+        Parts are added one by one: the least sums are among the least of what came before and the least of the part.
+        """
+        number, cost = np.zeros((len(vectors), 1), np.int64), np.zeros((len(vectors), 1))
+        for axes, part in zip(self.axes, self.projections(vectors, table)):
+            moved = (part.max(axis=1, keepdims=True) - part) ** 2
+            least = np.argsort(moved, axis=1, kind="stable")[:, :most]
+            both = (cost[:, :, None] + np.take_along_axis(moved, least, 1)[:, None, :]).reshape(len(vectors), -1)
+            numbers = (number[:, :, None] * 2 * axes + least[:, None, :]).reshape(len(vectors), -1)
+            best = np.argsort(both, axis=1, kind="stable")[:, :most]
+            number, cost = np.take_along_axis(numbers, best, 1), np.take_along_axis(both, best, 1)
+        return number
+
+    def held(self, most: int) -> int:
+        """Most costs that ``probes`` holds for a vector at once."""
+        kept, largest = 1, 1
+        for axes in self.axes:
+            largest = max(largest, kept * min(most, 2 * axes))
+            kept = min(most, kept * 2 * axes)
+        return largest
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -105,7 +120,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 def _buckets(vectors: DataFrame, hashes: CrossPolytope, probes: int | None, carry: bool) -> DataFrame:
     """``(bucket, rep)``, with the vector if carried, of all tables; a bucket's number includes its table."""
-    step = max(1, min(4096, COSTS // (min(probes or 1, 2 * hashes.coarse) * min(probes or 1, max(1, 2 * hashes.fine)))))
+    step = max(1, min(4096, COSTS // hashes.held(probes or 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,7 +130,7 @@ def _buckets(vectors: DataFrame, hashes: CrossPolytope, probes: int | None, carr
                 for table in range(len(hashes.signs)):
                     b = hashes.probes(x, table, probes) if probes else hashes.buckets(x, table)[:, None]
                     rows = pa.array(np.repeat(np.arange(len(x)), b.shape[1]))
-                    out = [pa.array((b + table * (1 << 40)).ravel()), *[c.take(rows) for c in part.columns[:1 + carry]]]
+                    out = [pa.array((b + table * hashes.count).ravel()), *[c.take(rows) for c in part.columns[:1 + carry]]]
                     yield pa.RecordBatch.from_arrays(out, ["bucket", "rep", "vector"][:2 + carry])
 
     kind = vectors.schema["vector"].dataType.simpleString()
@@ -172,12 +187,16 @@ def _best(pairs: DataFrame, members: DataFrame, queries: DataFrame, k: int) -> D
 
 
 def _against_all(short: DataFrame, vectors: DataFrame, dim: int, k: int) -> DataFrame | None:
-    """``(q, rep, score)`` of the queries ``short (q, vector)`` with every vector, the ``k + 1`` best of each task."""
-    out, after = None, None
+    """``(q, rep, score)`` of the queries ``short (q, vector)`` with every vector, the ``k + 1`` best of each task.
+
+    The driver holds one block of queries at a time, and each block's result is written before the next one, so neither its
+    memory nor the plan grows with their number.
+    """
+    path, after = scratch_path(vectors.sparkSession, "against-all"), None
     while True:
         block = (short if after is None else short.where(F.col("q") > after)).orderBy("q").limit(BLOCK).toPandas()
         if not len(block):
-            return out
+            return None if after is None else vectors.sparkSession.read.schema("q long, rep long, score double").parquet(path)
         ids, x = block["q"].to_numpy(np.int64), np.stack(block["vector"]).astype(np.float64)
 
         def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, x: np.ndarray = x) -> Iterator[pa.RecordBatch]:
@@ -188,21 +207,23 @@ def _against_all(short: DataFrame, vectors: DataFrame, dim: int, k: int) -> Data
                     pa.array(np.repeat(ids, order.shape[1])), pa.array(reps[order].ravel()),
                     pa.array(np.take_along_axis(scores.T, order, 1).ravel())], ["q", "rep", "score"])
 
-        found = vectors.select("rep", "vector").mapInArrow(run, "q long, rep long, score double")
-        out, after = found if out is None else out.unionByName(found), int(ids[-1])
+        vectors.select("rep", "vector").mapInArrow(run, "q long, rep long, score double").write.mode("append").parquet(path)
+        after = int(ids[-1])
 
 
 def probes_needed(hashes: CrossPolytope, asked: np.ndarray, true: list[np.ndarray], aim: float = AIM) -> int:
-    """Fewest probes at which some table meets the share ``aim`` of the vectors ``true[i]`` of each query ``asked[i]``."""
+    """Fewest probes at which some table meets the share ``aim`` of the vectors ``true[i]`` of each query ``asked[i]``.
+
+    One more than ``MOST_PROBES`` where those do not.
+    """
     ranks = []
     for x, found in zip(asked, true):
-        first = np.full(len(found), hashes.count)
+        first = np.full(len(found), MOST_PROBES)
         for table in range(len(hashes.signs)):
-            place = np.empty(hashes.count, np.int64)
-            place[hashes.probes(x[None], table, hashes.count)[0]] = np.arange(hashes.count)
-            first = np.minimum(first, place[hashes.buckets(found, table)])
+            met = hashes.buckets(found, table)[:, None] == hashes.probes(x[None], table, MOST_PROBES)
+            first = np.minimum(first, np.where(met.any(axis=1), met.argmax(axis=1), MOST_PROBES))
         ranks.append(first)
-    ranks = np.sort(np.concatenate(ranks))
+    ranks = np.sort(np.concatenate(ranks)) if ranks else np.zeros(0, int)
     return int(ranks[int(np.ceil(aim * len(ranks))) - 1]) + 1 if len(ranks) else 1
 
 

@@ -95,3 +95,44 @@ def test_probes_follow_the_number_of_vectors(spark):
     df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)
     found = by_query(neighbours.nearest(df, 60, bucket_rows=16).collect())  # as many buckets as 384,000 vectors have
     assert recall(found, plain(rows, 60, 20)) >= 0.9
+
+
+def test_buckets_keep_their_size():
+    for rows in (10 ** 5, 10 ** 7, 10 ** 9, 10 ** 11):
+        for dim in (3, 64, 768):
+            assert rows / 2 / neighbours.CrossPolytope(dim, rows, 1).count <= neighbours.BUCKET_ROWS, (rows, dim)
+
+
+def test_probes_are_the_least_costs_over_three_parts():
+    hashes = neighbours.CrossPolytope(4, 300, 2, 1)
+    assert len(hashes.axes) == 3
+    x = np.random.default_rng(15).normal(size=(20, 4))
+    for table in (0, 1):
+        parts = hashes.projections(x, table)
+        cost = np.zeros((20, 1))
+        for p in parts:
+            cost = (cost[:, :, None] + ((p.max(axis=1, keepdims=True) - p) ** 2)[:, None, :]).reshape(20, -1)
+        found = hashes.probes(x, table, 9)
+        assert (found[:, 0] == hashes.buckets(x, table)).all() and hashes.count == cost.shape[1]
+        assert np.allclose(np.take_along_axis(cost, found, 1), np.sort(cost, axis=1)[:, :9])
+
+
+def test_recall_with_three_parts(spark):
+    draw = np.random.default_rng(16)
+    centres = draw.normal(size=(300, 8))
+    x = centres[draw.integers(0, 300, 6000)] + 0.1 * draw.normal(size=(6000, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))]
+    df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)
+    assert len(neighbours.CrossPolytope(8, 6000, 1, 8).axes) == 3
+    found = by_query(neighbours.nearest(df, 40, 10, probes=32, bucket_rows=8).collect())
+    assert recall(found, plain(rows, 40, 10)) >= 0.9
+
+
+def test_many_queries_against_all(spark, monkeypatch):
+    """More blocks than one, written one after the other."""
+    monkeypatch.setattr(neighbours, "BLOCK", 7)
+    draw = np.random.default_rng(17)
+    rows = [(i, v.tolist()) for i, v in enumerate(draw.normal(size=(400, 16)))]
+    found = by_query(neighbours.nearest(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA), 10, 20, tables=1, probes=1, bucket_rows=4).collect())
+    expected = plain(rows, 10, 20)
+    assert all(len(found[q]) == 20 for q in expected) and recall(found, expected) > 0.99
