@@ -26,8 +26,9 @@ def plan_of(df) -> str:
 def test_no_cross_joins_no_python_and_no_windows_over_rows(spark, sf_dir, name):
     plan = plan_of(QUERIES[name](spark, sf_dir))
     assert not [op for op in FORBIDDEN if op in plan]
-    if re.search(r"\bWindow \[", plan):  # these rank reasons, findings and runs, or look inside written ranges
-        assert name in {"cdc_gap_patterns", "top_gap_reasons", "score_trend", "recommended_fixes", "missing_event_ids", "ts_offset_segments"}
+    if re.search(r"\bWindow \[", plan):  # these rank reasons, findings, runs and verdicts, or look inside written ranges
+        assert name in {"cdc_gap_patterns", "top_gap_reasons", "score_trend", "recommended_fixes", "missing_event_ids", "ts_offset_segments",
+                        "stale_rows", "stale_counts"}
 
 
 def test_joins_do_not_broadcast_tables(spark, sf_dir):
@@ -49,7 +50,7 @@ def test_joins_do_not_broadcast_tables(spark, sf_dir):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-@pytest.mark.parametrize("name", ["missing_event_ids", "ts_offset_segments"])
+@pytest.mark.parametrize("name", ["missing_event_ids", "ts_offset_segments", "stale_rows"])
 def test_no_window_over_a_whole_table(spark, sf_dir, name):
     windows = re.findall(r"\bWindow \[.*?\], \[([^\]]*)\]", plan_of(QUERIES[name](spark, sf_dir)))
     assert windows and all("range__" in w for w in windows)
