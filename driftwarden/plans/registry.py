@@ -22,7 +22,7 @@ from driftwarden.session import scratch_path
 from driftwarden.sources import cdc_log, drift_views as dv, run_store, staging
 from driftwarden.sources.catalog import column_catalog, column_profile, observed_catalog
 from driftwarden.sources.local import small_frame
-from driftwarden.sources.task_logs import scan_task_logs
+from driftwarden.sources.task_logs import scan_task_logs, write_task_logs
 from driftwarden.streaming import capture_match as matching, gap_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -182,8 +182,7 @@ def cdc_summary_override(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def task_log_scan(spark: SparkSession, sf: str) -> DataFrame:
     base = scratch_path(spark, "task-logs")
-    logs = dv.task_logs(spark, sf).select("dag_id", "task_id", "run_id", "log_text")
-    logs.write.option("maxRecordsPerFile", 1).partitionBy("dag_id", "task_id", "run_id").text(base)  # a file per log
+    write_task_logs(dv.task_logs(spark, sf), base)  # a file per log
     logs = scan_task_logs(spark, base, suffix=".txt")
     folder_value = {c: F.element_at(F.split(c, "="), -1) for c in ("dag_id", "task_id", "run_id")}
     return task_runs.task_metrics(logs.withColumns(folder_value)).drop("file_name")

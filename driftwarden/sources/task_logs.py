@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+import re
+from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
+LOG_FOLDERS = ("dag_id", "task_id", "run_id")
+FILES_PER_TASK = 5000  # written by one task
+SCAN_TASKS = 256  # read by no more tasks, or by four a core: a split holds few files, however small they are
+PLAIN = (".log", ".txt")  # the text source may unpack files of other names
+
+
 def _path_parts() -> dict[str, Column]:
     parts = F.split(F.col("_metadata.file_path"), "/")
 
@@ -36,17 +45,19 @@ def scan_task_logs(spark: SparkSession, base: str, dag: str | None = None, task:
     Folders are listed, not globbed, because run names often hold colons. ``paths``, as ``list_task_logs``
     gives them, leaves all other files unopened.
     """
-    files = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}")
-        .text(_folder(base, dag, task, run), wholetext=True)
-    )
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}")
+    folder = _folder(base, dag, task, run)
+    if paths is None and suffix.endswith(PLAIN):  # many files: the same bytes, opened in less time
+        files, text = reader.format("binaryFile").load(folder), F.col("content").cast("string")
+    else:
+        files, text = reader.text(folder, wholetext=True), F.col("value")
     if paths is not None:
         files = files.filter(F.col("_metadata.file_path").isin(*paths))
-    logs = files.select(*[c.alias(n) for n, c in _path_parts().items()], F.col("value").alias("log_text"))
-    for column, name in (("dag_id", dag), ("task_id", task), ("run_id", run)):
+    logs = files.select(*[c.alias(n) for n, c in _path_parts().items()], text.alias("log_text"))
+    for column, name in zip(LOG_FOLDERS, (dag, task, run)):
         if name is not None:
             logs = logs.filter(F.col(column) == name)
-    return logs
+    return logs.coalesce(max(SCAN_TASKS, 4 * spark.sparkContext.defaultParallelism))
 
 
 def list_task_logs(spark: SparkSession, base: str, dag: str | None = None, suffix: str = ".log") -> DataFrame:
@@ -56,3 +67,52 @@ def list_task_logs(spark: SparkSession, base: str, dag: str | None = None, suffi
         .load(_folder(base, dag))
     )
     return files.select(*[c.alias(n) for n, c in _path_parts().items()], F.col("_metadata.file_path").alias("file_path"))
+
+
+def _mounted(spark: SparkSession, base: str) -> str | None:
+    """The folder as Python opens it, if it is local or mounted on all machines."""
+    scheme, folder = re.fullmatch(r"(?:(\w+):(?=/))?(?://(?=/))?(.*)", base).groups()
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS")
+    return os.path.abspath(folder) if (scheme or default.split(":")[0]) == "file" else None
+
+
+def _folder_value(value: str | None) -> str:
+    """A folder's value as Spark's own writer spells it."""
+    if not value:
+        return "__HIVE_DEFAULT_PARTITION__"
+    return re.sub(r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", value)
+
+
+def _log_writer(base: str) -> Callable[[Iterable[Row]], None]:
+    def write(rows: Iterable[Row]) -> None:
+        task = TaskContext.get()
+        made = set()
+        for n, row in enumerate(rows):
+            folder = "/".join([base, *[f"{c}={_folder_value(row[c])}" for c in LOG_FOLDERS]])
+            if folder not in made:
+                os.makedirs(folder, exist_ok=True)
+                made.add(folder)
+            name = f"part-{task.partitionId():05d}-{n}.txt"  # the same in each attempt, which meets the same rows
+            hidden = f"{folder}/.{name}.{task.taskAttemptId()}"
+            with open(hidden, "wb") as file:
+                file.write(bytes(row["log_text"] or b"") + b"\n")
+            os.replace(hidden, f"{folder}/{name}")
+
+    return write
+
+
+def write_task_logs(logs: DataFrame, base: str) -> None:
+    """A ``.txt`` file per log in folders of ``dag_id``, ``task_id`` and ``run_id`` named as ``partitionBy`` does.
+
+    Spark's writer starts a process (``chmod``) for every file of a local or mounted file system, which costs
+    far more than the file. There, tasks write the files themselves; elsewhere Spark's writer does.
+    """
+    tasks = max(logs.sparkSession.sparkContext.defaultParallelism, logs.count() // FILES_PER_TASK)
+    spread = logs.select(*LOG_FOLDERS, "log_text").repartition(tasks)
+    folder = _mounted(logs.sparkSession, base)
+    if folder is None:
+        spread.write.option("maxRecordsPerFile", 1).partitionBy(*LOG_FOLDERS).text(base)
+        return
+    os.makedirs(folder)  # an archive without any log is a folder, too; one that is there is not added to
+    columns = [F.col(c).cast("string").alias(c) for c in LOG_FOLDERS]
+    spread.select(*columns, F.col("log_text").cast("binary").alias("log_text")).foreachPartition(_log_writer(folder))

@@ -2,8 +2,16 @@ from __future__ import annotations
 
 import os
 
+from collections import Counter
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
 from driftwarden.operators import task_runs
-from driftwarden.sources.task_logs import scan_task_logs
+from driftwarden.plans import registry
+from driftwarden.sources import drift_views as dv, task_logs
+from driftwarden.sources.task_logs import scan_task_logs, write_task_logs
 
 RUN_A, RUN_B = "manual__2024-01-01T00:00:00+00:00", "manual__2024-01-02T00:00:00+00:00"
 
@@ -66,3 +74,59 @@ def test_latest_logs_are_chosen_without_opening_the_archive(spark, tmp_path, row
     got.collect()
     scan = next(p for p in got._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan text" in p)
     assert "file_path" in scan and "IN" in scan.upper()
+
+
+def written_files(base):
+    """How often each folder holds a file of that content."""
+    return Counter((str(f.parent.relative_to(base)), f.read_bytes()) for f in Path(base).rglob("*.txt"))
+
+
+ODD_LOGS = [("d", "extract", "20240101", "ERROR a\nb"), ("d", "extract", "20240101", "ERROR a\nb"), ("d", "load", None, "x"),
+            ("d", "", "20240101", ""), ("d", "a b:c/%='+é", "20240101", None), ("d", "load", "20240102", "é\r\n")]
+
+
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_written_logs_are_those_of_sparks_own_writer(spark, tmp_path, scheme):
+    logs = spark.createDataFrame(ODD_LOGS, "dag_id STRING, task_id STRING, run_id STRING, log_text STRING")
+    logs = logs.withColumn("log_text", F.when(F.col("run_id").isNull(), F.unhex(F.lit("41FF42")).cast("string")).otherwise(F.col("log_text")))
+    logs.write.option("maxRecordsPerFile", 1).partitionBy(*task_logs.LOG_FOLDERS).text(str(tmp_path / "spark"))
+    write_task_logs(logs, f"{scheme}{tmp_path}/own")
+    own = written_files(tmp_path / "own")
+    assert own == written_files(tmp_path / "spark") and own.total() == 6
+
+    def read(folder):
+        columns = ["dag_id", "task_id", "run_id", F.hex("log_text")]
+        return Counter(tuple(r) for r in scan_task_logs(spark, str(folder), suffix=".txt").select(*columns).collect())
+
+    assert read(tmp_path / "own") == read(tmp_path / "spark")
+
+
+def test_no_logs_are_an_empty_folder(spark, tmp_path):
+    logs = spark.createDataFrame([], "dag_id STRING, task_id STRING, run_id STRING, log_text STRING")
+    write_task_logs(logs, f"{tmp_path}/none")
+    assert scan_task_logs(spark, f"{tmp_path}/none", suffix=".txt").count() == 0
+
+
+def test_a_log_archive_is_written_and_scanned_by_few_tasks_without_a_process_per_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(task_logs, "FILES_PER_TASK", 100)
+    path = tmp_path / "events.parquet"
+    columns = ["id AS event_id", "TIMESTAMP_NTZ '2024-01-05' AS ts", "id % 7 AS user_id", "'view' AS event_type", "1.5D AS value", "'{}' AS props"]
+    spark.range(600).selectExpr(*columns).coalesce(1).write.parquet(str(path))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1")  # every file is a split of its own
+    try:
+        assert registry.QUERIES["task_log_scan"](spark, str(tmp_path)).rdd.getNumPartitions() <= task_logs.SCAN_TASKS
+        write_task_logs(dv.task_logs(spark, str(tmp_path)), f"{tmp_path}/logs")
+        assert scan_task_logs(spark, f"{tmp_path}/logs", suffix=".txt").select("log_text").distinct().count() == 600
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    files = [f.name for f in (tmp_path / "logs").rglob("*") if f.is_file()]
+    assert len(files) == 600 and not [f for f in files if f.startswith(".")]  # Spark's writer leaves checksums beside them
+    assert len({f.split("-")[1] for f in files}) >= 4  # tasks that wrote
+
+
+def test_packed_logs_are_unpacked(spark, tmp_path):
+    import gzip
+    folder = tmp_path / "dag" / "load" / RUN_A
+    folder.mkdir(parents=True)
+    (folder / "1.log.gz").write_bytes(gzip.compress(b"duration: 9\n"))
+    assert scan_task_logs(spark, str(tmp_path), suffix=".log.gz").first().log_text == "duration: 9\n"
