@@ -8,11 +8,15 @@ partitions or retries. Only built-in functions are used.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from driftwarden.llm.common import WORD, give_back, materialize, set_aside, small_side
 
 SYMBOLS = r"[#*$%&|<>]"
+PIECE = 1 << 16  # characters of a long text that are cut into words or lines at a time
+SORTED = 1 << 18  # trigrams of a text that are sorted at a time
 
 #: Base rules.
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
@@ -33,35 +37,61 @@ TRIM = 5
 LEAST_ROWS = 100
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` reads it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _pieces(text: Column, end: str) -> Column:
+    """A long text as pieces of about ``PIECE`` characters, each up to where ``end`` stops; together they are the text."""
+    return F.when(F.length(text) > PIECE, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}+{end}"), F.lit(0))).otherwise(F.array(text))
+
+
+def _repeated(grams: Column) -> Column:
+    """Places of the hashes that occur more than once. Hashes are sorted in groups of about ``SORTED``, not all at once."""
+    groups = F.expr(f"CAST(size(grams__) div {SORTED} + 1 AS INT)")
+    own = lambda g: F.sort_array(F.filter(F.transform(grams, lambda h, i: F.when(
+        F.pmod(h, groups) == g, F.struct(h.alias("h"), i.alias("i")))), F.isnotnull))
+    again = lambda order: F.transform(F.filter(order, lambda x, i: F.coalesce(
+        (F.get(order, i + 1)["h"] == x["h"]) | ((i > 0) & (F.get(order, i - 1)["h"] == x["h"])), F.lit(False))), lambda x: x["i"])
+    return F.sort_array(F.flatten(F.transform(F.sequence(F.lit(0), groups - 1), lambda g: _bound(own(g), again))))
+
+
 def measure(docs: DataFrame) -> DataFrame:
     """``docs`` with a struct column ``measures__``; all other columns stay as they are.
 
     Steps are columns of their own where a later expression uses them more than once, so that they are computed once.
-    A trigram is a 64-bit hash of its words. Trigrams sort next to their equals, and each word they cover counts once:
-    between the starts of neighbouring repeats at most three new words begin.
+    Words and lines are 64-bit hashes, taken piece by piece, so that a text of many megabytes never stands in memory as
+    strings of its words. A trigram is a hash of its words. Trigrams sort next to their equals, and each word they cover
+    counts once: between the starts of neighbouring repeats at most three new words begin.
     """
     text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(WORD)))
-    d = docs.withColumns({"words__": F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), "lines__": lines})
-    d = d.withColumn("grams__", F.when(F.size("words__") > 2, F.slice(F.transform("words__", lambda w, i: F.xxhash64(
-        w, F.get("words__", i + 1), F.get("words__", i + 2))), F.lit(1), F.size("words__") - 2)).otherwise(
-        F.array().cast("array<bigint>")))
+    of_words = lambda words, piece: F.struct(
+        F.transform(words, lambda w: F.xxhash64(w)).alias("words"), F.length(F.array_join(words, "")).cast("long").alias("chars"),
+        F.regexp_count(piece, F.lit(SYMBOLS)).cast("long").alias("symbols"))
+    of_lines = lambda piece: F.transform(
+        F.filter(F.split(piece, "\n"), lambda x: F.rlike(x, F.lit(WORD))), lambda x: F.xxhash64(x))
+    d = docs.withColumns({
+        "pieces__": F.transform(_pieces(text, r"[^\x20\x09-\x0D]*+"), lambda p: _bound(
+            F.regexp_extract_all(p, F.lit(WORD), F.lit(0)), lambda words: of_words(words, p))),
+        "lines__": F.flatten(F.transform(_pieces(text, r"[^\n]*+"), of_lines))})
+    total = lambda name: F.aggregate("pieces__", F.lit(0).cast("long"), lambda n, p: n + p[name])
+    d = d.withColumns({"words__": F.flatten(F.col("pieces__.words")), "chars__": total("chars"), "symbols__": total("symbols")})
+    d = d.drop("pieces__").withColumn("grams__", F.when(F.size("words__") > 2, F.slice(F.transform(
+        "words__", lambda w, i: F.xxhash64(w, F.get("words__", i + 1), F.get("words__", i + 2))),
+        F.lit(1), F.size("words__") - 2)).otherwise(F.array().cast("array<bigint>")))
     d = d.withColumn("repeats__", F.size("grams__") > F.size(F.array_distinct("grams__")))
-    d = d.withColumn("order__", F.when(F.col("repeats__"), F.sort_array(F.transform(
-        "grams__", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    d = d.withColumn("starts__", F.sort_array(F.transform(F.filter("order__", lambda x, i: F.coalesce(
-        (F.get("order__", i + 1)["h"] == x["h"]) | ((i > 0) & (F.get("order__", i - 1)["h"] == x["h"])), F.lit(False))),
-        lambda x: x["i"])))
+    d = d.withColumn("starts__", F.when(F.col("repeats__"), _repeated(F.col("grams__"))))
     covered = F.aggregate(F.transform("starts__", lambda s, i: F.least(
         F.lit(3), F.coalesce(F.get("starts__", i + 1), s + 3) - s)), F.lit(0), lambda a, x: a + x)
     d = d.withColumn("measures__", F.struct(
         F.size("words__").cast("long").alias("n_words"),
-        F.length(F.array_join("words__", "")).cast("long").alias("word_chars"),
-        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        F.col("chars__").alias("word_chars"),
+        F.col("symbols__").alias("n_symbols"),
         F.size("lines__").cast("long").alias("n_lines"),
         (F.size("lines__") - F.size(F.array_distinct("lines__"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words")))
-    return d.drop("words__", "lines__", "grams__", "repeats__", "order__", "starts__")
+    return d.drop("words__", "chars__", "symbols__", "lines__", "grams__", "repeats__", "starts__")
 
 
 def base_failed(least_words: str = str(LEAST_WORDS), most_repeated: str = str(MOST_REPEATED_PERCENT)) -> Column:

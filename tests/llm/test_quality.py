@@ -112,3 +112,13 @@ def test_repeated_lines_are_measured_against_lines(documents):
     verdicts = {r.doc_id: r for r in quality.quality_verdicts(documents(*rows)).collect()}
     assert verdicts[900].n_dup_lines == 3 and not verdicts[900].kept
     assert all(r.kept for i, r in verdicts.items() if i != 900)
+
+
+def test_long_texts_are_measured_in_pieces(documents, monkeypatch):
+    monkeypatch.setattr(quality, "PIECE", 7)
+    monkeypatch.setattr(quality, "SORTED", 5)
+    draw = random.Random(5)
+    texts = ["".join(draw.choice(("a", "b", "é", "😀", " ", "  ", "\n", "\n\n", "\t", "|", "wordlongerthanapiece")) for _ in range(n))
+             for n in (1, 6, 7, 8, 20, 60, 150, 400)] + ["\n" * 30, " " * 30, "x" * 50, "a b\n" * 12, "a b c\n\nd e f " * 5 + "\n"]
+    found = {r.doc_id: tuple(r.measures__) for r in quality.measure(documents(*enumerate(texts))).collect()}
+    assert found == {i: plain_measures(t) for i, t in enumerate(texts)}
