@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from driftwarden.session import scratch_path
+from driftwarden.sources.local import small_frame
 
 LOG_FOLDERS = ("dag_id", "task_id", "run_id")
-FILES_PER_TASK = 5000  # written by one task
+FILES_PER_TASK = 5000  # written or read by one task
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20  # rows and bytes that a task holds before it hands them on
 SCAN_TASKS = 256  # read by no more tasks, or by four a core: a split holds few files, however small they are
 PLAIN = (".log", ".txt")  # the text source may unpack files of other names
 
@@ -45,21 +49,92 @@ def scan_task_logs(spark: SparkSession, base: str, dag: str | None = None, task:
     Folders are listed, not globbed, because run names often hold colons. ``paths``, as ``list_task_logs``
     gives them, leaves all other files unopened.
     """
+    folder, named = _folder(base, dag, task, run), [(c, n) for c, n in zip(LOG_FOLDERS, (dag, task, run)) if n is not None]
+    plain = paths is None and suffix.endswith(PLAIN)
+    mounted = _mounted(spark, folder) if plain and not re.search(r"[*?\[\]{}\\]", folder + suffix) else None
+    if mounted and os.path.isdir(mounted):
+        return _scan_mounted(spark, mounted, suffix, named)
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}")
-    folder = _folder(base, dag, task, run)
-    if paths is None and suffix.endswith(PLAIN):  # many files: the same bytes, opened in less time
+    if plain:  # many files: the same bytes, opened in less time
         files, text = reader.format("binaryFile").load(folder), F.col("content").cast("string")
     else:
         files, text = reader.text(folder, wholetext=True), F.col("value")
     if paths is not None:
         files = files.filter(F.col("_metadata.file_path").isin(*paths))
     logs = files.select(*[c.alias(n) for n, c in _path_parts().items()], text.alias("log_text"))
-    for column, name in zip(LOG_FOLDERS, (dag, task, run)):
-        if name is not None:
-            logs = logs.filter(F.col(column) == name)
+    for column, name in named:
+        logs = logs.filter(F.col(column) == name)
     return logs.coalesce(max(SCAN_TASKS, 4 * spark.sparkContext.defaultParallelism))
 
 
+def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the folders hold, without the names that Spark's readers pass over."""
+    def listed(paths: list[bytes], folders: list[bool]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.binary()), pa.array(folders, pa.bool_())], ["path", "is_folder"])
+
+    paths, folders = [], []
+    for folder in (f for batch in batches for f in batch.column(0).to_pylist()):
+        with os.scandir(folder) as entries:
+            for entry in entries:
+                name = entry.name
+                if name.startswith(b".") or name.startswith(b"_") and b"=" not in name or name.endswith(b"._COPYING_"):
+                    continue
+                if (is_folder := entry.is_dir()) or entry.is_file():
+                    paths.append(entry.path)
+                    folders.append(is_folder)
+                if len(paths) >= 10 * BATCH_ROWS:
+                    yield listed(paths, folders)
+                    paths, folders = [], []
+    yield listed(paths, folders)
+
+
+def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the time, in microseconds, and the bytes of the file at ``path``."""
+    for batch in batches:
+        paths, start, size, times, contents = batch.column("path").to_pylist(), 0, 0, [], []
+        for n, path in enumerate(paths, 1):
+            with open(path, "rb") as file:
+                times.append(os.fstat(file.fileno()).st_mtime_ns // 1_000_000 * 1000)  # whole milliseconds, as Spark's readers tell
+                contents.append(file.read())
+            size += len(contents[-1])
+            if n == len(paths) or n - start >= BATCH_ROWS or size >= BATCH_BYTES:
+                own = batch.slice(start, n - start)
+                columns = [*own.columns, pa.array(times, pa.int64()), pa.array(contents, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, [*own.schema.names, "modified", "content"])
+                start, size, times, contents = n, 0, [], []
+
+
+def _scan_mounted(spark: SparkSession, folder: str, suffix: str, named: Sequence[tuple[str, str]]) -> DataFrame:
+    """``scan_task_logs`` of a folder that Python opens.
+
+    Spark's readers hold a list of all files in the driver. Here, tasks list the folders, level by level, into written
+    lists and then read the files, so the driver knows the number of files only.
+    """
+    def tasks(n: int) -> int:
+        return max(spark.sparkContext.defaultParallelism, n // FILES_PER_TASK)
+
+    level, n, listed = small_frame(spark, [(os.fsencode(folder),)], "path BINARY"), 1, scratch_path(spark, "log-list")
+    depth = 0
+    while n:
+        found = level.repartition(tasks(n)).mapInArrow(_list_folders, "path BINARY, is_folder BOOLEAN")
+        lines = found.select(F.concat(F.when(F.col("is_folder"), "d").otherwise("f"), F.hex("path")))  # packed files are not split
+        lines.write.option("compression", "gzip").text(f"{listed}/level={depth}")
+        level = spark.read.text(f"{listed}/level={depth}").filter("value LIKE 'd%'").select(F.unhex(F.substring("value", 2, 2**31 - 1)).alias("path"))
+        n, depth = level.count(), depth + 1
+    files = spark.read.text([f"{listed}/level={i}" for i in range(depth)]).filter("value LIKE 'f%'")
+    files = files.select(F.unhex(F.substring("value", 2, 2**31 - 1)).alias("path"))
+    parts = F.split(F.concat(F.lit("file://"), F.col("path").cast("string")), "/")
+    names = {c: F.element_at(parts, i) for c, i in zip((*LOG_FOLDERS, "file_name"), (-4, -3, -2, -1))}
+    files = files.select("path", *[c.alias(n) for n, c in names.items()])
+    files = files.filter(F.endswith("file_name", F.lit(suffix)))
+    for column, name in named:
+        files = files.filter(F.col(column) == name)
+    columns = ", ".join(f"{c} STRING" for c in names)
+    read = files.repartition(tasks(files.count())).mapInArrow(_read_files, f"path BINARY, {columns}, modified BIGINT, content BINARY")
+    read = read.filter(F.octet_length("content") > 0)  # Spark's readers give no row for an empty file
+    return read.select(*names, F.timestamp_micros("modified").alias("modified_at"), F.col("content").cast("string").alias("log_text"))
+
+
 def list_task_logs(spark: SparkSession, base: str, dag: str | None = None, suffix: str = ".log") -> DataFrame:
     """One row per log file with its ``file_path`` and without its text. File names and times only: no file is opened."""
     files = (

@@ -130,3 +130,32 @@ def test_packed_logs_are_unpacked(spark, tmp_path):
     folder.mkdir(parents=True)
     (folder / "1.log.gz").write_bytes(gzip.compress(b"duration: 9\n"))
     assert scan_task_logs(spark, str(tmp_path), suffix=".log.gz").first().log_text == "duration: 9\n"
+
+
+def test_logs_are_listed_and_read_by_tasks_as_sparks_reader_does(spark, tmp_path, monkeypatch):
+    run = f"run_id={RUN_A} 100%25+é"
+    for name in (f"d/load/{run}/1.log", f"d/load/{run}/.2.log", f"d/load/{run}/_3.log", f"d/load/{run}/_a=4.log", f"d/load/{run}/5.log._COPYING_",
+                 f"d/load/{run}/6.txt", f"d/load/{run}/_metadata.log", "d/_hidden/r/7.log", ".d/load/r/8.log", "d/load/r/deep/er/9.log", "d/10.log", "d/empty/r/11.log"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if "empty" in name else b"ERROR \xff" + name.encode() + b"\r\n")
+    (tmp_path / "d/none/r").mkdir(parents=True)
+    (tmp_path / "d/link").symlink_to(tmp_path / "d/load")
+    monkeypatch.setattr(task_logs, "BATCH_ROWS", 2)
+    calls = [{}, {"dag": "d"}, {"dag": "d", "task": "load", "run": run}, {"task": "load"}, {"run": "r"}, {"suffix": ".txt"}, {"suffix": "1.log"}]
+
+    def read():
+        return [Counter(tuple(r) for r in scan_task_logs(spark, str(tmp_path), **c).withColumn("log_text", F.hex("log_text")).collect()) for c in calls]
+
+    own, columns = read(), scan_task_logs(spark, str(tmp_path)).dtypes
+    monkeypatch.setattr(task_logs, "_mounted", lambda spark, base: None)
+    assert own == read() and columns == scan_task_logs(spark, str(tmp_path)).dtypes
+    assert [c.total() for c in own][:3] == [7, 4, 2]
+
+
+def test_the_driver_holds_no_list_of_the_logs(spark, tmp_path):
+    for i in range(90):
+        (folder := tmp_path / "d" / f"t{i % 3}" / f"r{i % 5}").mkdir(parents=True, exist_ok=True)
+        (folder / f"{i}.log").write_text(f"log {i}")
+    logs = scan_task_logs(spark, str(tmp_path))
+    assert not [f for f in logs.inputFiles() if f.endswith(".log")]
+    assert {r.log_text for r in logs.collect()} == {f"log {i}" for i in range(90)}
