@@ -25,12 +25,13 @@ LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 #: beyond it: how many spreads, and the least spread (the measure's resolution). A spread is the mean distance from the median
 #: of the values above (below) it, without the ``TRIM`` percent furthest out; where most values are zero it still follows the
 #: group. Measures that junk drives far out start at a quartile, since junk may make up several percent of a group; those that
-#: the base rules bound start at the last percentile.
+#: the base rules bound start at the last percentile. A text without words has no rates: Spark may evaluate rules ahead of the base
+#: rules that it fails, and must not divide by zero there.
 RATES = {
-    "word_length": ("word_chars * 1000 div n_words", True, 75, 8, 100),
-    "symbols": ("n_symbols * 1000 div n_words", False, 75, 2, 10),
+    "word_length": ("word_chars * 1000 div nullif(n_words, 0)", True, 75, 8, 100),
+    "symbols": ("n_symbols * 1000 div nullif(n_words, 0)", False, 75, 2, 10),
     "dup_lines": ("n_dup_lines * 1000 div greatest(n_lines, 1)", False, 99, 10, 10),
-    "repeats": ("n_repeat_words * 1000 div n_words", False, 99, 20, 3),
+    "repeats": ("n_repeat_words * 1000 div nullif(n_words, 0)", False, 99, 20, 3),
 }
 TRIM = 5
 #: Rows a sketch needs; below that the language's sketch is taken, then that of the whole corpus.

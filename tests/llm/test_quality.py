@@ -122,3 +122,12 @@ def test_long_texts_are_measured_in_pieces(documents, monkeypatch):
              for n in (1, 6, 7, 8, 20, 60, 150, 400)] + ["\n" * 30, " " * 30, "x" * 50, "a b\n" * 12, "a b c\n\nd e f " * 5 + "\n"]
     found = {r.doc_id: tuple(r.measures__) for r in quality.measure(documents(*enumerate(texts))).collect()}
     assert found == {i: plain_measures(t) for i, t in enumerate(texts)}
+
+
+def test_texts_without_words_beside_texts_that_pass(documents):
+    rows = [(i, good(i), "en", "a") for i in range(120)] + [(900, None, "en", "a"), (901, "", "en", "a"), (902, " \n\t ", "en", "a"), (903, None, None, "a")]
+    docs = documents(*rows)
+    verdicts = {r.doc_id: r for r in quality.quality_verdicts(docs).collect()}
+    assert len(verdicts) == 124 and {i for i, r in verdicts.items() if not r.kept} == {900, 901, 902, 903}
+    assert all(verdicts[i].base_failed for i in (900, 901, 902, 903))
+    assert quality.keep_good(docs).count() == 120
